@@ -1,2 +1,85 @@
-"""SQL that gives the same rows as the queries of this subpackage."""
-ORACLES: dict[str, str] = {}
+"""SQL that gives the same rows as those queries of this subpackage that SQL can express."""
+
+from __future__ import annotations
+
+from .licences import COPYRIGHT_LINE, KNOWN, SPELLINGS
+from .mixing import MAX_BLOCKS, ROWS_PER_BLOCK
+
+OP1 = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS s, length(coalesce(text, '')) AS n FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY s ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size FROM t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM g
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_lines(column: str) -> str:
+    low = f"lower(coalesce({column}, ''))"
+    about = " OR ".join(f"contains({low}, {_quoted(x)})" for x in ("copyright", "(c)", "©", "all rights reserved"))
+    form = f"CASE WHEN {about} THEN regexp_replace({low}, {_quoted(COPYRIGHT_LINE)}, '', 'g') ELSE {low} END"
+    form = f"' ' || replace(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
+    for variant, canonical in SPELLINGS:
+        form = f"replace({form}, ' {variant} ', ' {canonical} ')"
+    return form
+
+
+_VALUES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+OP5 = rf"""
+WITH known AS (
+  SELECT digest, min(licence) AS licence
+  FROM (SELECT licence, sha256(trim(regexp_replace({_canonical_lines("licence_text")}, '[ \n]+', ' ', 'g'))) AS digest FROM (VALUES {_VALUES}) v(licence, licence_text))
+  GROUP BY digest
+), forms AS (
+  SELECT doc_id, {_canonical_lines("text")} AS form FROM documents
+), lines AS (
+  SELECT doc_id, sha256(trim(regexp_replace(line, ' +', ' ', 'g'))) AS digest
+  FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM forms) WHERE trim(line) <> ''
+), notices AS (
+  SELECT doc_id, count(*) AS notice_lines, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM lines JOIN known USING (digest) GROUP BY doc_id
+), whole AS (
+  SELECT doc_id, sha256(trim(regexp_replace(form, '[ \n]+', ' ', 'g'))) AS text_digest FROM forms
+)
+SELECT doc_id, text_digest, licence, coalesce(notice_lines, 0) AS notice_lines, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN known ON digest = text_digest LEFT JOIN notices USING (doc_id)
+"""
+
+OP6 = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size, count(*) AS n_rows FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+  FROM w WINDOW before AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target, greatest(1, least({MAX_BLOCKS}, ceil(n_rows / {ROWS_PER_BLOCK}.0)))::BIGINT AS n_blocks FROM l
+), p AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(3, floor(target / source_size)) END::BIGINT AS passes FROM t
+), r AS (
+  SELECT d.*, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS quota,
+         ('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT % n_blocks AS block
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), b AS (
+  SELECT source, block, sum(size) AS words, ('0x' || substr(md5('0:b:' || coalesce(source, '\N') || ':' || block), 1, 13))::BIGINT AS h FROM r GROUP BY source, block
+), o AS (
+  SELECT source, block, words, coalesce(sum(words) OVER (PARTITION BY source ORDER BY h, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b
+), e AS (
+  SELECT r.*, o.before, before + words <= quota AND quota > 0 AS whole, NOT (before + words <= quota AND quota > 0) AND before < quota AS cut
+  FROM r JOIN o ON r.source IS NOT DISTINCT FROM o.source AND r.block = o.block
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, cut ORDER BY md5('0:r:' || doc_id) || ':' || doc_id ROWS UNBOUNDED PRECEDING) AS run FROM e
+)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+       (size * least(3, passes + CASE WHEN whole OR (cut AND before + run - size / 2.0 <= quota) THEN 1 ELSE 0 END))::BIGINT AS taken, source
+FROM c
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op5_licence_scan": OP5, "op6_mixing": OP6}
