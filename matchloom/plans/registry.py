@@ -1,6 +1,6 @@
-"""Queries of the library and their SQL, by name."""
+"""All queries of the library and their SQL, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import dashboards, texts  # noqa: F401
+from ._register import ORACLES, QUERIES  # noqa: F401
