@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import dashboards, keywords, profiles, scores, streams, suggestions, texts  # noqa: F401
+from . import dashboards, keywords, profiles, scores, streams, suggestions, texts, variants  # noqa: F401
 from ._register import ORACLES, QUERIES  # noqa: F401
