@@ -84,13 +84,26 @@ def resume_features(lines: DataFrame, strong: list[str], weak: list[str]) -> Dat
         "table_row": F.col("whole").rlike("\\|.+\\|"),
         "decoration": F.col("whole").rlike("[*_~`#=]{3,}"),
         "decoration5": F.col("whole").rlike("[*_~`#]{5,}"),
+        "words_over_25": _count(b, lambda x: _words(x) > 25),
+        "words_under_5": _count(b, lambda x: _words(x) < 5),
+        "words_to_2": _count(b, lambda x: _words(x) <= 2),
+        "tiny": _count(b, lambda x: F.length(F.trim(x)) < 5),
+        "structured": _count(b, lambda x: (_words(x) >= 8) & (_words(x) <= 20) & x.rlike(METRIC)),
+        "weak_opening": _count(b, lambda x: x.rlike("^(and|or|the|a) ")),
+        "strong_any_metric": _count(b, lambda x: is_strong(x) & x.rlike(METRIC)),
+        "distinct_strong": F.size(F.array_distinct(F.transform(F.filter(b, is_strong), _first))).cast("long"),
+        "special_signs": F.regexp_count("whole", F.lit("[*_%#~`@]")),
+        "pipe_pair": F.col("whole").rlike("\\|.*\\|"),
+        "pipe_cell": F.col("whole").rlike("\\|\\s*\\w+\\s*\\|"),
         "norm_words": F.size(t.tokens(F.col("norm"))),
         "norm_sentences": F.size(t.sentences(F.col("norm"))),
     }
     out = rows.select("resume_id", *[v.alias(k) for k, v in features.items()])
     words = rows.select("resume_id", F.explode(F.flatten(F.transform("bullets", lambda x: t.tokens(t.words_only(x))))).alias("w"))
-    repeated = words.groupBy("resume_id", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 4").groupBy(F.col("resume_id").alias("__r")).agg(F.count(F.lit(1)).alias("repeated"))
-    return out.join(repeated, F.col("resume_id") == F.col("__r"), "left").drop("__r").withColumn("repeated", F.coalesce("repeated", F.lit(0)))
+    often = words.groupBy("resume_id", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 4")
+    repeated = often.groupBy(F.col("resume_id").alias("__r")).agg(F.count(F.lit(1)).alias("repeated"), F.count_if((F.col("n") > 5) & (F.length("w") > 3)).alias("repeated_long"))
+    met = out.join(repeated, F.col("resume_id") == F.col("__r"), "left").drop("__r")
+    return met.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("repeated", "repeated_long")})
 
 
 _SEVEN = "(CAST(summary_len > {0} AS INT) + CAST(has_skills AS INT) + CAST(nb > 0 AS INT) + CAST(has_projects AS INT) + CAST(has_education AS INT) + CAST(has_certifications AS INT) + CAST(has_achievements AS INT))"
@@ -98,7 +111,7 @@ _FIVE = "(CAST(summary_len >= {0} AS INT) + CAST(has_skills AS INT) + CAST(nb >
 _FLAG = "CASE WHEN {0} THEN {1} ELSE 0 END"
 
 
-def _points(*parts: tuple[str, float]) -> str:
+def _points(*parts: tuple[str, float | str]) -> str:
     return " + ".join(_FLAG.format(test, points) for test, points in parts)
 
 
@@ -124,6 +137,10 @@ PROFILES: dict[str, dict[str, str]] = {
         "long_bullets": "greatest(30, 100 - least(25, over_200 * 5) - " + _FLAG.format("summary_signs > 10", 10) + " - dup_bullets * 8 - long_block * 5)",
         "simple": "100 - (" + _points(("decoration", 20), ("table_row", 20)) + ")",
         "bullet_curve": "least(95, floor(CASE WHEN nb = 0 THEN 0 ELSE least(93, 40 + nb * 21 / 10.0) END + 3 + " + _points(("summary_len > 20", 2), ("has_skills", 2)) + " + 0.5))",
+        "third": "greatest(0, CASE WHEN nb BETWEEN 10 AND 30 THEN least(100, 105 - {0}) ELSE 100 - {0} END)".format("(" + _points(("pipe_pair", 30), ("pipe_cell", 20), ("special_signs > 20", "least(20, floor(special_signs / 5.0))"), ("NOT (summary_len > 0 AND nb > 0 AND has_education)", 10)) + ")"),
+        "start_80": "greatest(35, 80 - over_200 * 5 - " + _FLAG.format("summary_signs > 8", 8) + " - " + _FLAG.format("summary_len > 500", 5) + ")",
+        "capped": "greatest(0, 100 - (" + _points(("decoration", 20), ("table_row", 15), ("summary_words > 100", 10)) + " + least(20, words_over_35 * 5) + least(15, tiny * 5) + least(10, words_to_2 * 2)))",
+        "additive": "least(100, 50 + " + _points(("abbreviations < 20", 20), ("nb > 5 AND nb < 50", 10)) + ")",
         "bullet_bands": "CASE WHEN nb >= 10 THEN 85 WHEN nb >= 5 THEN 70 ELSE 50 END",
     },
     "verbs": {
@@ -133,6 +150,9 @@ PROFILES: dict[str, dict[str, str]] = {
         "points": "CASE WHEN nb = 0 THEN 50 ELSE greatest(10, least(100, floor((2 * (strong_first - double_verb) + strong_metric - weak_or_double + 0.5 * plain_long) * 100.0 / nb - least(30, weak_or_double * 30.0 / nb) + 0.5))) END",
         "share_other": "CASE WHEN nb = 0 THEN 0 ELSE floor((strong_first * 100 + (nb - strong_first) * 35) / (1.0 * nb) + 0.5) END",
         "less_weak": "CASE WHEN nb = 0 THEN 0 ELSE greatest(0, floor((strong_first * 100 - weak_first * 15) / (1.0 * nb) + 0.5)) END",
+        "less_weak_40": "CASE WHEN nb = 0 THEN 0 ELSE greatest(0, floor(strong_first * 100.0 / nb - least(40, weak_first * 40.0 / nb) + 0.5)) END",
+        "with_metrics": "CASE WHEN nb = 0 THEN 0 ELSE least(100, floor((strong_first * 40 + strong_any_metric * 50) / (1.0 * nb) + 0.5)) END",
+        "experience_quality": "CASE WHEN nb = 0 THEN 0 ELSE floor((strong_first * 30 + metric * 40 + strong_any_metric * 20) / (1.0 * nb) + least(distinct_strong, 10) + 0.5) END",
         "anywhere": "CASE WHEN nb = 0 THEN 100 ELSE floor(any_strong * 100.0 / nb + 0.5) END",
     },
     "readability": {
@@ -142,6 +162,9 @@ PROFILES: dict[str, dict[str, str]] = {
         "mean_words": "CASE WHEN nb = 0 THEN 45 ELSE least(100, greatest(0, 100 - CASE WHEN sum_words > 24 * nb THEN least(35, floor((sum_words / (1.0 * nb) - 24) * 2 + 0.5)) WHEN sum_words < 8 * nb THEN 12 ELSE 0 END + least(12, floor(metric * 20.0 / nb + 0.5)) + least(8, floor(alpha_first * 10.0 / nb + 0.5)))) END",
         "length_penalties": "CASE WHEN nb = 0 THEN 40 ELSE greatest(25, 80 - 4 * over_180 - 2 * over_140 - 3 * under_30 - 3 * (nb - strong_first) - 2 * (nb - metric) - " + _FLAG.format("sum_len < 50 * nb OR sum_len > 200 * nb", 10) + " - " + _FLAG.format("summary_len > 500", 5) + " - " + _FLAG.format("summary_len > 800", 10) + ") END",
         "half_long": "CASE WHEN nb = 0 THEN 0 ELSE floor(100 - words_over_20 * 50.0 / nb + 0.5) END",
+        "third": "CASE WHEN nb = 0 THEN 0 ELSE greatest(0, least(100, floor(100 - least(30, words_over_25 * 5) - least(20, words_under_5 * 3) - least(20, repeated_long * 2) - least(15, weak_opening * 3) + least(10, structured * 10.0 / nb) + 0.5))) END",
+        "start_75": "CASE WHEN nb = 0 THEN 40 ELSE least(85, greatest(20, 75 - 4 * over_180 - 3 * under_30 - 3 * (nb - strong_first) - 2 * (nb - metric) - 15 * dup_bullets - " + _FLAG.format("summary_len > 500", 8) + " - " + _FLAG.format("summary_len > 1000", 15) + ")) END",
+        "length_and_metrics": "CASE WHEN nb = 0 THEN 50 ELSE least(100, floor(CASE WHEN floor(sum_len / (1.0 * nb) + 0.5) BETWEEN 60 AND 160 THEN 82 WHEN floor(sum_len / (1.0 * nb) + 0.5) BETWEEN 40 AND 59 THEN 68 WHEN floor(sum_len / (1.0 * nb) + 0.5) > 160 THEN 72 ELSE 42 END + metric * 18.0 / nb + 0.5)) END",
         "simple": "CASE WHEN nb = 0 THEN 0 ELSE 100 - least(30, words_over_35 * 7) END",
         "length_bands": "CASE WHEN nb = 0 THEN 50 WHEN sum_len >= 80 * nb AND sum_len <= 150 * nb THEN 90 WHEN sum_len > 150 * nb THEN 60 WHEN sum_len >= 40 * nb THEN 75 ELSE 50 END",
     },

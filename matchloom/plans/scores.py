@@ -32,7 +32,7 @@ def _norm(column: str) -> str:
 
 NEEDS["fx_features"] = ["fx_lines"]
 SQL["fx_features"] = f"""
-SELECT a.*, coalesce(r.repeated, 0) AS repeated FROM (
+SELECT a.*, coalesce(r.repeated, 0) AS repeated, coalesce(r.repeated_long, 0) AS repeated_long FROM (
 SELECT resume_id, length(trim(summary)) AS summary_len, len(list_filter(string_split_regex(summary, '\\s+'), lambda w: w <> '')) AS summary_words,
   len(regexp_extract_all(summary, '[!@#$%^&*()_+=\\[\\]{{}};:''",.<>?/\\\\]')) AS summary_signs,
   resume_id % 5 <> 0 AS has_skills, CASE WHEN resume_id % 5 <> 0 THEN resume_id % 13 ELSE 0 END AS n_skills, resume_id % 3 = 0 AS has_projects, resume_id % 2 = 0 AS has_education,
@@ -49,9 +49,13 @@ SELECT resume_id, length(trim(summary)) AS summary_len, len(list_filter(string_s
   {_n(_METRIC)} AS metric, {_n("regexp_matches(x, '[0-9]')")} AS digit, {_n("regexp_matches(x, '^[A-Za-z]')")} AS alpha_first, {_n("NOT regexp_matches(x, '[.!?]$')")} AS no_end,
   len(bullets) - len(list_distinct(list_transform(bullets, lambda x: lower(x)))) AS dup_bullets, len(regexp_extract_all(whole, '[A-Z]{{2,}}')) AS abbreviations,
   contains(whole, '|') AS pipes, regexp_matches(whole, '\\|.+\\|') AS table_row, regexp_matches(whole, '[*_~`#=]{{3,}}') AS decoration, regexp_matches(whole, '[*_~`#]{{5,}}') AS decoration5,
+  {_n(_NWORDS + " > 25")} AS words_over_25, {_n(_NWORDS + " < 5")} AS words_under_5, {_n(_NWORDS + " <= 2")} AS words_to_2, {_n("length(trim(x)) < 5")} AS tiny,
+  {_n(f"{_NWORDS} >= 8 AND {_NWORDS} <= 20 AND {_METRIC}")} AS structured, {_n("regexp_matches(x, '^(and|or|the|a) ')")} AS weak_opening, {_n(f"{_IS_STRONG} AND {_METRIC}")} AS strong_any_metric,
+  len(list_distinct(list_transform(list_filter(bullets, lambda x: {_IS_STRONG}), lambda x: {_FIRST}))) AS distinct_strong, len(regexp_extract_all(whole, '[*_%#~`@]')) AS special_signs,
+  regexp_matches(whole, '\\|.*\\|') AS pipe_pair, regexp_matches(whole, '\\|\\s*\\w+\\s*\\|') AS pipe_cell,
   len(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS norm_words, len(list_filter(list_transform(string_split_regex(norm, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '')) AS norm_sentences
 FROM (SELECT resume_id, coalesce(lines[1], '') AS summary, lines[2:] AS bullets, array_to_string(lines, ' ') AS whole, {_norm("array_to_string(lines, ' ')")} AS norm FROM fx_lines)) a
-LEFT JOIN (SELECT resume_id, count(*) AS repeated FROM (SELECT resume_id, w, count(*) AS n FROM (
+LEFT JOIN (SELECT resume_id, count(*) AS repeated, count_if(n > 5 AND length(w) > 3) AS repeated_long FROM (SELECT resume_id, w, count(*) AS n FROM (
   SELECT resume_id, unnest(string_split(regexp_replace(trim(regexp_replace(lower(array_to_string(lines[2:], ' ')), '[^\\w\\s]', ' ', 'g')), '\\s+', ' ', 'g'), ' ')) AS w FROM fx_lines) WHERE w <> '' GROUP BY 1, 2) WHERE n > 4 GROUP BY 1) r USING (resume_id)"""
 
 
