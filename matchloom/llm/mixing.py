@@ -7,8 +7,9 @@
    ends, rows in hash order until the quota is reached.
 3. Each pass is cut into output shards: a binary tree halves the shards, and at each
    node multivariate-hypergeometric draws split the exact block quotas of the sources
-   between the halves. A shard then owns consecutive blocks of the permuted order, so
-   shards are disjoint within a pass; in a shard, rows stand by a hash key.
+   between the halves. A shard then draws the next blocks of the permuted order, so
+   shards are disjoint within a pass; in a shard, rows stand by a hash key. A row is
+   taken once for every shard that has drawn its block.
 
 Only DataFrame functions touch rows. The tree runs on one count per source and pass
 (sources beyond ``STRATA`` share strata by hash), so its input has a fixed bound.
@@ -28,6 +29,7 @@ ROWS_PER_BLOCK = 64
 MAX_BLOCKS = 4096
 STRATA = 4096
 BROADCAST_ROWS = 200_000
+ROWS_PER_SHARD, MAX_SHARDS = 20_000, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -92,11 +94,11 @@ def _blocks_of(n_rows: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(n_rows / ROWS_PER_BLOCK))).cast("long")
 
 
-def _plans(sized: DataFrame, source_col: str, id_col: str, weights: tuple[int, ...], max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _plans(sized: DataFrame, source_col: str, id_col: str, weights: tuple[int, ...], max_epochs: int, seed: int, shards: int | None) -> tuple[DataFrame, DataFrame]:
     """(per source, per source and block): what each row needs to decide for itself."""
     per = source_targets(sized, source_col, weights, max_epochs)
     passes = F.coalesce(F.least(F.lit(max_epochs), F.floor(F.try_divide(F.col("target"), F.col("source_size")))), F.lit(0)).cast("int")
-    per = per.select(F.col(source_col).alias("__s"), "source_size", "target", _blocks_of(F.col("n_rows")).alias("__n"), passes.alias("__passes"))
+    per = per.select(F.col(source_col).alias("__s"), "n_rows", "source_size", "target", _blocks_of(F.col("n_rows")).alias("__n"), passes.alias("__passes"))
     per = materialise(per.withColumn("__quota", F.col("target") - F.col("__passes") * F.col("source_size")), "mix-sources")
     rows = sized.join(_small(per), F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__b", _block(id_col, seed))
     blocks = rows.groupBy("__s", "__b", "__quota", "__passes").agg(F.sum("size").alias("__words"))
@@ -112,8 +114,35 @@ def _plans(sized: DataFrame, source_col: str, id_col: str, weights: tuple[int, .
     run = F.sum("size").over(Window.partitionBy("__s").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("__run", run).where(F.col("__before") + F.col("__run") - F.col("size") / 2 <= F.col("__quota"))
     ends = edge.groupBy(F.col("__s").alias("__es")).agg(F.max("__key").alias("__end"))
-    blocks = blocks.join(ends, F.col("__s").eqNullSafe(F.col("__es")), "left").select(F.col("__s").alias("__bs"), F.col("__b").alias("__bb"), "__whole", F.when(F.col("__cut"), F.col("__end")).alias("__end"))
-    return per, materialise(blocks, "mix-plan")
+    blocks = blocks.join(ends, F.col("__s").eqNullSafe(F.col("__es")), "left").select(F.col("__s").alias("__bs"), F.col("__b").alias("__bb"), "__passes", "__whole", F.when(F.col("__cut"), F.col("__end")).alias("__end"))
+    if shards is None:
+        shards = max(1, min(MAX_SHARDS, -(-(per.agg(F.sum("n_rows")).first()[0] or 0) // ROWS_PER_SHARD)))
+    return per.drop("n_rows"), materialise(_drawn_by_shards(blocks, shards, seed), "mix-plan")
+
+
+def _drawn_by_shards(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``blocks`` with __shards: the shard that draws the block in each pass, in order of the passes.
+
+    A pass of a source is a draw of all its blocks; the last, partial pass draws the whole
+    blocks and the one where the quota ends. The driver gets one count per pass and stratum.
+    """
+    partial = (F.col("__whole") | F.col("__end").isNotNull()).cast("int")
+    last = F.col("__passes") + partial - 1
+    draws = blocks.withColumn("__e", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))).withColumn("__stratum", F.pmod(_hash(F.lit(seed), F.lit("s"), F.col("__bs")), F.lit(STRATA)))
+    rank = F.row_number().over(Window.partitionBy("__e", "__stratum").orderBy(_hash(F.lit(seed), F.lit("p"), F.col("__e"), F.col("__bs"), F.col("__bb")), "__bs", "__bb")) - 1
+    draws = materialise(draws.select(F.col("__bs").alias("__ds"), F.col("__bb").alias("__db"), "__e", "__stratum", rank.alias("__rank")), "mix-draws")
+    plan = []
+    counts = draws.groupBy("__e", "__stratum").count().collect()  # at most STRATA rows a pass
+    for epoch in sorted({r["__e"] for r in counts}):
+        own = sorted((r["__stratum"], r["count"]) for r in counts if r["__e"] == epoch)
+        ends = np.cumsum(split_tree(np.array([n for _, n in own]), shards, seed * 31 + epoch), axis=0)
+        starts = np.vstack([np.zeros_like(ends[:1]), ends[:-1]])
+        plan += [(epoch, own[k][0], j, int(starts[j, k]), int(ends[j, k])) for j, k in zip(*np.nonzero(ends > starts), strict=True)]
+    plan = [(e, s, int(j), a, b) for e, s, j, a, b in plan]
+    quotas = blocks.sparkSession.createDataFrame(plan, "__qe int, __qs long, shard int, __from long, __to long")
+    placed = draws.join(quotas, (F.col("__e") == F.col("__qe")) & (F.col("__stratum") == F.col("__qs")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
+    of_block = placed.groupBy("__ds", "__db").agg(F.transform(F.array_sort(F.collect_list(F.struct("__e", "shard"))), lambda x: x["shard"]).alias("__shards"))
+    return blocks.join(of_block, F.col("__bs").eqNullSafe(F.col("__ds")) & (F.col("__bb") == F.col("__db")), "left").select("__bs", "__bb", "__whole", "__end", F.coalesce("__shards", F.array().cast("array<int>")).alias("__shards"))
 
 
 def _block(id_col: str, seed: int) -> Column:
@@ -129,27 +158,29 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """``docs`` with a struct column ``__mix``: size, source_size, target, copies, block.
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, shards: int | None = None) -> DataFrame:
+    """``docs`` with a struct column ``__mix``: size, source_size, target, copies, block, shards.
 
     Texts are not shuffled: rows meet small tables of sources and blocks.
     """
     columns = docs.columns
     sized = materialise(docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    return _decided(docs.select("*", word_count(F.col(text_col)).alias("__size")), sized, columns, id_col, source_col, weights, max_epochs, seed)
+    return _decided(docs.select("*", word_count(F.col(text_col)).alias("__size")), sized, columns, id_col, source_col, weights, max_epochs, seed, shards)
 
 
-def _decided(rows: DataFrame, sized: DataFrame, columns: list[str], id_col: str, source_col: str, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
-    per, blocks = _plans(sized, source_col, id_col, weights, max_epochs, seed)
+def _decided(rows: DataFrame, sized: DataFrame, columns: list[str], id_col: str, source_col: str, weights: tuple[int, ...], max_epochs: int, seed: int, shards: int | None) -> DataFrame:
+    per, blocks = _plans(sized, source_col, id_col, weights, max_epochs, seed, shards)
     rows = rows.join(_small(per), F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__b", _block(id_col, seed))
     rows = rows.join(_small(blocks), F.col(source_col).eqNullSafe(F.col("__bs")) & (F.col("__b") == F.col("__bb")))
     more = F.coalesce((F.col("__whole") | (_row_key(id_col, seed) <= F.col("__end"))).cast("int"), F.lit(0))
-    copies = F.least(F.lit(max_epochs), F.col("__passes") + more).cast("int")
-    return rows.select(*columns, F.struct(F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), F.col("__b").alias("block")).alias("__mix"))
+    taken = F.slice("__shards", F.lit(1), F.least(F.lit(max_epochs), F.col("__passes") + more).cast("int"))
+    return rows.select(*columns, F.struct(F.col("__size").alias("size"), "source_size", "target", F.size(taken).alias("copies"), F.col("__b").alias("block"), taken.alias("shards")).alias("__mix"))
+
 
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, shards: int | None = None) -> DataFrame:
+    """Per row: id, source, size, source_size, target, copies, block, shards, taken (= copies * size).
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """Per row: id, source, size, source_size, target, copies, block, taken (= copies * size).
+    ``shards`` holds the output shard of each copy, one for each pass.
 
     Null text has size 0. A null source is a source of its own. Rows without words are
     dealt like any others and add nothing. Draws depend on ids and ``seed`` alone, so
@@ -158,39 +189,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     sized = materialise(docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size")), "mix-sizes")
     rows = sized.withColumnRenamed("size", "__size")
-    out = _decided(rows, sized, [id_col, source_col], id_col, source_col, weights, max_epochs, seed)
+    out = _decided(rows, sized, [id_col, source_col], id_col, source_col, weights, max_epochs, seed, shards)
     return out.select(id_col, source_col, "__mix.*").withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", seed: int = 0, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, shard by shard in local hash order."""
     columns = docs.columns
-    return decide(docs, **options).withColumn("__i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("__mix.copies"))))).where("__mix.copies > 0").select(columns)
-
-
-def to_shards(mixed: DataFrame, shards: int, id_col: str = "doc_id", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """A row per drawn copy with its epoch, shard and place key (``local_key``) inside the shard.
-
-    Write it with ``repartition(shards, "shard").sortWithinPartitions("shard", "local_key")``.
-    """
-    drawn = mixed.withColumn("epoch", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1))))
-    drawn = drawn.withColumn("__stratum", F.pmod(_hash(F.lit(seed), F.lit("s"), F.col(source_col)), F.lit(STRATA)))
-    blocks = drawn.groupBy("__stratum", source_col, "block", "epoch").agg(F.count(F.lit(1)).alias("__n"))
-    counts = blocks.groupBy("epoch", "__stratum").count().collect()  # at most STRATA rows an epoch
-    plan = []
-    for epoch in sorted({r.epoch for r in counts}):
-        own = np.zeros(STRATA, np.int64)
-        for r in counts:
-            if r.epoch == epoch:
-                own[r["__stratum"]] = r["count"]
-        used = np.flatnonzero(own)
-        ends = np.cumsum(split_tree(own[used], shards, seed * 31 + epoch), axis=0)
-        starts = np.vstack([np.zeros_like(ends[:1]), ends[:-1]])
-        plan += [(int(epoch), int(used[k]), int(j), int(starts[j, k]), int(ends[j, k])) for j in range(shards) for k in range(len(used)) if ends[j, k] > starts[j, k]]
-    quotas = mixed.sparkSession.createDataFrame(plan, "__qe int, __qs long, shard int, __from long, __to long")
-    rank = F.row_number().over(Window.partitionBy("epoch", "__stratum").orderBy(_hash(F.lit(seed), F.lit("p"), F.col("epoch"), F.col(source_col), F.col("block")), source_col, "block")) - 1
-    placed = blocks.withColumn("__rank", rank)
-    placed = placed.join(quotas, (F.col("epoch") == F.col("__qe")) & (F.col("__stratum") == F.col("__qs")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
-    placed = placed.select(F.col("epoch").alias("__e"), F.col(source_col).alias("__s"), F.col("block").alias("__b"), "shard")
-    drawn = drawn.join(placed, (F.col("epoch") == F.col("__e")) & F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")))
-    return drawn.withColumn("local_key", _hash(F.lit(seed), F.lit("l"), F.col("epoch"), F.col(id_col))).drop("__e", "__s", "__b", "__stratum")
+    drawn = decide(docs, id_col=id_col, seed=seed, **options).select("*", F.posexplode("__mix.shards").alias("__epoch", "__shard"))
+    drawn = drawn.withColumn("__key", _hash(F.lit(seed), F.lit("l"), F.col("__epoch"), F.col(id_col)))
+    # a shard is cut into parts by key, so that no task takes a whole large shard
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return drawn.repartition(n, "__shard", F.pmod("__key", F.lit(16))).sortWithinPartitions("__shard", "__key").select(columns)

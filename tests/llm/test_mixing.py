@@ -81,11 +81,14 @@ def test_split_is_hypergeometric():
 
 def test_shards_are_disjoint(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
-    mixed = mixing.mix_sources(docs)
-    out = mixing.to_shards(mixed, 4).collect()
-    assert len(out) == sum(r.copies for r in mixed.collect())
-    assert len({(r.doc_id, r.epoch) for r in out}) == len(out) and {r.shard for r in out} == {0, 1, 2, 3}
-    by = defaultdict(set)
-    for r in out:
-        by[r.source, r.block, r.epoch].add(r.shard)
-    assert all(len(s) == 1 for s in by.values())
+    rows = mixing.mix_sources(docs, shards=4).collect()
+    drawn, sizes = defaultdict(set), defaultdict(int)
+    for r in rows:
+        assert len(r.shards) == r.copies and set(r.shards) <= {0, 1, 2, 3}
+        for epoch, shard in enumerate(r.shards):
+            drawn[r.source, r.block, epoch].add(shard)
+            sizes[epoch, shard] += 1
+    assert all(len(s) == 1 for s in drawn.values())  # a pass draws a block once
+    assert {shard for _, shard in sizes} == {0, 1, 2, 3}
+    other = mixing.mix_sources(docs, shards=7).collect()
+    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: r.taken for r in other}
