@@ -17,12 +17,19 @@ def _count(bullets: Column, test) -> Column:
     return F.size(F.filter(bullets, test)).cast("long")
 
 
-def _first(b: Column) -> Column:
-    return F.lower(F.try_element_at(F.split(F.trim(b), "\\s+"), F.lit(1)))
+def _word(words: Column, k: int) -> Column:
+    return F.lower(F.try_element_at(words, F.lit(k)))
 
 
-def _words(b: Column) -> Column:
-    return F.size(F.filter(F.split(b, "\\s+"), lambda x: x != ""))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, "\\s+"), lambda x: x != "")
+
+
+def _contains_any(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
 METRIC = "[0-9]+%|[0-9]+x|\\$[0-9]+|[0-9]+[kmb]"
@@ -36,14 +43,21 @@ def resume_features(lines: DataFrame, strong: list[str], weak: list[str]) -> Dat
     """
     key, bullets = F.col("resume_id"), F.slice("lines", 2, 2**31 - 2)
     rows = lines.select("resume_id", F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("")).alias("summary"), bullets.alias("bullets"), F.array_join("lines", " ").alias("whole"))
-    rows = rows.withColumn("norm", t.strip_markup(F.col("whole")))
-    b = F.col("bullets")
-    second = lambda x: F.lower(F.try_element_at(F.split(F.trim(x), "\\s+"), F.lit(2)))
-    is_strong, is_weak = (lambda x: _first(x).isin(strong)), (lambda x: _first(x).isin(weak))
-    double = lambda x: is_strong(x) & F.coalesce(second(x).isin(strong), F.lit(False))
+    # what the features ask of a bullet is found once, before they count
+    split = F.transform("bullets", lambda x: F.struct(x.alias("text"), F.length(x).alias("n"), _words(x).alias("ws"), x.rlike(METRIC).alias("metric"), F.lower(x).alias("low")))
+    rows = rows.withColumns({"norm": t.strip_markup(F.col("whole")), "split": split})
+    known = lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), F.size(x["ws"]).alias("w"), _word(x["ws"], 1).alias("first"), _word(x["ws"], 2).alias("second"), x["metric"].alias("metric"), x["low"].alias("low"))
+    rows = rows.withColumn("split", F.transform("split", known))
+    judged = lambda x: F.struct(
+        x["text"].alias("text"), x["n"].alias("n"), x["w"].alias("w"), x["first"].alias("first"), x["metric"].alias("metric"), x["low"].alias("low"),
+        F.coalesce(x["first"].isin(strong), F.lit(False)).alias("strong"), F.coalesce(x["first"].isin(weak), F.lit(False)).alias("weak"),
+        F.coalesce(x["first"].isin(strong) & x["second"].isin(strong), F.lit(False)).alias("double"),
+    )
+    rows = rows.withColumn("b", F.transform("split", judged)).drop("split")
+    b = F.col("b")
     features = {
         "summary_len": F.length(F.trim("summary")),
-        "summary_words": _words(F.col("summary")),
+        "summary_words": F.size(_words(F.col("summary"))),
         "summary_signs": F.regexp_count("summary", F.lit("[!@#$%^&*()_+=\\[\\]{};:'\",.<>?/\\\\]")),
         "has_skills": key % 5 != 0,
         "n_skills": F.when(key % 5 != 0, key % 13).otherwise(0),
@@ -55,43 +69,44 @@ def resume_features(lines: DataFrame, strong: list[str], weak: list[str]) -> Dat
         "has_phone": key % 6 == 0,
         "nb": F.size(b).cast("long"),
         "n_items": F.ceil(F.size(b) / 3),
-        "ok_len": _count(b, lambda x: (F.length(x) > 20) & (F.length(x) < 200)),
-        "over_180": _count(b, lambda x: F.length(x) > 180),
-        "over_140": _count(b, lambda x: (F.length(x) > 140) & (F.length(x) <= 180)),
-        "over_200": _count(b, lambda x: F.length(x) > 200),
-        "under_30": _count(b, lambda x: F.length(x) < 30),
-        "long_block": _count(b, lambda x: (F.length(x) > 300) & ~x.contains(".")),
-        "words_over_20": _count(b, lambda x: _words(x) > 20),
-        "words_over_35": _count(b, lambda x: _words(x) > 35),
-        "words_over_150": _count(b, lambda x: _words(x) > 150),
-        "sum_len": F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + F.length(x)),
-        "sum_words": F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + _words(x)),
-        "strong_first": _count(b, is_strong),
-        "weak_first": _count(b, is_weak),
-        "double_verb": _count(b, double),
-        "weak_or_double": _count(b, lambda x: is_weak(x) | double(x)),
-        "strong_metric": _count(b, lambda x: is_strong(x) & ~double(x) & x.rlike(METRIC)),
-        "plain_long": _count(b, lambda x: ~is_strong(x) & ~is_weak(x) & (_words(x) >= 5)),
-        "any_strong": _count(b, lambda x: F.exists(F.array(*map(F.lit, strong)), lambda v: F.contains(F.lower(x), v))),
-        "any_token": _count(b, lambda x: F.arrays_overlap(t.tokens(t.strip_markup(x)), F.array(*map(F.lit, strong)))),
-        "metric": _count(b, lambda x: x.rlike(METRIC)),
-        "digit": _count(b, lambda x: x.rlike("[0-9]")),
-        "alpha_first": _count(b, lambda x: x.rlike("^[A-Za-z]")),
-        "no_end": _count(b, lambda x: ~x.rlike("[.!?]$")),
-        "dup_bullets": (F.size(b) - F.size(F.array_distinct(F.transform(b, F.lower)))).cast("long"),
+        "ok_len": _count(b, lambda x: (x["n"] > 20) & (x["n"] < 200)),
+        "over_180": _count(b, lambda x: x["n"] > 180),
+        "over_140": _count(b, lambda x: (x["n"] > 140) & (x["n"] <= 180)),
+        "over_200": _count(b, lambda x: x["n"] > 200),
+        "under_30": _count(b, lambda x: x["n"] < 30),
+        "long_block": _count(b, lambda x: (x["n"] > 300) & ~x["text"].contains(".")),
+        "words_over_20": _count(b, lambda x: x["w"] > 20),
+        "words_over_35": _count(b, lambda x: x["w"] > 35),
+        "words_over_150": _count(b, lambda x: x["w"] > 150),
+        "sum_len": F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x["n"]),
+        "sum_words": F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x["w"]),
+        "strong_first": _count(b, lambda x: x["strong"]),
+        "weak_first": _count(b, lambda x: x["weak"]),
+        "double_verb": _count(b, lambda x: x["double"]),
+        "weak_or_double": _count(b, lambda x: x["weak"] | x["double"]),
+        "strong_metric": _count(b, lambda x: x["strong"] & ~x["double"] & x["metric"]),
+        "plain_long": _count(b, lambda x: ~x["strong"] & ~x["weak"] & (x["w"] >= 5)),
+        "any_strong": _count(b, lambda x: _contains_any(x["low"], strong)),
+        # tokens after the markup is gone, only where the letters of a verb stand at all
+        "any_token": _count(b, lambda x: _contains_any(x["low"], strong) & F.arrays_overlap(t.tokens(t.strip_markup(x["text"])), F.array(*map(F.lit, strong)))),
+        "metric": _count(b, lambda x: x["metric"]),
+        "digit": _count(b, lambda x: x["text"].rlike("[0-9]")),
+        "alpha_first": _count(b, lambda x: x["text"].rlike("^[A-Za-z]")),
+        "no_end": _count(b, lambda x: ~x["text"].rlike("[.!?]$")),
+        "dup_bullets": (F.size(b) - F.size(F.array_distinct(F.transform(b, lambda x: x["low"])))).cast("long"),
         "abbreviations": F.regexp_count("whole", F.lit("[A-Z]{2,}")),
         "pipes": F.col("whole").contains("|"),
         "table_row": F.col("whole").rlike("\\|.+\\|"),
         "decoration": F.col("whole").rlike("[*_~`#=]{3,}"),
         "decoration5": F.col("whole").rlike("[*_~`#]{5,}"),
-        "words_over_25": _count(b, lambda x: _words(x) > 25),
-        "words_under_5": _count(b, lambda x: _words(x) < 5),
-        "words_to_2": _count(b, lambda x: _words(x) <= 2),
-        "tiny": _count(b, lambda x: F.length(F.trim(x)) < 5),
-        "structured": _count(b, lambda x: (_words(x) >= 8) & (_words(x) <= 20) & x.rlike(METRIC)),
-        "weak_opening": _count(b, lambda x: x.rlike("^(and|or|the|a) ")),
-        "strong_any_metric": _count(b, lambda x: is_strong(x) & x.rlike(METRIC)),
-        "distinct_strong": F.size(F.array_distinct(F.transform(F.filter(b, is_strong), _first))).cast("long"),
+        "words_over_25": _count(b, lambda x: x["w"] > 25),
+        "words_under_5": _count(b, lambda x: x["w"] < 5),
+        "words_to_2": _count(b, lambda x: x["w"] <= 2),
+        "tiny": _count(b, lambda x: F.length(F.trim(x["text"])) < 5),
+        "structured": _count(b, lambda x: (x["w"] >= 8) & (x["w"] <= 20) & x["metric"]),
+        "weak_opening": _count(b, lambda x: x["text"].rlike("^(and|or|the|a) ")),
+        "strong_any_metric": _count(b, lambda x: x["strong"] & x["metric"]),
+        "distinct_strong": F.size(F.array_distinct(F.transform(F.filter(b, lambda x: x["strong"]), lambda x: x["first"]))).cast("long"),
         "special_signs": F.regexp_count("whole", F.lit("[*_%#~`@]")),
         "pipe_pair": F.col("whole").rlike("\\|.*\\|"),
         "pipe_cell": F.col("whole").rlike("\\|\\s*\\w+\\s*\\|"),

@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 
 
+#: Rows up to which a counted side is broadcast; beyond, the planner joins as it likes.
+BROADCAST_ROWS = 200_000
+
+
+def counted_broadcast(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def token_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, token): words of the normalised text with their positions from 1."""
     return rows.select(key, F.posexplode(t.tokens(t.words_only(F.col(text)))).alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
@@ -27,9 +35,13 @@ def weighted_keywords(tokens: DataFrame, key: str, stop: list[str], k: int, cap:
 
 
 def matched_keywords(resume_tokens: DataFrame, pairs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(resume_id, jd_id, keyword, weight, rnk, matched): whole-word matches of the given pairs."""
+    """(resume_id, jd_id, keyword, weight, rnk, matched): whole-word matches of the given pairs.
+
+    Tokens that are no keyword of any requirement go before anything shuffles.
+    """
     wanted = pairs.join(keywords, "jd_id")
-    own = resume_tokens.select(F.col("resume_id").alias("__r"), F.col("token").alias("__t")).distinct()
+    words = counted_broadcast(keywords.select(F.col("keyword").alias("__w")).distinct())
+    own = resume_tokens.join(words, F.col("token") == F.col("__w"), "left_semi").select(F.col("resume_id").alias("__r"), F.col("token").alias("__t")).distinct()
     met = wanted.join(own, (F.col("resume_id") == F.col("__r")) & (F.col("keyword") == F.col("__t")), "left")
     return met.select("resume_id", "jd_id", "keyword", "weight", "rnk", F.col("__t").isNotNull().alias("matched"))
 

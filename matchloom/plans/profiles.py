@@ -147,7 +147,8 @@ def missing_by_severity(v):
 @query("all_pair_candidates", """SELECT a.resume_id, k.jd_id, count(*) AS n_matched FROM (SELECT DISTINCT resume_id, token FROM fx_tokens) a JOIN fx_jd_keywords k ON a.token = k.keyword GROUP BY 1, 2 HAVING count(*) >= 6""", "fx_tokens fx_jd_keywords")
 def all_pair_candidates(v):
     """Every résumé against every requirement through shared tokens alone: no cross join."""
-    own = _tokens(v).select("resume_id", "token").distinct()
+    words = m.counted_broadcast(_keywords(v).select("keyword").distinct())
+    own = _tokens(v).join(words, F.col("token") == F.col("keyword"), "left_semi").select("resume_id", "token").distinct()
     hits = own.join(_keywords(v), F.col("token") == F.col("keyword")).groupBy("resume_id", "jd_id").agg(F.count(F.lit(1)).alias("n_matched"))
     return hits.where("n_matched >= 6")
 

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import spread
+
 SQL = {
     "fx_users": """
 SELECT c_custkey AS user_id, c_name AS name, lower(c_name) || '@x.test' AS email,
@@ -100,7 +102,7 @@ class Views:
     def resumes(self) -> DataFrame:
         key = F.col("doc_id")
         template = F.element_at(F.array(*map(F.lit, ("classic", "fresher", "tech", "other"))), (key % 4 + 1).cast("int"))
-        return self.table("documents").select(key.alias("resume_id"), (key % 150).alias("user_id"), F.when(key % 9 != 0, key % 40).alias("jd_id"), F.col("source").alias("title"), template.alias("template"), _hours(key * 7).alias("created_at"), (F.col("n_chars") % 7).alias("downloads"), F.coalesce("text", F.lit("")).alias("text"))
+        return spread(self.table("documents")).select(key.alias("resume_id"), (key % 150).alias("user_id"), F.when(key % 9 != 0, key % 40).alias("jd_id"), F.col("source").alias("title"), template.alias("template"), _hours(key * 7).alias("created_at"), (F.col("n_chars") % 7).alias("downloads"), F.coalesce("text", F.lit("")).alias("text"))
 
     @cached_property
     def lines(self) -> DataFrame:

@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer splits than there are cores, else as it is.
+
+    Large tables have many splits and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _text(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
