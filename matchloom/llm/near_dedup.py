@@ -7,10 +7,12 @@
 3. In every bucket the smallest id is the centre; all others meet it alone. Pairs are
    confirmed on full shingle sets, and confirmed links give components.
 4. Buckets that still hold several components are open: there, documents outside the
-   centre's component meet the others in tasks of bounded size, on one-byte signatures;
-   pairs whose estimate is ``MAYBE`` or more are confirmed on full sets, too.
+   centre's component meet the others in tasks of bounded size, on one-byte signatures.
+   That tells which components may be similar (some estimate is ``MAYBE`` or more, 4.8
+   standard errors below 0.75); their documents then meet on full sets in blocks, and a
+   block returns one link for each document that has any.
 
-A bucket of thousands of copies so costs one pair for each, not all pairs. A pair at
+A bucket of thousands of copies so costs one row for each, not all pairs. A pair at
 exactly 0.75 shares no band with a probability of (1 - 0.75**5)**52 = 8e-7.
 """
 
@@ -29,8 +31,9 @@ from .id_filter import may_contain, without
 SHINGLE = 5
 PERMUTATIONS, BAND = 130, 5
 BANDS = 2 * PERMUTATIONS // BAND
-MAYBE = 0.6
-CHUNK = 1024
+MAYBE = 0.62
+#: Documents on each side of a task: of a bucket by signature, of components by full sets.
+CHUNK, BLOCK = 1024, 256
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -137,61 +140,131 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (key, mc, oc, outside, id, root, n, marks): pairs of one (key, mc, oc) that may be similar."""
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first ``n_keys`` columns, by which the rows are sorted."""
     held, task = [], None
-
-    def found() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        outside = rows["outside"].to_numpy()
-        ids, roots, sizes = (rows[c].to_numpy() for c in ("id", "root", "n"))
-        marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        inner = np.flatnonzero(~outside)
-        a, b = [], []
-        for k in np.flatnonzero(outside):
-            near = inner[(roots[inner] != roots[k]) & (100 * np.minimum(sizes[inner], sizes[k]) >= PERCENT * np.maximum(sizes[inner], sizes[k]))]
-            near = near[(marks[near] == marks[k]).sum(axis=1) >= MAYBE * marks.shape[1]]
-            a += np.minimum(ids[near], ids[k]).tolist()
-            b += np.maximum(ids[near], ids[k]).tolist()
-        if a:
-            yield pa.record_batch({"a": pa.array(a, rows.schema.field("id").type), "b": pa.array(b, rows.schema.field("id").type)})
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-        ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        keys = [np.asarray(batch.column(k).to_pylist(), object) for k in range(n_keys)]
+        ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         for start, end in zip([0, *ends], [*ends, batch.num_rows], strict=True):
-            own = tuple(keys[:, start])
+            own = tuple(k[start] for k in keys)
             if held and own != task:
-                yield from found()
+                yield pa.Table.from_batches(held)
                 held = []
             task = own
             held.append(batch.slice(start, end - start))
     if held:
-        yield from found()
+        yield pa.Table.from_batches(held)
 
 
-def _open_pairs(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and look similar, but for those that met the centre."""
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, mc, oc, outside, id, root, centre, n, marks): components that may be similar."""
+    told: set[tuple] = set()
+    for rows in _groups(batches, 3):
+        outside, central = rows["outside"].to_numpy(), rows["centre"].to_numpy()
+        roots, sizes = rows["root"].to_numpy(), rows["n"].to_numpy()
+        marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(roots), -1)
+        inner = np.flatnonzero(~outside & ~central)  # the centre has met everyone here
+        new = set()
+        for k in np.flatnonzero(outside):
+            near = inner[(roots[inner] != roots[k]) & (100 * np.minimum(sizes[inner], sizes[k]) >= PERCENT * np.maximum(sizes[inner], sizes[k]))]
+            near = near[(marks[near] == marks[k]).sum(axis=1) >= MAYBE * marks.shape[1]]
+            new.update((min(r, roots[k]), max(r, roots[k])) for r in np.unique(roots[near]))
+        new -= told
+        told |= new
+        if len(told) > 500_000:
+            told.clear()
+        if new:
+            kind = rows.schema.field("root").type
+            yield pa.record_batch({"a": pa.array([x for x, _ in new], kind), "b": pa.array([x for _, x in new], kind)})
+
+
+def _open_components(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of components with similar-looking documents that share a bucket and have not met."""
     kind = shared.schema["id"].dataType.simpleString()
     rows = shared.join(roots.select(F.col("id").alias("__i"), "root"), F.col("id") == F.col("__i"), "left").select("key", "id", "centre", F.coalesce("root", "id").alias("root"))
     of_centre = rows.where(F.col("id") == F.col("centre")).select(F.col("key").alias("__k"), F.col("root").alias("__r"))
-    rows = materialise(rows.join(of_centre, F.col("key") == F.col("__k")).select("key", "id", "centre", "root", (F.col("root") != F.col("__r")).alias("outside")), "open-rows")
-    # an outsider has met the centre; with the centre alone inside and one outsider, nothing is left to meet
+    rows = materialise(rows.join(of_centre, F.col("key") == F.col("__k")).select("key", "id", (F.col("id") == F.col("centre")).alias("centre"), "root", (F.col("root") != F.col("__r")).alias("outside")), "open-rows")
+    # all have met the centre; with one more document in the bucket, nothing is left
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("outside").cast("int")).alias("o")).where("o > 0 and m > 2")
     sizes = sizes.select(F.col("key").alias("__k"), F.ceil(F.col("m") / CHUNK).cast("int").alias("__mc"), F.ceil(F.col("o") / CHUNK).cast("int").alias("__oc"))
     rows = rows.join(sizes, F.col("key") == F.col("__k"))
-    chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    inner = rows.select("key", chunk("__mc").alias("mc"), F.explode(F.sequence(F.lit(0), F.col("__oc") - 1)).alias("oc"), F.lit(False).alias("outside"), "id", "root")
-    outer = rows.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("__mc") - 1)).alias("mc"), chunk("__oc").alias("oc"), F.lit(True).alias("outside"), "id", "root")
+    inner = rows.select("key", _chunk("id", "__mc").alias("mc"), F.explode(F.sequence(F.lit(0), F.col("__oc") - 1)).alias("oc"), F.lit(False).alias("outside"), "id", "root", "centre")
+    outer = rows.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("__mc") - 1)).alias("mc"), _chunk("id", "__oc").alias("oc"), F.lit(True).alias("outside"), "id", "root", "centre")
     marks = signed.select(F.col("id").alias("__i"), "n", "marks")
-    rows = inner.unionByName(outer).join(marks, F.col("id") == F.col("__i")).select("key", "mc", "oc", "outside", "id", "root", "n", "marks")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key", "mc", "oc").sortWithinPartitions("key", "mc", "oc")
+    rows = inner.unionByName(outer).join(marks, F.col("id") == F.col("__i")).select("key", "mc", "oc", "outside", "id", "root", "centre", "n", "marks")
+    rows = _dealt(rows, "key", "mc", "oc")
     return rows.mapInArrow(_estimated, f"a {kind}, b {kind}").distinct()
 
 
+def _chunk(column: str, of: str):
+    return F.pmod(F.xxhash64(column), F.col(of)).cast("int")
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (host, mc, pc, partner, id, text): for each partner a host's document that it links with.
+
+    Exact intersections of a partner with all documents of the block, by one look-up in
+    their merged shingles.
+    """
+    hashes = WordHashes()
+    for rows in _groups(batches, 3):
+        partner, ids = rows["partner"].to_numpy(), rows["id"]
+        texts = rows["text"].combine_chunks()
+        own = np.flatnonzero(~partner)
+        sets = [shingles(texts[int(k)].as_py().encode(), hashes) for k in own]
+        if not sets:
+            continue
+        sizes, merged = np.array([len(x) for x in sets]), np.concatenate(sets)
+        order = np.argsort(merged, kind="stable")
+        merged, owner = merged[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        a, b = [], []
+        for k in np.flatnonzero(partner):
+            mine = shingles(texts[int(k)].as_py().encode(), hashes)
+            low, high = np.searchsorted(merged, mine, "left"), np.searchsorted(merged, mine, "right")
+            spans = high - low
+            at = np.repeat(high - np.cumsum(spans), spans) + np.arange(spans.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            linked = np.flatnonzero(100 * both >= PERCENT * (sizes + len(mine) - both))
+            if len(linked):  # one link joins the components
+                a.append(ids[int(own[linked[0]])].as_py())
+                b.append(ids[int(k)].as_py())
+        if a:
+            kind = rows.schema.field("id").type
+            yield pa.record_batch({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+
+def _joined(pairs: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components of ``pairs``: the smaller one's documents meet the larger one's in blocks."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    size = lambda name: sizes.select(F.col("root").alias(f"__{name}"), F.col("size").alias(f"size_{name}"))
+    sized = pairs.join(size("a"), F.col("a") == F.col("__a"), "left").join(size("b"), F.col("b") == F.col("__b"), "left")
+    sized = sized.select("a", "b", F.coalesce("size_a", F.lit(1)).alias("size_a"), F.coalesce("size_b", F.lit(1)).alias("size_b"))
+    host = F.when(F.col("size_a") >= F.col("size_b"), F.col("a")).otherwise(F.col("b"))
+    sized = materialise(sized.select(host.alias("host"), F.when(host == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("guest"), F.greatest("size_a", "size_b").alias("mine"), F.least("size_a", "size_b").alias("other")), "open-pairs")
+    blocks = sized.groupBy("host").agg(F.ceil(F.max("mine") / BLOCK).cast("int").alias("__mc"), F.ceil(F.sum("other") / BLOCK).cast("int").alias("__pc"))
+
+    def members(of: DataFrame, column: str) -> DataFrame:
+        """``of`` with the ids of the component in ``column``; one without links is its own only document."""
+        known = roots.select(F.col("root").alias("__root"), F.col("id").alias("__id"))
+        return of.join(known, F.col(column) == F.col("__root"), "left").withColumn("id", F.coalesce("__id", column)).drop("__root", "__id")
+
+    hosts = members(blocks, "host").select("host", _chunk("id", "__mc").alias("mc"), F.explode(F.sequence(F.lit(0), F.col("__pc") - 1)).alias("pc"), F.lit(False).alias("partner"), "id")
+    guests = members(sized.select("host", "guest"), "guest").join(blocks.withColumnRenamed("host", "__h"), F.col("host") == F.col("__h"))
+    guests = guests.select("host", F.explode(F.sequence(F.lit(0), F.col("__mc") - 1)).alias("mc"), _chunk("id", "__pc").alias("pc"), F.lit(True).alias("partner"), "id")
+    rows = hosts.unionByName(guests).join(texts.select(F.col("id").alias("__i"), F.coalesce("text", F.lit("")).alias("text")), F.col("id") == F.col("__i"))
+    rows = _dealt(rows.select("host", "mc", "pc", "partner", "id", "text"), "host", "mc", "pc")
+    return rows.mapInArrow(_met, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept (id = component_id).
 
@@ -218,10 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialise(stars, "star-pairs")
     links = materialise(_confirmed(stars, texts), "star-links")
     roots = components(links)
-    rest = _open_pairs(shared, roots, reps)
-    met = stars.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
-    rest = rest.join(met, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti")
-    more = materialise(_confirmed(rest, texts), "open-links")
+    more = materialise(_joined(_open_components(shared, roots, reps), roots, texts), "open-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     roots = roots.select(F.col("id").alias("__i"), "root")
