@@ -26,8 +26,8 @@ from ._common import materialise, slices
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_BUCKET = 50_000
-#: Words whose ids a task keeps.
-WORDS_KEPT = 300_000
+#: Words, and words without the signs behind them, whose ids a worker keeps.
+WORDS_KEPT, CORES_KEPT = 600_000, 900_000
 
 
 def _tokenizer(path: str):
@@ -41,28 +41,82 @@ class WordIds:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its parts between spaces, tabs and line ends, which are looked up once.
+    those of its parts between spaces, tabs and line ends, which are looked up once. A
+    part of plain letters with signs behind has two pre-tokens, which are known apart.
     """
 
+    #: Signs that form one pre-token; the apostrophe starts contractions and is not here.
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.cores, self.tails = _tokenizer(path), {}, {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list({w for p in parts for w in p if w not in known})
-        for at in range(0, len(new), 2000):
-            for w, e in zip(new[at : at + 2000], self.tokenizer.encode_batch_fast(new[at : at + 2000], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        if len(self.cores) > CORES_KEPT:
+            self.cores.clear()
+        new = set()
+        for p in parts:
+            new.update(p)
+        self._learn(new.difference(self.known))
+        known = self.known.__getitem__
+        return [b"".join(map(known, p)) for p in parts]
+
+    def _learn(self, words: set[str]) -> None:
+        known, cores, signs, rest = self.known, self.cores, self.SIGNS, []
+        for w in words:
+            core = w.rstrip(signs)
+            ids = cores.get(core)
+            if ids is None:
+                rest.append((w, core))
+            else:
+                known[w] = ids + self._tail(w[len(core) :])
+        # letters below U+0130 keep their number in lower case and are in normal form
+        self._encode([c for c in {c for _, c in rest} if c.isalpha() and max(c) < "\u0130"])
+        for w, core in rest:
+            ids = cores.get(core)
+            known[w] = self._ids(w) if ids is None else ids + self._tail(w[len(core) :])
+
+    def _encode(self, new: list[str]) -> None:
+        """Ids of many words of letters at once; each is one pre-token of the joined text."""
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(part)), side="right") * 4
+            ids, start = np.array(found.ids, "<u4").tobytes(), 0
+            for c, end in zip(part, ends.tolist(), strict=True):
+                self.cores[c], start = ids[start:end], end
+
+    def _tail(self, signs: str) -> bytes:
+        if not signs:
+            return b""
+        ids = self.tails.get(signs)
+        if ids is None:
+            if len(self.tails) > 50_000:
+                self.tails.clear()
+            ids = self.tails[signs] = self._ids(signs)
+        return ids
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_word_ids: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The tokenizer with its known words, which the later tasks of a Python worker use, too."""
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(path)
+    return _word_ids[path]
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = word_ids(path)
         last = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
             keys, rows = batch.column(0), []
