@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialise
+
 BITS_PER_ROW = 16
 SEGMENT_BITS = 1 << 20
 
@@ -79,7 +81,7 @@ def possibly_repeated(keys: DataFrame, max_filter_mb: int = 64):
     touched = keys.mapInArrow(_touched(bits), "segment long, once binary, twice binary")
     merged = touched.repartition(n_segments, "segment").mapInArrow(_folded, "segment long, bits binary")
     whole = np.zeros(n_segments * SEGMENT_BITS // 8, np.uint8)
-    for segment, part in ((r.segment, r.bits) for r in merged.toLocalIterator()):
+    for segment, part in merged.collect():  # the filter's own bytes, max_filter_mb at most
         whole[segment * SEGMENT_BITS // 8 :][: SEGMENT_BITS // 8] = np.frombuffer(part, np.uint8)
     sent = spark.sparkContext.broadcast(whole)
 
@@ -111,18 +113,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tested = rows.withColumn("__may", may_repeat(F.xxhash64("__sha")))
     alone = tested.where(~F.col("__may")).select(id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
     maybe = tested.where("__may").drop("__may")
-    groups = maybe.groupBy("__sha").agg(F.min(_best(id_col)).alias("__best"), F.count(F.lit(1)).alias("group_size"))
-    grouped = maybe.drop("__len").join(groups, "__sha").select(id_col, F.col("__best.id").alias("keep_id"), "group_size", F.col(id_col).eqNullSafe(F.col("__best.id")).alias("kept"), F.col("__sha").alias("text_sha256"))
+    groups = _groups(maybe, id_col)
+    met = maybe.drop("__len").join(groups, F.col("__sha") == F.col("__g"), "left")
+    keep = F.when(F.col("__g").isNull(), F.col(id_col)).otherwise(F.col("__best.id"))
+    grouped = met.select(id_col, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col(id_col).eqNullSafe(keep).alias("kept"), F.col("__sha").alias("text_sha256"))
     return alone.unionByName(grouped)
 
 
+def _groups(maybe: DataFrame, id_col: str) -> DataFrame:
+    """(__g, __best, group_size) of texts that do repeat, written down.
+
+    So both sides of the join that follows are dealt by plain exchanges, and Spark can
+    split the partition of a text that a large part of the rows have.
+    """
+    groups = maybe.groupBy(F.col("__sha").alias("__g")).agg(F.min(_best(id_col)).alias("__best"), F.count(F.lit(1)).alias("group_size"))
+    return materialise(groups.where("group_size > 1"), "copy-groups")
+
+
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns; only possibly repeated rows shuffle."""
     columns = docs.columns
     rows = docs.withColumns({"__sha": F.sha2(normalised(F.col(text_col)), 256), "__len": F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")})
     may_repeat = possibly_repeated(rows.select(F.xxhash64("__sha")), max_filter_mb)
     keys = rows.select(id_col, "__sha", "__len").withColumn("__may", may_repeat(F.xxhash64("__sha"))).where("__may")
-    groups = keys.groupBy("__sha").agg(F.min(_best(id_col)).alias("__best"))
+    groups = _groups(keys, id_col)
     tested = rows.withColumn("__may", may_repeat(F.xxhash64("__sha")))
-    stay = tested.where("__may").join(groups, "__sha").where(F.col(id_col).eqNullSafe(F.col("__best.id")) & (-F.col("__len") == F.col("__best.len"))).dropDuplicates(["__sha"])
-    return tested.where(~F.col("__may")).select(columns).unionByName(stay.select(columns))
+    met = tested.where("__may").join(groups, F.col("__sha") == F.col("__g"), "left")
+    stay = met.where(F.col("__g").isNotNull() & F.col(id_col).eqNullSafe(F.col("__best.id")) & (-F.col("__len") == F.col("__best.len"))).dropDuplicates(["__sha"])
+    return tested.where(~F.col("__may")).select(columns).unionByName(met.where("__g IS NULL").select(columns)).unionByName(stay.select(columns))

@@ -17,7 +17,7 @@ def _bits(keys: DataFrame, rows: int, max_filter_mb: int):
     # each key is sent twice, so the twice-set bits of pass 1 are the bits of a plain filter
     merged = keys.unionByName(keys).mapInArrow(_touched(bits), "segment long, once binary, twice binary").repartition(n_segments, "segment").mapInArrow(_folded, "segment long, bits binary")
     whole = np.zeros(n_segments * SEGMENT_BITS // 8, np.uint8)
-    for segment, part in ((r.segment, r.bits) for r in merged.toLocalIterator()):
+    for segment, part in merged.collect():  # the filter's own bytes, max_filter_mb at most
         whole[segment * SEGMENT_BITS // 8 :][: SEGMENT_BITS // 8] = np.frombuffer(part, np.uint8)
     return whole, bits
 
