@@ -102,7 +102,7 @@ class Views:
     def resumes(self) -> DataFrame:
         key = F.col("doc_id")
         template = F.element_at(F.array(*map(F.lit, ("classic", "fresher", "tech", "other"))), (key % 4 + 1).cast("int"))
-        return spread(self.table("documents")).select(key.alias("resume_id"), (key % 150).alias("user_id"), F.when(key % 9 != 0, key % 40).alias("jd_id"), F.col("source").alias("title"), template.alias("template"), _hours(key * 7).alias("created_at"), (F.col("n_chars") % 7).alias("downloads"), F.coalesce("text", F.lit("")).alias("text"))
+        return spread(self.table("documents")).select(key.alias("resume_id"), (key % 150).alias("user_id"), F.when(key % 9 != 0, F.pmod(key, F.lit(self.n_jds))).alias("jd_id"), F.col("source").alias("title"), template.alias("template"), _hours(key * 7).alias("created_at"), (F.col("n_chars") % 7).alias("downloads"), F.coalesce("text", F.lit("")).alias("text"))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -116,11 +116,15 @@ class Views:
 
     @cached_property
     def jds(self) -> DataFrame:
-        return self.table("benchmark").where("item_id < 40").select(F.col("item_id").alias("jd_id"), F.col("text").alias("jd_text"))
+        return self.table("benchmark").select(F.col("item_id").alias("jd_id"), F.col("text").alias("jd_text"))
+
+    @cached_property
+    def n_jds(self) -> int:
+        return max(1, self.jds.count())
 
     @cached_property
     def reports(self) -> DataFrame:
-        return self.table("orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("resume_id"), F.col("o_orderdate").alias("created_at"), (F.floor("o_totalprice") % 101).alias("total_score"), (F.col("o_orderkey") % 40).alias("jd_id"))
+        return self.table("orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("resume_id"), F.col("o_orderdate").alias("created_at"), (F.floor("o_totalprice") % 101).alias("total_score"), F.pmod("o_orderkey", F.lit(self.n_jds)).alias("jd_id"))
 
     @cached_property
     def library(self) -> DataFrame:
