@@ -66,6 +66,16 @@ def crc_bucket(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def hash_limit(share: float) -> int:
+    """The 63-bit limit that ``drawn`` takes for this share of the ids, at any size of the table."""
+    return min(2**63 - 1, int(share * 2.0**63))
+
+
+def drawn(seed: str, column: Column, limit: Column) -> Column:
+    """Whether the 63-bit hash of an id is within ``limit`` (see ``hash_limit``)."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), column), 1) <= limit
+
+
 def hash64(word: bytes) -> int:
     import xxhash
 

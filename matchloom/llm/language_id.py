@@ -12,14 +12,16 @@ language, by hash of the id); every word of every text is scored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from math import exp, inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket, mix64, slices
+from ._common import crc_bucket, drawn, hash_limit, mix64, slices
 
 #: Labelled documents that the fit takes for each language, about.
 MAX_DOCS = 1500
@@ -152,6 +154,34 @@ def _long_word(word: str, vocabulary: Vocabulary, probs: np.ndarray) -> np.ndarr
     return scale
 
 
+def _long_expected(lang: int, word: str, times: int, vocabulary: Vocabulary, probs: np.ndarray, out: np.ndarray) -> None:
+    """Adds the expected piece uses of one word of any length; sums over segmentations are kept as logarithms."""
+    n, ids, own = len(word), vocabulary.ids, probs[:, lang]
+
+    def spans(i: int) -> list[tuple[int, int, float]]:
+        """(end, piece, log probability) of the pieces that start at i; piece -1: an uncovered character."""
+        found = [(j, p, log(own[p])) for j in range(i + 1, min(n, i + vocabulary.longest) + 1) if (p := ids.get(word[i:j])) is not None and own[p] > 0]
+        return found if word[i] in ids else [(i + 1, -1, log(UNKNOWN)), *found]
+
+    before, after = array("d", [-inf]) * (n + 1), array("d", [-inf]) * (n + 1)
+    before[0] = after[n] = 0.0
+    for i in range(n):
+        for j, _, p in spans(i):
+            before[j] = _log_sum(before[j], before[i] + p)
+    for i in range(n - 1, -1, -1):
+        for j, piece, p in spans(i):
+            after[i] = _log_sum(after[i], after[j] + p)
+            if piece >= 0:
+                out[piece, lang] += times * exp(before[i] + p + after[j] - before[n])
+
+
+def _log_sum(a: float, b: float) -> float:
+    """Logarithm of the sum of two numbers given as logarithms."""
+    if a < b:
+        a, b = b, a
+    return a if b == -inf else a + log1p(exp(b - a))
+
+
 def word_scores(words: list[str], vocabulary: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """Natural log probability of each word, with the start mark before it, under each language."""
     words = [START + w for w in words]
@@ -180,7 +210,9 @@ def expected_counts(counts: list[tuple[int, str, int]], vocabulary: Vocabulary,
     out = np.zeros_like(probs)
     by_length: dict[int, list] = {}
     for row in counts:
-        if len(row[1]) <= SHORT:  # longer ones are scored, but teach nothing
+        if len(row[1]) > SHORT:
+            _long_expected(*row, vocabulary, probs, out)
+        else:
             by_length.setdefault(len(row[1]), []).append(row)
     for rows in by_length.values():
         for at in range(0, len(rows), 10_000):
@@ -248,8 +280,8 @@ def fit(labelled: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
     vocabulary = Vocabulary(vocabulary_path)
     if not langs:
         return Model(vocabulary_path, [], np.zeros((vocabulary.size, 0)))
-    share = F.coalesce(*[F.when(F.col(lang_col) == x, F.lit(int(min(1.0, max_docs / n) * 1_000_000))) for x, n in sizes.items()])
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit("lang"), F.col(id_col)), F.lit(1_000_000)) < share)
+    limit = F.coalesce(*[F.when(F.col(lang_col) == x, F.lit(hash_limit(max_docs / n))) for x, n in sizes.items()])
+    sample = labelled.where(drawn("lang", F.col(id_col), limit))
     counts = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_word_counts, "lang string, word string, times long")
     counts = counts.groupBy("lang", "word").agg(F.sum("times").alias("times")).repartition("word").persist()
     probs = np.repeat(normalised(np.ones((vocabulary.size, 1)), vocabulary), len(langs), axis=1)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, as_bytes, mix64, slices
+from ._common import WordHashes, as_bytes, drawn, hash_limit, mix64, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -174,8 +174,7 @@ def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_l
     No labelled rows give no rules.
     """
     labels = labels.where(F.col("quality").isin(0, 1)).select(F.col(id_col).alias("__id"), F.col("quality").alias("__quality"))
-    share = min(1.0, max_labelled / max(1, labels.count()))
-    labels = labels.where(F.pmod(F.xxhash64(F.lit("rules"), "__id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    labels = labels.where(drawn("rules", F.col("__id"), F.lit(hash_limit(max_labelled / max(1, labels.count())))))
     rows = stats.join(labels, F.col(id_col) == F.col("__id")).where(~base_failed())
     rows = rows.select("__id", "__quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()]).toPandas()
     rows = rows.assign(h=mix64(rows["__id"].to_numpy().astype(np.uint64))).sort_values(["h", "__id"])
@@ -204,7 +203,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     base rules decide.
     """
     labelled = docs.join(labels.where(F.col("quality").isin(0, 1)).select(F.col(id_col).alias("__lid")).distinct(), F.col(id_col) == F.col("__lid"), "left_semi")
-    share = min(1.0, max_labelled / max(1, labels.where(F.col("quality").isin(0, 1)).count()))
-    labelled = labelled.where(F.pmod(F.xxhash64(F.lit("rules"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+    limit = hash_limit(max_labelled / max(1, labels.where(F.col("quality").isin(0, 1)).count()))
+    labelled = labelled.where(drawn("rules", F.col(id_col), F.lit(limit)))
     rules = fit_rules(text_statistics(labelled, id_col, text_col), labels, id_col, max_labelled)
     return apply_rules(text_statistics(docs, id_col, text_col), rules)

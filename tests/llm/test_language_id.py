@@ -1,9 +1,10 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from matchloom.llm import language_id
-from matchloom.llm._common import documents
+from matchloom.llm._common import documents, drawn, hash_limit
 from matchloom.llm.queries import vocabulary
 
 from ._fixtures import SCHEMA, odd_rows
@@ -69,3 +70,31 @@ def test_odd_rows(spark):
     assert language_id.identify(docs.limit(0), PATH).count() == 0
     nothing = docs.withColumn("lang", docs.lang.substr(100, 1)).selectExpr("doc_id", "text", "nullif(lang, '') lang")
     assert {r.lang_pred for r in language_id.identify(nothing, PATH).collect()} == {"und"}
+
+
+def test_long_words_teach(monkeypatch):
+    """A word beyond SHORT has the expectations of all its segmentations; a very long one stays in range."""
+    vocabulary_ = language_id.Vocabulary(PATH)
+    rng = np.random.default_rng(1)
+    probs = rng.dirichlet(np.ones(vocabulary_.size), 2).T + 1e-9
+    length = np.zeros(vocabulary_.size)
+    for p, i in vocabulary_.ids.items():
+        length[i] = len(p)
+    word = "▁" + "antidisestablishment" * 2 + "a日"
+    got = language_id.expected_counts([(1, word, 3)], vocabulary_, probs)
+    monkeypatch.setattr(language_id, "SHORT", 99)
+    want = language_id.expected_counts([(1, word, 3)], vocabulary_, probs)
+    monkeypatch.undo()
+    assert got.sum() > 0 and np.allclose(got, want)
+    got = language_id.expected_counts([(0, "▁" + "nation" * 3000, 2)], vocabulary_, probs)
+    assert np.isclose(length @ got[:, 0], 2 * 18_001)
+
+
+def test_samples_hold_at_any_size(spark):
+    """A share far below a millionth draws ids still, about its number; a share of 1 or more draws all."""
+    assert 0 < hash_limit(1500 / 1e12) < 2**63 * 2e-9
+    ids = spark.range(200_000)
+    assert 1000 < ids.where(drawn("lang", ids.id, F.lit(hash_limit(1500 / 200_000)))).count() < 2000
+    tiny = spark.range(20_000_000)
+    assert 2 <= tiny.where(drawn("lang", tiny.id, F.lit(hash_limit(5e-7)))).count() <= 30
+    assert ids.where(drawn("lang", ids.id, F.lit(hash_limit(3.0)))).count() == 200_000
