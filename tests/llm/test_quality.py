@@ -136,3 +136,18 @@ def test_classifier_odd_rows(spark):
     some = spark.createDataFrame([(3, 1, 0), (5, 1, None), (9, 0, 0)], "doc_id long, quality int, toxic int")
     assert kneser_ney.classify(docs, some).where("trusted").count() == 2
     assert kneser_ney.classify(docs.limit(0), some).count() == 0
+
+
+def test_large_model_keeps_its_order(spark, monkeypatch):
+    """A model over MODEL_ROWS goes in parts and gives the same scores as the whole table of 5-grams."""
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    whole, order = kneser_ney.fit(docs)
+    table = kneser_ney.Table(pa.ipc.open_stream(whole).read_all(), order)
+    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", 1000)
+    parts, order = kneser_ney.fit_parts(docs)
+    assert order == kneser_ney.ORDER == 5 and len(parts) > 3
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = kneser_ney.log_probabilities(docs, (parts, order)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.n_bytes == len(texts[r.doc_id]) and math.isclose(r.log10_prob, table.log10(texts[r.doc_id]), rel_tol=1e-9, abs_tol=1e-9)
