@@ -8,6 +8,8 @@ own, so notices such as ``Released under the MIT License.`` are found in documen
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,8 +98,35 @@ KNOWN = (
 COPYRIGHT_LINE = "(?m)^[^a-z0-9\\n]*(?:copyright[ \\t]*(?:\\(c\\)|©|[0-9]{4})|\\(c\\)[ \\t]*(?:copyright|[0-9]{4})|©|all rights reserved)[^\\n]*"
 
 
+#: Words with which the body of a licence ends and its header form begins and ends, where it has them.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+HEADERS = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the", "limitations under the License."),
+    ("GPL-2.0", "This program is free software; you can", "MA 02110-1301 USA."),
+    ("GPL-3.0", "This program is free software: you can", "www.gnu.org/licenses/>."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms", "mozilla.org/MPL/2.0/."),
+)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of ``licence_texts``: entire texts, these without the appendix, and header forms."""
+    whole = {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    out = list(whole.items())
+    for name, text in whole.items():
+        body, mark, _ = text.partition(END_OF_TERMS)
+        if mark:
+            out += [(name, body), (name, body + mark)]
+    for name, first, last in HEADERS:
+        at = whole[name].find(first)
+        to = whole[name].find(last, at)
+        if min(at, to) >= 0:
+            out.append((name, whole[name][at : to + len(last)]))
+    return out
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "licence string, licence_text string")
+    """Notices and texts of this module; ``scan_licences`` takes any table of this form."""
+    return spark.createDataFrame([*KNOWN, *full_texts()], "licence string, licence_text string")
 
 
 def canonical_lines(text: Column) -> Column:

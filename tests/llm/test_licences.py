@@ -34,3 +34,15 @@ def test_whole_table_and_odd_rows(spark):
     assert licences.scan_licences(odd.limit(0), licences.known_licences(spark)).count() == 0
     twice = docs.limit(3).union(docs.limit(3))
     assert licences.scan_licences(twice, licences.known_licences(spark)).count() == 6
+
+
+def test_entire_texts_of_common_licences(spark):
+    """Whole texts with other spacing and case, bodies without the appendix, header forms, and a caller's own table."""
+    whole = dict(reversed(licences.full_texts()))
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(whole)
+    texts = [(name, f"Copyright (c) 2021 Some Body\n\n{text.upper()}") for name, text in licences.full_texts()]
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan_licences(docs, licences.known_licences(spark)).collect()}
+    assert [got[k] for k in range(len(texts))] == [name for name, _ in texts]
+    own = spark.createDataFrame([("Own-1.0", "My own terms.")], "licence string, licence_text string")
+    assert licences.scan_licences(spark.createDataFrame([(1, "my own TERMS")], "doc_id long, text string"), own).first().licence == "Own-1.0"
