@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,51 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Hands memory that Python and Arrow have freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which a worker holds none of its memory: tasks of other stages use the same workers."""
+
+    def whole(batches: Iterator) -> Iterator:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+class BoundedWords(dict):
+    """What is known of words, in bounded bytes: all goes when full, and long words stay out."""
+
+    #: Bytes of an entry besides its word, about; words over ``LONG`` are not kept.
+    ENTRY, LONG = 220, 64
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.used = room, 0
+
+    def make_room(self) -> None:
+        if self.used > self.room:
+            self.clear()
+            self.used = 0
+
+    def keep(self, word, value) -> None:
+        """Keeps the value of a word that is not too long."""
+        if len(word) <= self.LONG:
+            self[word] = value
+            self.used += self.ENTRY + len(word)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -92,19 +139,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of words through a dictionary that is emptied when full."""
+    """64-bit hashes of words, looked up in a dictionary of bounded bytes."""
 
-    def __init__(self, room: int = 400_000):
-        self.room, self.known = room, {}
+    def __init__(self, room: int = 40_000_000):
+        self.known = BoundedWords(room)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            if len(known) > self.room:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = hash64(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            known.make_room()
+        out = np.empty(len(words), np.uint64)
+        for k, w in enumerate(words):
+            h = known.get(w)
+            if h is None:
+                known.keep(w, h := hash64(w))
+            out[k] = h
+        return out

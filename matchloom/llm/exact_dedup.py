@@ -1,15 +1,18 @@
 """Exact de-duplication by two-pass Bloom filtering.
 
-Pass 1 hashes every text and records which filter bits at least two rows set.
-Each task first folds its own rows, and sends the bit positions that they touch to
-the task that owns that segment of the filter; a segment stays bounded however
-large the corpus is. Pass 2 tests every row against the filter of twice-set bits:
-rows whose text cannot repeat pass straight through, the others shuffle and are
-grouped by their full SHA-256.
+Every text is hashed once, into a written table of (id, SHA-256, length). Pass 1 reads
+the hashes and records which filter bits at least two rows set. Each task first folds
+its own rows, and sends the bit positions that they touch to the task that owns that
+segment of the filter; a segment stays bounded however large the corpus is. Pass 2 tests
+every row of the table against the filter of twice-set bits: rows whose text cannot
+repeat pass straight through, the others shuffle, without their texts, and are grouped
+by their full SHA-256.
 
 The filter that executors receive is at most ``max_filter_mb``. Up to that bound it
 has ``BITS_PER_ROW`` bits a row, which about 1.4 % of the unique rows pass wrongly;
-beyond it more unique rows join the shuffle, and the result stays exact.
+beyond it (33 million rows at 64 MB) more unique rows join the shuffle, all of them from
+some hundred million rows on. The result stays exact, and what shuffles are rows of the
+table of hashes, about 90 bytes each.
 """
 
 from __future__ import annotations
@@ -72,18 +75,20 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"segment": pa.array([segment], pa.int64()), "bits": pa.array([np.packbits(seen > 1).tobytes()], pa.binary())})
 
 
-def possibly_repeated(keys: DataFrame, max_filter_mb: int = 64):
+def filter_bits(rows: int, max_filter_mb: int) -> int:
+    return int(min(max(SEGMENT_BITS, rows * BITS_PER_ROW), max_filter_mb * 8_000_000, 2**32))
+
+
+def possibly_repeated(keys: DataFrame, rows: int, max_filter_mb: int = 64):
     """Column function that tells whether a key of the one-column frame ``keys`` may occur twice."""
-    spark = keys.sparkSession
-    rows = keys.count()
-    bits = int(min(max(SEGMENT_BITS, rows * BITS_PER_ROW), max_filter_mb * 8_000_000, 2**32))
+    bits = filter_bits(rows, max_filter_mb)
     n_segments = -(-bits // SEGMENT_BITS)
     touched = keys.mapInArrow(_touched(bits), "segment long, once binary, twice binary")
     merged = touched.repartition(n_segments, "segment").mapInArrow(_folded, "segment long, bits binary")
     whole = np.zeros(n_segments * SEGMENT_BITS // 8, np.uint8)
     for segment, part in merged.collect():  # the filter's own bytes, max_filter_mb at most
         whole[segment * SEGMENT_BITS // 8 :][: SEGMENT_BITS // 8] = np.frombuffer(part, np.uint8)
-    sent = spark.sparkContext.broadcast(whole)
+    sent = keys.sparkSession.sparkContext.broadcast(whole)
 
     @F.pandas_udf("boolean")
     def may_repeat(key: pd.Series) -> pd.Series:
@@ -100,6 +105,12 @@ def _best(id_col: str) -> Column:
     return F.struct((-F.col("__len")).alias("len"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
 
 
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, __sha, __len) of every row, written once: all passes but that over the texts read these."""
+    length = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    return materialise(docs.select(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256).alias("__sha"), length.alias("__len")), "text-digests")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: int = 64) -> DataFrame:
     """One decision per row: id, keep_id, group_size, kept, text_sha256.
 
@@ -108,8 +119,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (``distinct_documents`` keeps one of them). Other columns are ignored, whatever
     their names. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256).alias("__sha"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__len"))
-    may_repeat = possibly_repeated(rows.select(F.xxhash64("__sha")), max_filter_mb)
+    rows = _digests(docs, id_col, text_col)
+    may_repeat = possibly_repeated(rows.select(F.xxhash64("__sha")), rows.count(), max_filter_mb)
     tested = rows.withColumn("__may", may_repeat(F.xxhash64("__sha")))
     alone = tested.where(~F.col("__may")).select(id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
     maybe = tested.where("__may").drop("__may")
@@ -131,13 +142,25 @@ def _groups(maybe: DataFrame, id_col: str) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns; only possibly repeated rows shuffle."""
-    columns = docs.columns
-    rows = docs.withColumns({"__sha": F.sha2(normalised(F.col(text_col)), 256), "__len": F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")})
-    may_repeat = possibly_repeated(rows.select(F.xxhash64("__sha")), max_filter_mb)
-    keys = rows.select(id_col, "__sha", "__len").withColumn("__may", may_repeat(F.xxhash64("__sha"))).where("__may")
-    groups = _groups(keys, id_col)
-    tested = rows.withColumn("__may", may_repeat(F.xxhash64("__sha")))
-    met = tested.where("__may").join(groups, F.col("__sha") == F.col("__g"), "left")
-    stay = met.where(F.col("__g").isNotNull() & F.col(id_col).eqNullSafe(F.col("__best.id")) & (-F.col("__len") == F.col("__best.len"))).dropDuplicates(["__sha"])
-    return tested.where(~F.col("__may")).select(columns).unionByName(met.where("__g IS NULL").select(columns)).unionByName(stay.select(columns))
+    """The rows of ``docs`` that stay, with its columns, whatever their names.
+
+    Of equal texts the row of ``exact_dedup`` stays, once if it is repeated; null, empty
+    and blank texts are one group; a row without an id stays only if no equal text has
+    one. Groups are decided on digests. Of the texts only those pass a shuffle whose id
+    may be in a group (a filter of ids); the row's own digest decides there. An empty
+    table gives no rows.
+    """
+    from .id_filter import may_contain
+
+    rows = _digests(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
+    may_repeat = possibly_repeated(rows.select(F.xxhash64("__sha")), rows.count(), max_filter_mb)
+    maybe = rows.where(may_repeat(F.xxhash64("__sha")))
+    groups = _groups(maybe, "__id")
+    members = maybe.join(groups, F.col("__sha") == F.col("__g"), "left_semi").select("__id").distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    tested = whole.withColumn("__may", may_contain(materialise(members, "copy-ids"), max_filter_mb)("__id"))
+    length = F.char_length(F.coalesce(F.col("__text"), F.lit(""))).cast("long")
+    own = tested.where("__may").select("__row", "__id", F.sha2(normalised(F.col("__text")), 256).alias("__sha"), length.alias("__len"))
+    met = own.join(groups, F.col("__sha") == F.col("__g"), "left")
+    stay = met.where(F.col("__g").isNotNull() & F.col("__id").eqNullSafe(F.col("__best.id")) & (-F.col("__len") == F.col("__best.len"))).dropDuplicates(["__sha"])
+    return tested.where(~F.col("__may")).select("__row.*").unionByName(met.where("__g IS NULL").select("__row.*")).unionByName(stay.select("__row.*"))

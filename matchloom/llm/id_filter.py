@@ -6,13 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import BITS_PER_ROW, SEGMENT_BITS, _folded, _positions, _touched
+from .exact_dedup import SEGMENT_BITS, _folded, _positions, _touched, filter_bits
 
 
 def _bits(keys: DataFrame, rows: int, max_filter_mb: int):
     import numpy as np
 
-    bits = int(min(max(SEGMENT_BITS, rows * BITS_PER_ROW), max_filter_mb * 8_000_000, 2**32))
+    bits = filter_bits(rows, max_filter_mb)
     n_segments = -(-bits // SEGMENT_BITS)
     # each key is sent twice, so the twice-set bits of pass 1 are the bits of a plain filter
     merged = keys.unionByName(keys).mapInArrow(_touched(bits), "segment long, once binary, twice binary").repartition(n_segments, "segment").mapInArrow(_folded, "segment long, bits binary")
@@ -42,8 +42,12 @@ def may_contain(ids: DataFrame, max_filter_mb: int = 64):
 
 
 def without(rows: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """``rows`` but those whose id is in ``dropped``; only rows that may be there shuffle."""
-    tested = rows.withColumn("__may", may_contain(dropped)(id_col))
+    """``rows`` but those whose id is in ``dropped``; only rows that may be there shuffle.
+
+    Rows without an id stay. Columns stay as they are, whatever their names.
+    """
+    whole = rows.select(F.struct(*rows.columns).alias("__row"), F.col(id_col).alias("__id"))
+    tested = whole.withColumn("__may", may_contain(dropped)("__id"))
     gone = dropped.select(F.col(dropped.columns[0]).alias("__gone"))
-    stay = tested.where("__may").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return tested.where(~F.col("__may")).select(rows.columns).unionByName(stay.select(rows.columns))
+    stay = tested.where("__may").join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    return tested.where(~F.col("__may")).select("__row.*").unionByName(stay.select("__row.*"))

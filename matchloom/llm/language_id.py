@@ -11,30 +11,31 @@ language, by hash of the id); every word of every text is scored.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from math import exp, inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket, drawn, hash_limit, mix64, slices
+from ._common import SLICE_ROWS, BoundedWords, crc_bucket, drawn, hash_limit, mix64, releasing, slices
 
 #: Labelled documents that the fit takes for each language, about.
 MAX_DOCS = 1500
 ROUNDS = 3
 #: Words up to this long go through the forward algorithm together.
 SHORT = 40
-WORDS_KEPT = 400_000
+#: Bytes of words whose scores a task keeps, about.
+WORDS_ROOM = 40_000_000
 #: Probability of a character that no piece covers, and the weight of unseen pieces.
 UNKNOWN, PRIOR = 1e-7, 0.05
 #: Per-character factor that keeps forward sums of short words in range.
 SCALE = 8.0
 START = "▁"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 class Vocabulary:
@@ -282,12 +283,12 @@ def fit(labelled: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
         return Model(vocabulary_path, [], np.zeros((vocabulary.size, 0)))
     limit = F.coalesce(*[F.when(F.col(lang_col) == x, F.lit(hash_limit(max_docs / n))) for x, n in sizes.items()])
     sample = labelled.where(drawn("lang", F.col(id_col), limit))
-    counts = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_word_counts, "lang string, word string, times long")
+    counts = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(releasing(_word_counts), "lang string, word string, times long")
     counts = counts.groupBy("lang", "word").agg(F.sum("times").alias("times")).repartition("word").persist()
     probs = np.repeat(normalised(np.ones((vocabulary.size, 1)), vocabulary), len(langs), axis=1)
     for _ in range(rounds):
         sent = labelled.sparkSession.sparkContext.broadcast((vocabulary_path, probs))
-        uses = counts.mapInArrow(_expectations(sent, langs), "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).collect()
+        uses = counts.mapInArrow(releasing(_expectations(sent, langs)), "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).collect()
         expected = np.zeros_like(probs)
         for piece, lang, n in uses:
             expected[piece, lang] = n
@@ -298,58 +299,62 @@ def fit(labelled: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
 
 
 class Scorer:
-    """Scores texts; keeps the scores of words until there are ``WORDS_KEPT``."""
+    """Scores texts; keeps the scores of words, in bounded bytes."""
 
     def __init__(self, model: Model):
         self.model, self.vocabulary = model, Vocabulary(model.path)
-        self.place: dict[str, int] = {}
+        self.place = BoundedWords(WORDS_ROOM)
         self.scores = np.zeros((0, len(model.langs)), np.float32)
 
-    def _learn(self, words: list[str]) -> None:
-        new = sorted(set(words).difference(self.place))
-        if len(self.place) + len(new) > WORDS_KEPT:
-            self.place.clear()
-            self.scores, new = self.scores[:0], sorted(set(words))
+    def _learn(self, words: set[str]) -> None:
+        self.place.make_room()
+        if not self.place:
+            self.scores = self.scores[:0]
+        new = sorted(w for w in words if len(w) <= BoundedWords.LONG and w not in self.place)
         if new:
+            for row, w in enumerate(new, len(self.scores)):
+                self.place.keep(w, row)
             self.scores = np.vstack([self.scores, word_scores(new, self.vocabulary, self.model.probs).astype(np.float32)])
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         words = [_words(t) if t and LETTER.search(t) and self.model.langs else [] for t in texts]
-        self._learn([w for own in words for w in own])
+        every = {w for own in words for w in own}
+        self._learn(every)
+        long = [w for w in every if len(w) > BoundedWords.LONG]
+        beside = dict(zip(long, word_scores(long, self.vocabulary, self.model.probs), strict=True)) if long else {}
         out = []
         for own in words:
             if not own:
                 out.append(("und", 0.0))
                 continue
-            total = self.scores[np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))].sum(axis=0, dtype=np.float64)
+            kept = [w for w in own if w not in beside] if beside else own
+            total = self.scores[np.fromiter(map(self.place.__getitem__, kept), np.int64, len(kept))].sum(axis=0, dtype=np.float64)
+            if len(kept) < len(own):
+                total = total + sum(beside[w] for w in own if w in beside)
             best = int(np.argmax(total))
             out.append((self.model.langs[best], float(1 / np.exp(total - total[best]).sum())))
         return out
 
 
-def _predictions(sent, names: list[str], at: int):
+def _predictions(sent, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in slices(batches):
-            found = scorer(batch.column(at).to_pylist())
-            keep = [(n, batch.column(i)) for i, n in enumerate(names) if n is not None]
-            yield pa.record_batch([*(c for _, c in keep), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*(n for n, _ in keep), "lang_pred", "score"])
+            found = scorer(batch.column(1).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[name, "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, the ``keep`` columns, lang_pred, score (posterior under even priors).
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, lang_pred, score (posterior under even priors).
 
     ``und`` with score 0 where the text is null, has no letter, or the model has no
     language. Of equal scores the first language in order wins. Repeated rows stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [id_col, *keep]
-    rows = docs.select(*columns, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double"
-    return rows.mapInArrow(_predictions(sent, [*columns, None], len(columns)), schema)
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
+    return docs.select(id_col, text_col).mapInArrow(releasing(_predictions(sent, id_col)), schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -362,10 +367,33 @@ def identify(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
     return predict(docs, model, id_col, text_col).withColumn("held_out", held_out(id_col)).select(id_col, "held_out", "lang_pred", "score")
 
 
+def clear(text: Column, model: Model, least_score: float, spark) -> Column:
+    """Whether the text has a predicted language whose score is ``least_score`` or more."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(sent.value)
+        for column in texts:
+            kept = []
+            for at in range(0, len(column), SLICE_ROWS):
+                kept += [lang != "und" and score >= least_score for lang, score in scorer(column.slice(at, SLICE_ROWS).to_pylist())]
+            yield pa.array(kept, pa.bool_())
+
+    released = releasing(scored)
+
+    def tested(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(texts)
+
+    return F.arrow_udf(tested, "boolean")(text)
+
+
 def in_known_language(docs: DataFrame, vocabulary_path: str, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a predicted language whose score is ``least_score`` or more."""
+    """The rows of ``docs`` with a predicted language whose score is ``least_score`` or more.
+
+    Null, empty and letterless texts go, and all rows go if no row has a language to learn
+    from. Every row is decided by its own text: repeats and rows without an id are kept or
+    go like any other. All columns stay as they are, whatever their names; only the text
+    reaches Python. An empty table gives no rows.
+    """
     model = fit(docs.where(~held_out(id_col)), vocabulary_path, id_col, text_col, lang_col)
-    columns = docs.columns
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    kept = predict(renamed, model, f"c{columns.index(id_col)}", f"c{columns.index(text_col)}", tuple(c for i, c in enumerate(renamed.columns) if i != columns.index(id_col)))
-    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    return docs.where(clear(F.col(text_col), model, least_score, docs.sparkSession))

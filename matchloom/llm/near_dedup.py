@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, as_bytes, materialise, mix64, slices
+from ._common import WordHashes, as_bytes, materialise, mix64, releasing, slices
 from .id_filter import may_contain, without
 
 SHINGLE = 5
@@ -34,6 +34,8 @@ BANDS = 2 * PERMUTATIONS // BAND
 MAYBE = 0.62
 #: Documents on each side of a task: of a bucket by signature, of components by full sets.
 CHUNK, BLOCK = 1024, 256
+#: Shingles on each side of a task on full sets, about.
+BLOCK_SHINGLES = 500_000
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -107,21 +109,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     right = texts.select(F.col("id").alias("__b"), F.col("text").alias("text_b"))
     rows = pairs.join(right, F.col("b") == F.col("__b")).join(left, F.col("a") == F.col("__a")).select("a", "b", "text_a", "text_b")
     kind = pairs.schema["a"].dataType.simpleString()
-    return rows.mapInArrow(_linked, f"a {kind}, b {kind}")
+    return rows.mapInArrow(releasing(_linked), f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b): large-star and small-star in turn until nothing moves.
 
-    Edges point from the larger to the smaller id; a hub is never gathered in one task,
-    as each round takes a minimum per id and joins it back.
+    Edges point from the larger to the smaller id. The minimum of each id is written and
+    then joined back, so that both sides of the join are dealt by plain exchanges and
+    Spark can split the partition of a hub.
     """
 
     def starred(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
         if large:
             both = both.unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        lowest = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("k"), F.least("x", "m").alias("m"))
+        lowest = materialise(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("k"), F.least("x", "m").alias("m")), "lowest")
         met = both.join(lowest, F.col("x") == F.col("k"))
         if large:
             out = met.where(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v"))
@@ -196,7 +199,7 @@ def _open_components(shared: DataFrame, roots: DataFrame, signed: DataFrame) ->
     marks = signed.select(F.col("id").alias("__i"), "n", "marks")
     rows = inner.unionByName(outer).join(marks, F.col("id") == F.col("__i")).select("key", "mc", "oc", "outside", "id", "root", "centre", "n", "marks")
     rows = _dealt(rows, "key", "mc", "oc")
-    return rows.mapInArrow(_estimated, f"a {kind}, b {kind}").distinct()
+    return rows.mapInArrow(releasing(_estimated), f"a {kind}, b {kind}").distinct()
 
 
 def _chunk(column: str, of: str):
@@ -241,16 +244,21 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
 
-def _joined(pairs: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between the components of ``pairs``: the smaller one's documents meet the larger one's in blocks."""
+def _joined(pairs: DataFrame, roots: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the components of ``pairs``: the smaller one's documents meet the larger one's in blocks.
+
+    A block is bounded in documents and in shingles, about.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    sizes = reps.select("id", "n").join(roots.select(F.col("id").alias("__i"), "root"), F.col("id") == F.col("__i"), "left")
+    sizes = sizes.groupBy(F.coalesce("root", "id").alias("root")).agg(F.struct(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).alias("size"))
     size = lambda name: sizes.select(F.col("root").alias(f"__{name}"), F.col("size").alias(f"size_{name}"))
-    sized = pairs.join(size("a"), F.col("a") == F.col("__a"), "left").join(size("b"), F.col("b") == F.col("__b"), "left")
-    sized = sized.select("a", "b", F.coalesce("size_a", F.lit(1)).alias("size_a"), F.coalesce("size_b", F.lit(1)).alias("size_b"))
-    host = F.when(F.col("size_a") >= F.col("size_b"), F.col("a")).otherwise(F.col("b"))
-    sized = materialise(sized.select(host.alias("host"), F.when(host == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("guest"), F.greatest("size_a", "size_b").alias("mine"), F.least("size_a", "size_b").alias("other")), "open-pairs")
-    blocks = sized.groupBy("host").agg(F.ceil(F.max("mine") / BLOCK).cast("int").alias("__mc"), F.ceil(F.sum("other") / BLOCK).cast("int").alias("__pc"))
+    sized = pairs.join(size("a"), F.col("a") == F.col("__a")).join(size("b"), F.col("b") == F.col("__b"))
+    first = F.col("size_a.docs") >= F.col("size_b.docs")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    sized = materialise(sized.select(pick("a", "b", "host"), pick("b", "a", "guest"), pick("size_a", "size_b", "mine"), pick("size_b", "size_a", "other")), "open-pairs")
+    parts = lambda docs, shingles: F.greatest(F.ceil(docs / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    blocks = sized.groupBy("host").agg(parts(F.max("mine.docs"), F.max("mine.shingles")).alias("__mc"), parts(F.sum("other.docs"), F.sum("other.shingles")).alias("__pc"))
 
     def members(of: DataFrame, column: str) -> DataFrame:
         """``of`` with the ids of the component in ``column``; one without links is its own only document."""
@@ -262,7 +270,7 @@ def _joined(pairs: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     guests = guests.select("host", F.explode(F.sequence(F.lit(0), F.col("__mc") - 1)).alias("mc"), _chunk("id", "__pc").alias("pc"), F.lit(True).alias("partner"), "id")
     rows = hosts.unionByName(guests).join(texts.select(F.col("id").alias("__i"), F.coalesce("text", F.lit("")).alias("text")), F.col("id") == F.col("__i"))
     rows = _dealt(rows.select("host", "mc", "pc", "partner", "id", "text"), "host", "mc", "pc")
-    return rows.mapInArrow(_met, f"a {kind}, b {kind}")
+    return rows.mapInArrow(releasing(_met), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(source.mapInArrow(_signed, f"id {kind}, n long, k1 long, k2 long, bands array<long>, marks binary"), "signatures")
+    signed = materialise(source.mapInArrow(releasing(_signed), f"id {kind}, n long, k1 long, k2 long, bands array<long>, marks binary"), "signatures")
     usable = signed.where("n > 0 and id is not null")
     classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("rep")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "rep")
     members = signed.select("id", "n", "k1", "k2").join(classes, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
@@ -291,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialise(stars, "star-pairs")
     links = materialise(_confirmed(stars, texts), "star-links")
     roots = components(links)
-    more = materialise(_joined(_open_components(shared, roots, reps), roots, texts), "open-links")
+    more = materialise(_joined(_open_components(shared, roots, reps), roots, texts, reps), "open-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     roots = roots.select(F.col("id").alias("__i"), "root")
@@ -301,6 +309,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component."""
+    """The rows of ``docs`` that stay, with its columns, whatever their names: one document of each component.
+
+    Null, empty and blank texts have no near copies and stay, as do rows without an id.
+    Rows that repeat an id stand for one document, and stay or go together. Of a
+    component the smallest id stays. An empty table gives no rows.
+    """
     decisions = materialise(near_duplicates(docs, id_col, text_col), "near-decisions")
     return without(docs, decisions.where(~F.col("kept")).select(id_col).distinct(), id_col)

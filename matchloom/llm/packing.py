@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, slices
+from ._common import BoundedWords, materialise, releasing, slices
 
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_BUCKET = 50_000
-#: Words, and words without the signs behind them, whose ids a worker keeps.
-WORDS_KEPT, CORES_KEPT = 600_000, 900_000
+#: Bytes of words, and of words without the signs behind them, whose ids a task keeps, about.
+WORDS_ROOM, CORES_ROOM, TAILS_ROOM = 40_000_000, 40_000_000, 2_000_000
 
 
 def _tokenizer(path: str):
@@ -43,42 +43,48 @@ class WordIds:
     The tokenizer drops white space and never joins across it, so a text's ids are
     those of its parts between spaces, tabs and line ends, which are looked up once. A
     part of plain letters with signs behind has two pre-tokens, which are known apart.
+    What is kept is bounded in bytes; long parts, such as lines without spaces, are
+    encoded where they stand.
     """
 
     #: Signs that form one pre-token; the apostrophe starts contractions and is not here.
     SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.cores, self.tails = _tokenizer(path), {}, {}, {}
+        self.tokenizer = _tokenizer(path)
+        self.known, self.cores, self.tails = BoundedWords(WORDS_ROOM), BoundedWords(CORES_ROOM), BoundedWords(TAILS_ROOM)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        if len(self.cores) > CORES_KEPT:
-            self.cores.clear()
+        for cache in (self.known, self.cores, self.tails):
+            cache.make_room()
         new = set()
         for p in parts:
             new.update(p)
-        self._learn(new.difference(self.known))
-        known = self.known.__getitem__
-        return [b"".join(map(known, p)) for p in parts]
-
-    def _learn(self, words: set[str]) -> None:
-        known, cores, signs, rest = self.known, self.cores, self.SIGNS, []
+        self._learn([w for w in new.difference(self.known) if len(w) <= BoundedWords.LONG])
+        out = []
+        for p in parts:
+            try:
+                out.append(b"".join(map(self.known.__getitem__, p)))
+            except KeyError:
+                out.append(b"".join(self._ids(w) if len(w) > BoundedWords.LONG else self.known[w] for w in p))
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        cores, signs, rest = self.cores, self.SIGNS, []
         for w in words:
             core = w.rstrip(signs)
             ids = cores.get(core)
             if ids is None:
                 rest.append((w, core))
             else:
-                known[w] = ids + self._tail(w[len(core) :])
+                self.known.keep(w, ids + self._tail(w[len(core) :]))
         # letters below U+0130 keep their number in lower case and are in normal form
         self._encode([c for c in {c for _, c in rest} if c.isalpha() and max(c) < "\u0130"])
         for w, core in rest:
             ids = cores.get(core)
-            known[w] = self._ids(w) if ids is None else ids + self._tail(w[len(core) :])
+            self.known.keep(w, self._ids(w) if ids is None else ids + self._tail(w[len(core) :]))
 
     def _encode(self, new: list[str]) -> None:
         """Ids of many words of letters at once; each is one pre-token of the joined text."""
@@ -88,35 +94,25 @@ class WordIds:
             ends = np.searchsorted(np.array(found.word_ids), np.arange(len(part)), side="right") * 4
             ids, start = np.array(found.ids, "<u4").tobytes(), 0
             for c, end in zip(part, ends.tolist(), strict=True):
-                self.cores[c], start = ids[start:end], end
+                self.cores.keep(c, ids[start:end])
+                start = end
 
     def _tail(self, signs: str) -> bytes:
         if not signs:
             return b""
         ids = self.tails.get(signs)
         if ids is None:
-            if len(self.tails) > 50_000:
-                self.tails.clear()
-            ids = self.tails[signs] = self._ids(signs)
+            ids = self._ids(signs)
+            self.tails.keep(signs, ids)
         return ids
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_word_ids: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """The tokenizer with its known words, which the later tasks of a Python worker use, too."""
-    if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
-    return _word_ids[path]
-
-
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(path)
+        ids = WordIds(path)
         last = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
             keys, rows = batch.column(0), []
@@ -133,7 +129,7 @@ def _pieces(path: str, capacity: int):
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32. Only longer documents are cut."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_pieces(tokenizer_path, capacity), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(releasing(_pieces(tokenizer_path, capacity)), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(room: int, counts: dict[int, int]) -> list[int]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, as_bytes, drawn, hash_limit, mix64, slices
+from ._common import WordHashes, as_bytes, drawn, hash_limit, mix64, releasing, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -69,7 +69,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id and STATS of the whole text. Null text has none of anything."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_stats, f"`{id_col}` {kind}, {STATS}")
+    return docs.select(id_col, text_col).mapInArrow(releasing(_stats), f"`{id_col}` {kind}, {STATS}")
 
 
 def base_failed() -> Column:

@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import BoundedWords, releasing, slices
 
 LEAF = 64
-WORDS_KEPT = 400_000
+#: Bytes of pre-tokens whose counts a task keeps, about.
+WORDS_ROOM = 40_000_000
 
 
 class Encoder:
@@ -35,19 +36,21 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.find = regex.compile(pattern).findall
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, int] = {}
+        self.known = BoundedWords(WORDS_ROOM)
 
     def counts(self, pieces: list[str]) -> list[int]:
         known = self.known
         try:
             return [known[p] for p in pieces]
         except KeyError:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            for p in set(pieces):
-                if p not in known:
-                    known[p] = len(self.encoding.encode_ordinary(p))
-            return [known[p] for p in pieces]
+            known.make_room()
+        out = []
+        for p in pieces:
+            n = known.get(p)
+            if n is None:
+                known.keep(p, n := len(self.encoding.encode_ordinary(p)))
+            out.append(n)
+        return out
 
     def leaves(self, text: str) -> tuple[list[int], list[int], int]:
         """(characters, tokens) of each leaf of ``text``, and its number of pre-tokens."""
@@ -162,7 +165,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     Null counts as empty: no leaves, 0 tokens. Repeated rows stay. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_built(ranks_path, pattern), f"`{id_col}` {kind}, {STATE}")
+    return docs.select(id_col, text_col).mapInArrow(releasing(_built(ranks_path, pattern)), f"`{id_col}` {kind}, {STATE}")
 
 
 EDITED = "n_tokens long, n_pretokens long, n_tokens_edited long, n_reencoded long, n_leaves long, edited_text string, leaf_chars array<int>, leaf_tokens array<int>"
@@ -200,4 +203,4 @@ def recount(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     kind = docs.schema[id_col].dataType.simpleString()
     edits = F.transform(F.col(edits_col), lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["new"].cast("string").alias("new")))
     columns = ["leaf_chars", "leaf_tokens", "n_pretokens"] if stored else []
-    return docs.select(id_col, text_col, edits.alias("__edits"), *columns).mapInArrow(_edited(ranks_path, pattern, stored, keep_text), f"`{id_col}` {kind}, {EDITED}")
+    return docs.select(id_col, text_col, edits.alias("__edits"), *columns).mapInArrow(releasing(_edited(ranks_path, pattern, stored, keep_text)), f"`{id_col}` {kind}, {EDITED}")
