@@ -9,12 +9,13 @@ from ..functions import text as t
 from ..operators import composites as c, features as f, matching as m
 from ..operators.dashboards import first_of, one_decimal
 from ..sources.fixtures import ROLES, SYNONYMS, VERBS
+from . import component_sql as sql
 from ._register import query
 from .scores import _MATCH, _SCORES, _keywords, _pairs, _scores, _tokens
 from .suggestions import _SUGGESTED, _suggested
 
-_COMPONENTS = f"""SELECT ff.resume_id, coalesce(s.percent, 0) AS k, CAST({f.PROFILES["formatting"]["live"]} AS BIGINT) AS f, CAST({f.PROFILES["completeness"]["live"]} AS BIGINT) AS c,
-CAST({f.PROFILES["verbs"]["first_word"]} AS BIGINT) AS a, CAST({f.PROFILES["readability"]["deductions"]} AS BIGINT) AS r, s.percent IS NOT NULL AS has_jd FROM fx_features ff LEFT JOIN ({_SCORES}) s USING (resume_id)"""
+_COMPONENTS = f"""SELECT ff.resume_id, coalesce(s.percent, 0) AS k, CAST({sql.COMPONENTS["formatting"]["live"]} AS BIGINT) AS f, CAST({sql.COMPONENTS["completeness"]["live"]} AS BIGINT) AS c,
+CAST({sql.COMPONENTS["verbs"]["first_word"]} AS BIGINT) AS a, CAST({sql.COMPONENTS["readability"]["deductions"]} AS BIGINT) AS r, s.percent IS NOT NULL AS has_jd FROM fx_features ff LEFT JOIN ({_SCORES}) s USING (resume_id)"""
 _VIEWS = "fx_features fx_tokens fx_jd_keywords fx_resumes"
 
 
@@ -26,18 +27,16 @@ def _components(v):
     return rows.join(scores, F.col("resume_id") == F.col("__r"), "left").select("resume_id", F.coalesce("percent", F.lit(0)).alias("k"), "f", "c", "a", "r", F.col("percent").isNotNull().alias("has_jd"))
 
 
-@query("composite_profiles", "SELECT resume_id, k, f, c, a, r, has_jd, " + ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in c.TOTALS.items()) + f", {c.TIER} AS tier FROM ({_COMPONENTS})", _VIEWS)
+@query("composite_profiles", "SELECT resume_id, k, f, c, a, r, has_jd, " + ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in sql.TOTALS.items()) + f", {sql.TIER} AS tier FROM ({_COMPONENTS})", _VIEWS)
 def composite_profiles(v):
     return c.totals(_components(v))
 
 
-def _feedback_sql(kind: str) -> str:
-    lines = [(w, x) for k, w, x in c.FEEDBACK if k == kind]
-    told = "concat_ws(';', " + ", ".join(f"CASE WHEN {w} THEN '{x}' END" for w, x in lines if w) + ")"
-    return f"CASE WHEN {told} = '' THEN '{lines[-1][1]}' ELSE {told} END"
+_STRENGTHS = """coalesce(nullif(concat_ws(';', CASE WHEN k >= 75 THEN 'keywords fit' END, CASE WHEN f >= 85 THEN 'clean format' END, CASE WHEN c >= 80 THEN 'complete' END, CASE WHEN a >= 75 THEN 'strong verbs' END, CASE WHEN r >= 75 THEN 'clear bullets' END), ''), 'good fundamentals')"""
+_WEAKNESSES = """coalesce(nullif(concat_ws(';', CASE WHEN k < 70 THEN 'keywords missing' END, CASE WHEN c < 70 THEN 'sections missing' END, CASE WHEN a < 70 THEN 'weak verbs' END, CASE WHEN r < 70 THEN 'unclear bullets' END), ''), 'minor points')"""
 
 
-@query("score_feedback", f"SELECT resume_id, {_feedback_sql('strength')} AS strengths, {_feedback_sql('weakness')} AS weaknesses FROM ({_COMPONENTS})", _VIEWS)
+@query("score_feedback", f"SELECT resume_id, {_STRENGTHS} AS strengths, {_WEAKNESSES} AS weaknesses FROM ({_COMPONENTS})", _VIEWS)
 def score_feedback(v):
     return c.feedback(_components(v)).select("resume_id", "strengths", "weaknesses")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as f
 from ..operators import matching as m
 from ..sources.fixtures import NEEDS, ROLES, SQL, STOP, SYNONYMS, VERBS
+from . import component_sql as c
 from ._register import query
 
 _STRONG = "[" + ", ".join(f"'{w}'" for w in VERBS["strong"]) + "]"
@@ -32,11 +33,10 @@ def _norm(column: str) -> str:
 
 NEEDS["fx_features"] = ["fx_lines"]
 SQL["fx_features"] = f"""
-SELECT a.*, coalesce(r.repeated, 0) AS repeated, coalesce(r.repeated_long, 0) AS repeated_long FROM (
+SELECT a.*, coalesce(r.repeated, 0) AS repeated, coalesce(r.repeated_long, 0) AS repeated_long, coalesce(q.repeated_plain, 0) AS repeated_plain FROM (
 SELECT resume_id, length(trim(summary)) AS summary_len, len(list_filter(string_split_regex(summary, '\\s+'), lambda w: w <> '')) AS summary_words,
   len(regexp_extract_all(summary, '[!@#$%^&*()_+=\\[\\]{{}};:''",.<>?/\\\\]')) AS summary_signs,
-  resume_id % 5 <> 0 AS has_skills, CASE WHEN resume_id % 5 <> 0 THEN resume_id % 13 ELSE 0 END AS n_skills, resume_id % 3 = 0 AS has_projects, resume_id % 2 = 0 AS has_education,
-  resume_id % 7 = 0 AS has_certifications, resume_id % 11 = 0 AS has_achievements, resume_id % 4 <> 0 AS has_email, resume_id % 6 = 0 AS has_phone,
+  {c.MORE_FEATURES.format(strong=_IS_STRONG, metric=_METRIC, verbs='|'.join(VERBS['strong']))},
   len(bullets) AS nb, CAST(ceil(len(bullets) / 3.0) AS BIGINT) AS n_items,
   {_n("length(x) > 20 AND length(x) < 200")} AS ok_len, {_n("length(x) > 180")} AS over_180, {_n("length(x) > 140 AND length(x) <= 180")} AS over_140, {_n("length(x) > 200")} AS over_200,
   {_n("length(x) < 30")} AS under_30, {_n("length(x) > 300 AND NOT contains(x, '.')")} AS long_block,
@@ -54,9 +54,9 @@ SELECT resume_id, length(trim(summary)) AS summary_len, len(list_filter(string_s
   len(list_distinct(list_transform(list_filter(bullets, lambda x: {_IS_STRONG}), lambda x: {_FIRST}))) AS distinct_strong, len(regexp_extract_all(whole, '[*_%#~`@]')) AS special_signs,
   regexp_matches(whole, '\\|.*\\|') AS pipe_pair, regexp_matches(whole, '\\|\\s*\\w+\\s*\\|') AS pipe_cell,
   len(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS norm_words, len(list_filter(list_transform(string_split_regex(norm, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '')) AS norm_sentences
-FROM (SELECT resume_id, coalesce(lines[1], '') AS summary, lines[2:] AS bullets, array_to_string(lines, ' ') AS whole, {_norm("array_to_string(lines, ' ')")} AS norm FROM fx_lines)) a
+FROM (SELECT *, coalesce(lines[1], '') AS summary, lines[2:] AS bullets, array_to_string(lines, ' ') AS whole, {_norm("array_to_string(lines, ' ')")} AS norm FROM fx_lines)) a
 LEFT JOIN (SELECT resume_id, count(*) AS repeated, count_if(n > 5 AND length(w) > 3) AS repeated_long FROM (SELECT resume_id, w, count(*) AS n FROM (
-  SELECT resume_id, unnest(string_split(regexp_replace(trim(regexp_replace(lower(array_to_string(lines[2:], ' ')), '[^\\w\\s]', ' ', 'g')), '\\s+', ' ', 'g'), ' ')) AS w FROM fx_lines) WHERE w <> '' GROUP BY 1, 2) WHERE n > 4 GROUP BY 1) r USING (resume_id)"""
+  SELECT resume_id, unnest(string_split(regexp_replace(trim(regexp_replace(lower(array_to_string(lines[2:], ' ')), '[^\\w\\s]', ' ', 'g')), '\\s+', ' ', 'g'), ' ')) AS w FROM fx_lines) WHERE w <> '' GROUP BY 1, 2) WHERE n > 4 GROUP BY 1) r USING (resume_id) LEFT JOIN ({c.PLAIN_WORDS}) q USING (resume_id)"""
 
 
 def _features(v):
@@ -69,7 +69,7 @@ def resume_features(v):
 
 
 for _family in f.PROFILES:
-    query(f"{_family}_scores", "SELECT resume_id, " + ", ".join(f"CAST({e} AS BIGINT) AS {k}" for k, e in f.PROFILES[_family].items()) + " FROM fx_features", "fx_features")(lambda v, family=_family: f.scores(_features(v), family))
+    query(f"{_family}_scores", "SELECT resume_id, " + ", ".join(f"CAST({e} AS BIGINT) AS {k}" for k, e in c.COMPONENTS[_family].items()) + " FROM fx_features", "fx_features")(lambda v, family=_family: f.scores(_features(v), family))
 
 
 def _tokens(v):
@@ -124,9 +124,9 @@ def missing_keywords_ranked(v):
 
 @query("live_composite", f"""
 WITH s AS ({_SCORES}), c AS (
-  SELECT f.resume_id, coalesce(CAST(floor(s.percent * 4 + 0.5) AS DOUBLE) / 10, 0) AS k, CAST({f.PROFILES["completeness"]["live"]} AS DOUBLE) AS comp, CAST({f.PROFILES["formatting"]["live"]} AS DOUBLE) AS fmt,
-    CAST({f.PROFILES["verbs"]["live_percent"]} AS DOUBLE) AS percent_verbs, CAST({f.PROFILES["readability"]["live"]} AS DOUBLE) AS rdb FROM fx_features f LEFT JOIN s USING (resume_id)
-), d AS (SELECT *, least(100, greatest(0, CAST({f.verb_curve("percent_verbs")} AS DOUBLE))) AS verbs FROM c)
+  SELECT f.resume_id, coalesce(CAST(floor(s.percent * 4 + 0.5) AS DOUBLE) / 10, 0) AS k, CAST({c.COMPONENTS["completeness"]["live"]} AS DOUBLE) AS comp, CAST({c.COMPONENTS["formatting"]["live"]} AS DOUBLE) AS fmt,
+    CAST({c.COMPONENTS["verbs"]["live_percent"]} AS DOUBLE) AS percent_verbs, CAST({c.COMPONENTS["readability"]["live"]} AS DOUBLE) AS rdb FROM fx_features f LEFT JOIN s USING (resume_id)
+), d AS (SELECT *, least(100, greatest(0, CAST({c.VERB_CURVE.format("percent_verbs")} AS DOUBLE))) AS verbs FROM c)
 SELECT resume_id, CAST(k AS DECIMAL(10,1)) AS keyword_match, CAST(comp AS BIGINT) AS section_completeness, CAST(fmt AS BIGINT) AS formatting, CAST(verbs AS DECIMAL(10,2)) AS action_verbs, CAST(rdb AS BIGINT) AS readability,
   CAST(floor(k * 0.4 + comp * 0.2 + fmt * 0.2 + verbs * 0.1 + rdb * 0.1 + 0.5) AS BIGINT) AS total_score FROM d""", "fx_features fx_tokens fx_jd_keywords")
 def live_composite(v):

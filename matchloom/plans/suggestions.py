@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, rewriting as r, suggestions as s, validation as q
 from ..sources.fixtures import VERBS
+from . import component_sql
 from ._register import query
 
 #: Weak openings and topics that occur in the given documents.
@@ -109,7 +110,7 @@ vb AS ({_TAKEN}),
 mt AS (SELECT resume_id, 3 AS branch, ord, 'experience' AS type, 'experience' AS section, pos, text AS current_text, {_tail_sql('text')} AS improved_text, 'high' AS impact FROM (
   SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY pos) AS ord FROM fx_bullets b WHERE NOT regexp_matches(text, '{METRIC}') AND NOT EXISTS (SELECT 1 FROM vb WHERE vb.resume_id = b.resume_id AND vb.pos = b.pos)) WHERE ord = 1),
 sm AS (SELECT resume_id, 4 AS branch, 1 AS ord, 'summary' AS type, 'summary' AS section, NULL::BIGINT AS pos, CASE WHEN x = '' THEN '(No summary)' ELSE x END AS current_text, '{ADVICE}' AS improved_text, 'medium' AS impact FROM (SELECT resume_id, coalesce(lines[1], '') AS x FROM fx_lines) WHERE length(x) < 100),
-st AS (SELECT resume_id, 5 AS branch, 1 AS ord, 'formatting' AS type, 'structure' AS section, NULL::BIGINT AS pos, 'Resume structure' AS current_text, '{LAYOUT}' AS improved_text, 'medium' AS impact FROM (SELECT resume_id, CAST({features.PROFILES["formatting"]["live"]} AS BIGINT) AS fmt FROM fx_features) WHERE fmt < 70),
+st AS (SELECT resume_id, 5 AS branch, 1 AS ord, 'formatting' AS type, 'structure' AS section, NULL::BIGINT AS pos, 'Resume structure' AS current_text, '{LAYOUT}' AS improved_text, 'medium' AS impact FROM (SELECT resume_id, CAST({component_sql.COMPONENTS["formatting"]["live"]} AS BIGINT) AS fmt FROM fx_features) WHERE fmt < 70),
 every AS (SELECT * FROM kw UNION ALL SELECT * FROM vb UNION ALL SELECT * FROM mt UNION ALL SELECT * FROM sm UNION ALL SELECT * FROM st)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY branch, ord) AS rank FROM every) WHERE rank <= 6"""
 

@@ -15,17 +15,20 @@ SELECT c_custkey AS user_id, c_name AS name, lower(c_name) || '@x.test' AS email
        CASE WHEN c_custkey % 50 = 0 THEN 'ADMIN' ELSE 'USER' END AS role, c_acctbal >= 0 AS is_active,
        TIMESTAMP '2023-01-01' + to_hours(c_custkey) AS created_at, 'h' || c_custkey AS password_hash FROM customer""",
     "fx_resumes": """
-SELECT doc_id AS resume_id, doc_id % 150 AS user_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % 40 END AS jd_id, source AS title,
+SELECT doc_id AS resume_id, doc_id % 150 AS user_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % (SELECT greatest(1, count(*)) FROM benchmark) END AS jd_id, source AS title,
        CASE doc_id % 4 WHEN 0 THEN 'classic' WHEN 1 THEN 'fresher' WHEN 2 THEN 'tech' ELSE 'other' END AS template,
        TIMESTAMP '2023-01-01' + to_hours(doc_id * 7) AS created_at, n_chars % 7 AS downloads, coalesce(text, '') AS text FROM documents""",
     "fx_lines": r"""
-SELECT resume_id, jd_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM fx_resumes""",
+SELECT *, CASE WHEN contains(lines[2], ',') THEN len(string_split(lines[2], ',')) ELSE 0 END AS n_skills, greatest(len(lines) - 9, 0) AS n_projects, coalesce(contains(lines[3], ','), false)::INT AS n_education,
+       (coalesce(length(lines[4]), 0) > 120)::INT AS n_certifications, (coalesce(length(lines[5]), 0) > 120)::INT AS n_achievements
+FROM (SELECT resume_id, jd_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines,
+             regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS has_email, regexp_matches(text, '\+?[0-9][0-9 ()-]{7,}[0-9]') AS has_phone, len(regexp_extract_all(text, '[0-9]{4}')) AS n_dated FROM fx_resumes)""",
     "fx_bullets": """
 SELECT resume_id, p - 1 AS pos, (p - 2) // 3 AS item_index, (p - 2) % 3 AS bullet_index, lines[p] AS text
 FROM (SELECT resume_id, lines, unnest(range(2, len(lines) + 1)) AS p FROM fx_lines)""",
-    "fx_jds": "SELECT item_id AS jd_id, text AS jd_text FROM benchmark WHERE item_id < 40",
+    "fx_jds": "SELECT item_id AS jd_id, text AS jd_text FROM benchmark",
     "fx_reports": """
-SELECT o_orderkey AS report_id, o_custkey AS resume_id, o_orderdate AS created_at, CAST(floor(o_totalprice) AS BIGINT) % 101 AS total_score, o_orderkey % 40 AS jd_id FROM orders""",
+SELECT o_orderkey AS report_id, o_custkey AS resume_id, o_orderdate AS created_at, CAST(floor(o_totalprice) AS BIGINT) % 101 AS total_score, o_orderkey % (SELECT greatest(1, count(*)) FROM benchmark) AS jd_id FROM orders""",
     "fx_score_now": """
 SELECT resume_id, total_score, created_at, report_id FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY created_at DESC, report_id) AS rn FROM fx_reports) WHERE rn = 1""",
     "fx_library": """
@@ -84,6 +87,9 @@ SYNONYMS = {"rest": ["rest", "threst", "ther"], "thin": ["thin", "thing"], "with
 ROLES = {"alpha": ["that", "rest"], "beta": ["elle", "ment"], "gamma": ["sich", "keit"]}
 
 
+EMAIL, PHONE = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "\\+?[0-9][0-9 ()-]{7,}[0-9]"
+
+
 class Views:
     """The fixture views as DataFrames; each is made once."""
 
@@ -106,8 +112,17 @@ class Views:
 
     @cached_property
     def lines(self) -> DataFrame:
+        """Trimmed lines, and what stands for a résumé's sections: contact data and numbers from the text, and signs of single lines."""
         lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-        return self.resumes.select("resume_id", "jd_id", lines.alias("lines"))
+        rows = self.resumes.select("resume_id", "jd_id", lines.alias("lines"), F.col("text").rlike(EMAIL).alias("has_email"), F.col("text").rlike(PHONE).alias("has_phone"), F.regexp_count("text", F.lit("[0-9]{4}")).alias("n_dated"))
+        line = lambda k: F.coalesce(F.try_element_at("lines", F.lit(k)), F.lit(""))
+        return rows.withColumns({
+            "n_skills": F.when(line(2).contains(","), F.size(F.split(line(2), ","))).otherwise(0),
+            "n_projects": F.greatest(F.size("lines") - 9, F.lit(0)),
+            "n_education": line(3).contains(",").cast("int"),
+            "n_certifications": (F.length(line(4)) > 120).cast("int"),
+            "n_achievements": (F.length(line(5)) > 120).cast("int"),
+        })
 
     @cached_property
     def bullets(self) -> DataFrame:

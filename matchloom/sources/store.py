@@ -74,6 +74,8 @@ def parsed_resumes(rows: DataFrame, column: str = "value") -> DataFrame:
         "templateId": blank("templateId", "classic"),
         "summary": F.coalesce("summary", F.lit("")),
         "fullName": F.coalesce("personalInfo.fullName", F.lit("Your Name")),
+        "email": F.col("personalInfo.email"),
+        "phone": F.col("personalInfo.phone"),
         "skills": skill_groups(F.col("skills")),
         "achievements": achievement_list(F.col("achievements")),
         "experience": F.filter(F.coalesce("experience", F.array()), lambda e: _filled(e["company"]) & _filled(e["role"]) & _filled(e["startDate"])),
@@ -119,6 +121,20 @@ def bullets_of(resumes: DataFrame) -> DataFrame:
     return part("experience").unionByName(part("projects"))
 
 
+def resume_lines(resumes: DataFrame) -> DataFrame:
+    """What ``features.resume_features`` takes, from parsed résumés: summary and bullets as lines, and what the sections hold."""
+    bullets = F.flatten(F.transform(F.concat(F.transform("experience", lambda e: e["bullets"]), F.transform("projects", lambda p: p["bullets"])), lambda b: F.coalesce(b, F.array().cast("array<string>"))))
+    return resumes.select(
+        F.col("resumeId").alias("resume_id"),
+        F.concat(F.array("summary"), F.filter(bullets, lambda b: _filled(b))).alias("lines"),
+        _filled(F.col("email")).alias("has_email"),
+        _filled(F.col("phone")).alias("has_phone"),
+        F.size(F.flatten(F.transform("skills", lambda g: g["items"]))).alias("n_skills"),
+        *[F.size(c).alias(f"n_{c}") for c in ("projects", "education", "certifications", "achievements")],
+        F.size(F.filter("experience", lambda e: _filled(e["startDate"]) | _filled(e["endDate"]))).alias("n_dated"),
+    )
+
+
 def append_reports(reports: DataFrame, path: str) -> None:
     """New score reports behind the stored ones, by day."""
     reports.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy("created_date").parquet(path)
