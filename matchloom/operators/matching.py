@@ -34,16 +34,17 @@ def weighted_keywords(tokens: DataFrame, key: str, stop: list[str], k: int, cap:
     return counts.withColumn("rnk", rank).where(F.col("rnk") <= k).select(key, "keyword", F.least("n", F.lit(cap)).alias("weight"), "rnk")
 
 
-def matched_keywords(resume_tokens: DataFrame, pairs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(resume_id, jd_id, keyword, weight, rnk, matched): whole-word matches of the given pairs.
+def matched_keywords(resumes: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(resume_id, jd_id, keyword, weight, rnk, matched): whole-word matches of résumés (resume_id, jd_id, text).
 
-    Tokens that are no keyword of any requirement go before anything shuffles.
+    A requirement's keywords are one array, which meets the résumé on ``jd_id``; the words
+    that both have are found in the row. If there are few requirements, nothing shuffles.
     """
-    wanted = pairs.join(keywords, "jd_id")
-    words = counted_broadcast(keywords.select(F.col("keyword").alias("__w")).distinct())
-    own = resume_tokens.join(words, F.col("token") == F.col("__w"), "left_semi").select(F.col("resume_id").alias("__r"), F.col("token").alias("__t")).distinct()
-    met = wanted.join(own, (F.col("resume_id") == F.col("__r")) & (F.col("keyword") == F.col("__t")), "left")
-    return met.select("resume_id", "jd_id", "keyword", "weight", "rnk", F.col("__t").isNotNull().alias("matched"))
+    wanted = keywords.groupBy(F.col("jd_id").alias("__j")).agg(F.collect_list(F.struct("keyword", "weight", "rnk")).alias("__ks"))
+    met = resumes.join(counted_broadcast(wanted), F.col("jd_id") == F.col("__j"))
+    both = F.array_intersect(t.tokens(t.words_only(F.col("text"))), F.transform("__ks", lambda k: k["keyword"]))
+    rows = met.select("resume_id", "jd_id", "__ks", both.alias("__both")).select("resume_id", "jd_id", "__both", F.explode("__ks").alias("k"))
+    return rows.select("resume_id", "jd_id", "k.*", F.array_contains("__both", F.col("k.keyword")).alias("matched"))
 
 
 def with_synonyms(keywords: DataFrame, synonyms: DataFrame, key: str) -> DataFrame:
@@ -70,15 +71,15 @@ def match_scores(matches: DataFrame) -> DataFrame:
 
 def vote(tokens: DataFrame, key: str, roles: DataFrame, default: str) -> DataFrame:
     """(key, role, votes): the role whose terms occur most; the first in order among equals, ``default`` without votes."""
-    hits = tokens.join(F.broadcast(roles), F.col("token") == F.col("term")).groupBy(key, "role", "ord").agg(F.count(F.lit(1)).alias("votes"))
+    hits = tokens.join(counted_broadcast(roles), F.col("token") == F.col("term")).groupBy(key, "role", "ord").agg(F.count(F.lit(1)).alias("votes"))
     best = hits.groupBy(key).agg(F.min(F.struct((-F.col("votes")).alias("v"), "ord", "role")).alias("b")).select(F.col(key).alias("__k"), F.col("b.role").alias("role"), (-F.col("b.v")).alias("votes"))
     return tokens.select(key).distinct().join(best, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("role", F.lit(default)).alias("role"), F.coalesce("votes", F.lit(0)).alias("votes"))
 
 
-def _pieces(column: str, width: int) -> Column:
+def _pieces(column: str, width: Column) -> Column:
     """All pieces of ``width`` characters with their places from 1."""
     places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(column) - width + 1))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(F.col(column), i, F.lit(width)).alias("piece")))
+    return F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(F.col(column), i, width).alias("piece")))
 
 
 def similar_terms(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
@@ -103,9 +104,12 @@ def similar_terms(left: DataFrame, right: DataFrame, least: float = 0.85) -> Dat
     width = F.greatest(F.lit(1), F.floor(F.col("__n") / (F.col("__e") + 1))).cast("int")
     cuts = F.transform(F.sequence(F.lit(0), F.col("__e")), lambda i: F.struct((i * width).alias("at"), F.substring(F.col("right"), (i * width + 1).cast("int"), width).alias("piece")))
     b = b.select("right", "__n", "__e", F.explode(cuts).alias("c")).select("right", "__n", "__e", F.col("c.at").alias("__at"), F.col("c.piece").alias("__p"), F.length("c.piece").alias("__w"))
-    widths = [r[0] for r in b.select("__w").distinct().collect()]  # word lengths: a few values
+    # the widths that a partner of the left term can have; the lengths of partners are bounded by its own
     a = a.where(F.length("left") > 5)
-    spots = F.flatten(F.array(*[_pieces("left", w) for w in widths])) if widths else F.array().cast("array<struct<at:int,piece:string>>")
+    shortest, farthest = F.floor(F.length("left") * least), F.ceil(F.length("left") / least)
+    cut = lambda n: F.greatest(F.lit(1), F.floor(n / (F.greatest(F.lit(1), allowed(n + F.greatest(F.lit(1), allowed(F.ceil(n / least))))) + 1))).cast("int")
+    widths = F.array_distinct(F.transform(F.sequence(shortest, farthest), cut))
+    spots = F.flatten(F.transform(widths, lambda w: _pieces("left", w)))
     a = a.select("left", F.explode(spots).alias("s")).select("left", F.length("left").alias("__l"), F.col("s.at").alias("__i"), F.col("s.piece").alias("__q"))
     met = a.join(b, (F.col("__q") == F.col("__p")) & (F.abs(F.col("__l") - F.col("__n")) <= F.col("__e")) & (F.abs(F.col("__i") - 1 - F.col("__at")) <= F.col("__e")) & (F.col("left") != F.col("right")))
     pairs = met.select("left", "right").distinct().withColumn("distance", F.levenshtein("left", "right"))

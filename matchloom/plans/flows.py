@@ -9,16 +9,16 @@ from ..operators import features as f, flows as x, matching as m, suggestions as
 from ..sources.fixtures import ROLES, VERBS
 from ._register import query
 from .profiles import _COMPONENTS, _VIEWS, _components
-from .scores import _MATCH, _keywords, _norm, _pairs, _tokens
+from .scores import _MATCH, _keywords, _matches, _norm, _pairs, _tokens
 from .suggestions import _SUGGESTED, _suggested
 
 _SV = "fx_tokens fx_jd_keywords fx_bullets fx_lines fx_features fx_resumes"
 
 
-@query("built_texts", f"SELECT resume_id, length(x) AS n, md5(x) AS digest FROM (SELECT resume_id, {_norm('title || CASE WHEN trim(y) <> chr(32) THEN chr(32) || trim(y) ELSE chr(32) END')} AS x FROM (SELECT resume_id, title, array_to_string(lines[2:4], ' ') || ' ' || coalesce(lines[1], '') AS y FROM fx_lines JOIN (SELECT resume_id, title FROM fx_resumes) USING (resume_id)))", "fx_lines fx_resumes")
+@query("built_texts", f"SELECT resume_id, length(x) AS n, md5(x) AS digest FROM (SELECT resume_id, {_norm('title || CASE WHEN trim(y) <> chr(32) THEN chr(32) || trim(y) ELSE chr(32) END')} AS x FROM (SELECT resume_id, title, array_to_string(lines[2:], ' ') || ' ' || coalesce(lines[1], '') AS y FROM fx_lines JOIN (SELECT resume_id, title FROM fx_resumes) USING (resume_id)))", "fx_lines fx_resumes")
 def built_texts(v):
     rows = v.lines.join(v.resumes.select(F.col("resume_id").alias("__r"), "title"), F.col("resume_id") == F.col("__r"))
-    text = x.built_text([F.col("title"), F.array_join(F.slice("lines", 2, 3), " "), F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit(""))], t.strip_markup)
+    text = x.built_text([F.col("title"), F.array_join(F.slice("lines", 2, 2**31 - 2), " "), F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit(""))], t.strip_markup)
     return rows.select("resume_id", F.length(text).alias("n"), F.md5(text.cast("binary")).alias("digest"))
 
 
@@ -36,9 +36,10 @@ def applied_and_scored(v):
     return out.select("resume_id", "old_strong_first", "old_sum_len", "new_strong_first", "new_sum_len", "delta_strong_first", "delta_sum_len")
 
 
-@query("suggestions_unapplied", f"SELECT resume_id, type, rank FROM ({_SUGGESTED}) WHERE lower(trim(regexp_replace(current_text, '\\s+', ' ', 'g'))) NOT IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM fx_bullets WHERE resume_id % 2 = 0)", _SV)
+@query("suggestions_unapplied", f"SELECT resume_id, type, rank FROM ({_SUGGESTED}) WHERE lower(trim(regexp_replace(current_text, '\\s+', ' ', 'g'))) NOT IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM fx_bullets WHERE bullet_index = 0)", _SV)
 def suggestions_unapplied(v):
-    return x.unapplied(_suggested(v), v.bullets.where("resume_id % 2 = 0").select("text")).select("resume_id", "type", "rank")
+    """The history is the first bullet of each job, which counts as applied."""
+    return x.unapplied(_suggested(v), v.bullets.where("bullet_index = 0").select("text")).select("resume_id", "type", "rank")
 
 
 @query("skills_or_sentences", r"SELECT resume_id, count_if(ok) AS skills, count_if(NOT ok) AS sentences FROM (SELECT resume_id, len(string_split_regex(trim(text), '\s+')) <= 4 AND length(text) <= 40 AND NOT regexp_matches(text, '[.!?]$') AS ok FROM fx_bullets) GROUP BY resume_id", "fx_bullets")
@@ -48,7 +49,7 @@ def skills_or_sentences(v):
 
 
 def _missing(v):
-    return m.matched_keywords(_tokens(v), _pairs(v), _keywords(v)).where("NOT matched").select("resume_id", "keyword", "weight", "rnk")
+    return _matches(v).where("NOT matched").select("resume_id", "keyword", "weight", "rnk")
 
 
 @query("missing_by_domain", f"""SELECT resume_id, keyword, points, place FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY points DESC, rnk) AS place FROM (SELECT *, CASE WHEN keyword IN ('ther', 'rest', 'than') THEN 20 ELSE 0 END + length(keyword) + CASE WHEN regexp_matches(keyword, 'tion|ing') THEN 10 ELSE 0 END - (rnk - 1) AS points FROM ({_MATCH}) WHERE NOT matched)) WHERE place <= 5""", "fx_tokens fx_jd_keywords fx_resumes")

@@ -122,12 +122,12 @@ def resume_levels(v):
 
 
 @query("skill_sources", """SELECT resume_id, source, count(*) AS n FROM (SELECT resume_id, skill, min_by(source, ord) AS source FROM (
-SELECT resume_id, token AS skill, 0 AS ord, 'opening' AS source FROM fx_tokens WHERE pos <= 10 UNION ALL SELECT resume_id, token, 1, 'body' FROM fx_tokens WHERE pos BETWEEN 5 AND 40 UNION ALL SELECT resume_id, lower(title), 2, 'title' FROM fx_resumes) GROUP BY 1, 2) GROUP BY 1, 2""", "fx_tokens fx_resumes")
+SELECT resume_id, token AS skill, 0 AS ord, 'opening' AS source FROM fx_tokens WHERE pos <= 10 UNION ALL SELECT resume_id, token, 1, 'body' FROM fx_tokens WHERE pos > 10 UNION ALL SELECT resume_id, lower(title), 2, 'title' FROM fx_resumes) GROUP BY 1, 2) GROUP BY 1, 2""", "fx_tokens fx_resumes")
 def skill_sources(v):
     from ..operators.matching import token_rows
 
     rows = token_rows(v.resumes, "resume_id", "text").withColumnRenamed("token", "skill")
-    return x.distinct_skills([("opening", rows.where("pos <= 10")), ("body", rows.where("pos BETWEEN 5 AND 40")), ("title", v.resumes.select("resume_id", F.col("title").alias("skill")))], "resume_id")
+    return x.distinct_skills([("opening", rows.where("pos <= 10")), ("body", rows.where("pos > 10")), ("title", v.resumes.select("resume_id", F.col("title").alias("skill")))], "resume_id")
 
 
 @query("skills_missing_from_text", "SELECT k.jd_id, k.keyword, k.weight FROM fx_jd_keywords k ANTI JOIN (SELECT DISTINCT t.token, r.jd_id FROM fx_tokens t JOIN fx_resumes r USING (resume_id)) m ON m.jd_id = k.jd_id AND m.token = k.keyword", "fx_jd_keywords fx_tokens fx_resumes")

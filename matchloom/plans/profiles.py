@@ -11,7 +11,7 @@ from ..operators.dashboards import first_of, one_decimal
 from ..sources.fixtures import ROLES, SYNONYMS, VERBS
 from . import component_sql as sql
 from ._register import query
-from .scores import _MATCH, _SCORES, _keywords, _pairs, _scores, _tokens
+from .scores import _MATCH, _SCORES, _keywords, _matches, _pairs, _scores, _tokens
 from .suggestions import _SUGGESTED, _suggested
 
 _COMPONENTS = f"""SELECT ff.resume_id, coalesce(s.percent, 0) AS k, CAST({sql.COMPONENTS["formatting"]["live"]} AS BIGINT) AS f, CAST({sql.COMPONENTS["completeness"]["live"]} AS BIGINT) AS c,
@@ -127,29 +127,30 @@ def impact_shares(v):
     return counts.withColumn("share", one_decimal(F.col("n") * 100 / F.sum("n").over(Window.partitionBy())))
 
 
-@query("adaptive_top_keywords", """SELECT jd_id, keyword, place FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY n DESC, first_at) AS place, greatest(3, least(8, ceil(0.35 * count(*) OVER (PARTITION BY jd_id)))) AS k FROM (
+@query("adaptive_top_keywords", """SELECT jd_id, keyword, place FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY n DESC, first_at) AS place, greatest(15, least(20, ceil(0.35 * count(*) OVER (PARTITION BY jd_id)))) AS k FROM (
 SELECT jd_id, token AS keyword, count(*) AS n, min(pos) AS first_at FROM fx_jd_tokens WHERE length(token) > 3 GROUP BY 1, 2)) WHERE place <= k""", "fx_jd_tokens")
 def adaptive_top_keywords(v):
     counts = m.token_rows(v.jds, "jd_id", "jd_text").where(F.length("token") > 3).groupBy("jd_id", F.col("token").alias("keyword")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("at"))
-    k = F.greatest(F.lit(3), F.least(F.lit(8), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("jd_id")) * 0.35)))
+    k = F.greatest(F.lit(15), F.least(F.lit(20), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("jd_id")) * 0.35)))
     return counts.withColumns({"k": k, "place": F.row_number().over(Window.partitionBy("jd_id").orderBy(F.desc("n"), "at"))}).where("place <= k").select("jd_id", "keyword", "place")
 
 
 @query("missing_by_severity", f"""SELECT resume_id, severity, count(*) AS n, string_agg(keyword, ',' ORDER BY rnk) AS keywords FROM (SELECT *, CASE WHEN weight >= 4 THEN 'critical' WHEN weight >= 2 THEN 'important' ELSE 'optional' END AS severity FROM ({_MATCH}) WHERE NOT matched) GROUP BY 1, 2""", "fx_tokens fx_jd_keywords")
 def missing_by_severity(v):
-    rows = m.matched_keywords(_tokens(v), _pairs(v), _keywords(v)).where("NOT matched")
+    rows = _matches(v).where("NOT matched")
     severity = F.when(F.col("weight") >= 4, "critical").when(F.col("weight") >= 2, "important").otherwise("optional")
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "keyword"))), lambda x: x["keyword"]), ",")
     return rows.withColumn("severity", severity).groupBy("resume_id", "severity").agg(F.count(F.lit(1)).alias("n"), names.alias("keywords"))
 
 
-@query("all_pair_candidates", """SELECT a.resume_id, k.jd_id, count(*) AS n_matched FROM (SELECT DISTINCT resume_id, token FROM fx_tokens) a JOIN fx_jd_keywords k ON a.token = k.keyword GROUP BY 1, 2 HAVING count(*) >= 6""", "fx_tokens fx_jd_keywords")
+@query("all_pair_candidates", """SELECT a.resume_id, k.jd_id, count(*) AS n_matched, CAST(floor(count(*) * 100.0 / any_value(n.n) + 0.5) AS BIGINT) AS percent FROM (SELECT DISTINCT resume_id, token FROM fx_tokens) a JOIN fx_jd_keywords k ON a.token = k.keyword JOIN (SELECT jd_id, count(*) AS n FROM fx_jd_keywords GROUP BY 1) n ON n.jd_id = k.jd_id GROUP BY 1, 2""", "fx_tokens fx_jd_keywords")
 def all_pair_candidates(v):
-    """Every résumé against every requirement through shared tokens alone: no cross join."""
+    """Scores of every résumé against every requirement through shared tokens alone: no cross join; a pair that is absent has 0."""
     words = m.counted_broadcast(_keywords(v).select("keyword").distinct())
     own = _tokens(v).join(words, F.col("token") == F.col("keyword"), "left_semi").select("resume_id", "token").distinct()
-    hits = own.join(_keywords(v), F.col("token") == F.col("keyword")).groupBy("resume_id", "jd_id").agg(F.count(F.lit(1)).alias("n_matched"))
-    return hits.where("n_matched >= 6")
+    keywords = _keywords(v).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("jd_id")))
+    hits = own.join(m.counted_broadcast(keywords.select("jd_id", "keyword", "n")), F.col("token") == F.col("keyword"))
+    return hits.groupBy("resume_id", "jd_id").agg(F.count(F.lit(1)).alias("n_matched"), t.rounded(F.count(F.lit(1)) * 100 / F.first("n")).cast("long").alias("percent"))
 
 
 @query("capitalised_titles", "SELECT resume_id, upper(substr(title, 1, 1)) || substr(title, 2) AS title FROM fx_resumes", "fx_resumes")

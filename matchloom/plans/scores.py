@@ -84,6 +84,10 @@ def _pairs(v):
     return v.resumes.where("jd_id IS NOT NULL").select("resume_id", "jd_id")
 
 
+def _matches(v):
+    return m.matched_keywords(v.resumes.where("jd_id IS NOT NULL").select("resume_id", "jd_id", "text"), _keywords(v))
+
+
 @query("jd_keywords", "SELECT jd_id, keyword, weight, rnk FROM fx_jd_keywords", "fx_jd_keywords")
 def jd_keywords(v):
     return _keywords(v)
@@ -95,7 +99,7 @@ JOIN fx_jd_keywords k USING (jd_id) LEFT JOIN (SELECT DISTINCT resume_id, token
 
 @query("keyword_matches", _MATCH, "fx_tokens fx_jd_keywords")
 def keyword_matches(v):
-    return m.matched_keywords(_tokens(v), _pairs(v), _keywords(v))
+    return _matches(v)
 
 
 _SCORES = f"""SELECT resume_id, jd_id, count(*) AS n_keywords, count_if(matched) AS n_matched, sum(weight)::BIGINT AS weight, sum(CASE WHEN matched THEN weight ELSE 0 END)::BIGINT AS matched_weight,
@@ -104,7 +108,7 @@ _SCORES = f"""SELECT resume_id, jd_id, count(*) AS n_keywords, count_if(matched)
 
 
 def _scores(v):
-    return m.match_scores(m.matched_keywords(_tokens(v), _pairs(v), _keywords(v)))
+    return m.match_scores(_matches(v))
 
 
 @query("score_weighted_match", _SCORES, "fx_tokens fx_jd_keywords")
@@ -117,7 +121,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY rnk) AS place
 def missing_keywords_ranked(v):
     from ..operators.dashboards import top_k
 
-    rows = m.matched_keywords(_tokens(v), _pairs(v), _keywords(v)).where(~F.col("matched"))
+    rows = _matches(v).where(~F.col("matched"))
     ranked = top_k(rows, "resume_id", [F.asc("rnk")], 10, "place")
     return ranked.select("resume_id", "keyword", F.when(F.col("place") <= 3, "high").when(F.col("place") <= 7, "medium").otherwise("low").alias("priority"), "place")
 
@@ -155,11 +159,11 @@ def keyword_synonyms(v):
 
 
 @query("similar_keywords", """
-SELECT a.keyword AS "left", b.term AS "right", levenshtein(a.keyword, b.term) AS distance FROM (SELECT DISTINCT keyword FROM fx_jd_keywords) a, (SELECT token AS term FROM fx_tokens GROUP BY token HAVING count(*) >= 3) b
-WHERE (greatest(length(a.keyword), length(b.term)) - levenshtein(a.keyword, b.term)) * 1.0 / greatest(length(a.keyword), length(b.term)) > 0.85""", "fx_jd_keywords fx_tokens")
+SELECT a.keyword AS "left", b.term AS "right", levenshtein(a.keyword, b.term) AS distance FROM (SELECT DISTINCT keyword FROM fx_jd_keywords) a, (SELECT DISTINCT token AS term FROM fx_tokens) b
+WHERE abs(length(a.keyword) - length(b.term)) * 20 < 3 * greatest(length(a.keyword), length(b.term)) AND (greatest(length(a.keyword), length(b.term)) - levenshtein(a.keyword, b.term)) * 1.0 / greatest(length(a.keyword), length(b.term)) > 0.85""", "fx_jd_keywords fx_tokens")
 def similar_keywords(v):
-    words = _tokens(v).groupBy(F.col("token").alias("term")).count().where("count >= 3")
-    return m.similar_terms(_keywords(v).select(F.col("keyword").alias("term")), words)
+    """Every word of the résumés against the keywords."""
+    return m.similar_terms(_keywords(v).select(F.col("keyword").alias("term")), _tokens(v).select(F.col("token").alias("term")))
 
 
 @query("score_bands", """SELECT resume_id, total_score, CASE WHEN total_score >= 85 THEN 'excellent' WHEN total_score >= 75 THEN 'good' WHEN total_score >= 60 THEN 'average' ELSE 'poor' END AS band,

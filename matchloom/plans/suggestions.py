@@ -116,10 +116,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY bran
 
 
 def _suggested(v):
-    from ..operators import matching as m
-    from .scores import _keywords, _pairs, _tokens
+    from .scores import _matches
 
-    missing = m.matched_keywords(_tokens(v), _pairs(v), _keywords(v)).where(~F.col("matched")).select("resume_id", "keyword", "rnk")
+    missing = _matches(v).where(~F.col("matched")).select("resume_id", "keyword", "rnk")
     verbs = s.verb_rows(v.bullets, OPENINGS, STRONG)
     metrics = s.metric_rows(v.bullets, verbs, METRIC, TAILS, OTHER)
     summary = v.lines.select("resume_id", F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("")).alias("summary"))

@@ -57,10 +57,10 @@ def token_counts(v):
 
 @query("bigram_counts", """
 SELECT gram, count(*) AS n, count(DISTINCT resume_id) AS n_resumes FROM (
-  SELECT resume_id, token || ' ' || lead(token) OVER (PARTITION BY resume_id ORDER BY pos) AS gram FROM fx_tokens) WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) >= 5""", "fx_tokens")
+  SELECT resume_id, token || ' ' || lead(token) OVER (PARTITION BY resume_id ORDER BY pos) AS gram FROM fx_tokens) WHERE gram IS NOT NULL GROUP BY gram""", "fx_tokens")
 def bigram_counts(v):
     rows = _toks(v).select("resume_id", F.explode(t.ngrams(F.col("toks"), 2)).alias("gram"))
-    return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("resume_id").alias("n_resumes")).where("n >= 5")
+    return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("resume_id").alias("n_resumes"))
 
 
 @query("gram_candidates", f"SELECT resume_id, len(toks) + greatest(len(toks) - 1, 0) AS n_grams, coalesce(toks[1], '') AS first_gram FROM {_TOKENS}", "fx_resumes")
@@ -118,10 +118,10 @@ def stems(v):
     return words.select("token", t.stem_steps(F.col("token")).alias("stem_steps"), t.stem_once(F.col("token")).alias("stem_once"), t.stem_short(F.col("token")).alias("stem_short"))
 
 
-@query("term_frequencies", f"SELECT resume_id, token, least(count(*), 5) AS weight FROM fx_tokens WHERE length(token) > 2 AND NOT list_contains({_stop_sql()}, token) GROUP BY resume_id, token HAVING count(*) >= 3", "fx_tokens")
+@query("term_frequencies", f"SELECT resume_id, token, least(count(*), 5) AS weight FROM fx_tokens WHERE length(token) > 2 AND NOT list_contains({_stop_sql()}, token) GROUP BY resume_id, token", "fx_tokens")
 def term_frequencies(v):
     rows = _toks(v).select("resume_id", F.explode(t.without_stopwords(F.col("toks"), STOP)).alias("token"))
-    return rows.groupBy("resume_id", "token").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("weight"), F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
+    return rows.groupBy("resume_id", "token").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("weight"))
 
 
 @query("repeated_words", "SELECT resume_id, count_if(n > 4) AS repeated, max(n) AS most FROM (SELECT resume_id, token, count(*) AS n FROM fx_tokens WHERE length(token) > 3 GROUP BY 1, 2) GROUP BY resume_id", "fx_tokens")
@@ -138,11 +138,13 @@ def word_occurrences(v):
 
 @query("title_similarity", """
 SELECT a.role AS left_role, b.role AS right_role, levenshtein(a.r, b.r) AS distance, CAST((greatest(length(a.r), length(b.r)) - levenshtein(a.r, b.r)) * 1.0 / greatest(length(a.r), length(b.r)) AS DECIMAL(10,4)) AS similarity
-FROM (SELECT DISTINCT role, regexp_replace(lower(role), '[^a-z0-9]', '', 'g') AS r FROM fx_library) a JOIN (SELECT DISTINCT role, regexp_replace(lower(role), '[^a-z0-9]', '', 'g') AS r FROM fx_library) b ON substr(a.role, 1, 7) = substr(b.role, 1, 7) AND a.role < b.role""", "fx_library")
+FROM (SELECT DISTINCT role, regexp_replace(lower(role), '[^a-z0-9]', '', 'g') AS r FROM fx_library) a JOIN (SELECT DISTINCT role, regexp_replace(lower(role), '[^a-z0-9]', '', 'g') AS r FROM fx_library) b ON a.role < b.role""", "fx_library")
 def title_similarity(v):
+    """All pairs of distinct roles: the catalogue of roles is one array beside each of them, in blocks by hash."""
     roles = v.library.select("role").distinct()
-    other = roles.select(F.col("role").alias("right_role"))
-    pairs = roles.withColumnRenamed("role", "left_role").join(other, (F.substring("left_role", 1, 7) == F.substring("right_role", 1, 7)) & (F.col("left_role") < F.col("right_role")))
+    blocks = roles.groupBy(F.pmod(F.xxhash64("role"), F.lit(8)).alias("block")).agg(F.collect_list("role").alias("others"))
+    each = roles.select(F.col("role").alias("left_role"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
+    pairs = each.join(blocks, F.col("b") == F.col("block")).select("left_role", F.explode("others").alias("right_role")).where("left_role < right_role")
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     return pairs.select("left_role", "right_role", F.levenshtein(bare("left_role"), bare("right_role")).cast("long").alias("distance"), t.similarity(F.col("left_role"), F.col("right_role")).cast("decimal(10,4)").alias("similarity"))
 

@@ -10,20 +10,20 @@ from ..operators.dashboards import first_of, top_k
 from ..sources import store
 from ..sources.fixtures import STOP
 from ._register import query
-from .scores import _keywords, _pairs, _tokens
+from .scores import _keywords, _matches, _pairs, _tokens
 
 TERMS = [("rest", 10), ("than", 5), ("elle", 8), ("keit", 8), ("of the", 6), ("des", 1)]
 BUCKETS = [("verbs", ["ing", "ed"]), ("nouns", ["tion", "keit", "ment"]), ("articles", ["the", "les", "der"])]
 
 
 @query("json_ingest", """SELECT resume_id, title AS resume_title, CASE WHEN resume_id % 5 = 0 THEN 0 ELSE 2 END AS n_skills, CASE WHEN resume_id % 3 = 0 THEN 1 ELSE 0 END AS n_jobs,
-least(len(lines), 2) AS n_achievements, CASE WHEN resume_id % 3 = 0 THEN least(len(lines), 3) ELSE 0 END AS n_bullets FROM fx_lines JOIN (SELECT resume_id, title FROM fx_resumes) USING (resume_id)""", "fx_lines fx_resumes")
+len(lines) AS n_achievements, CASE WHEN resume_id % 3 = 0 THEN len(lines) ELSE 0 END AS n_bullets FROM fx_lines JOIN (SELECT resume_id, title FROM fx_resumes) USING (resume_id)""", "fx_lines fx_resumes")
 def json_ingest(v):
     """Nested documents as JSON texts, parsed with defaults, cleaned, and counted."""
     key = F.col("resume_id")
     rows = v.lines.join(v.resumes.select(F.col("resume_id").alias("__r"), "title"), F.col("resume_id") == F.col("__r"))
-    job = F.struct(F.lit("C").alias("company"), F.lit("R").alias("role"), F.when(key % 3 == 0, "2020").alias("startDate"), F.slice("lines", 1, 3).alias("bullets"))
-    doc = F.to_json(F.struct(key.alias("resumeId"), F.col("title").alias("resumeTitle"), F.when(key % 5 != 0, "Go, SQL,").alias("skills"), F.array(job).alias("experience"), F.array_join(F.transform(F.slice("lines", 1, 2), lambda x, i: F.concat(F.lit("- "), i, F.lit(" "), x)), "\n").alias("achievements")))
+    job = F.struct(F.lit("C").alias("company"), F.lit("R").alias("role"), F.when(key % 3 == 0, "2020").alias("startDate"), F.col("lines").alias("bullets"))
+    doc = F.to_json(F.struct(key.alias("resumeId"), F.col("title").alias("resumeTitle"), F.when(key % 5 != 0, "Go, SQL,").alias("skills"), F.array(job).alias("experience"), F.array_join(F.transform("lines", lambda x, i: F.concat(F.lit("- "), i, F.lit(" "), x)), "\n").alias("achievements")))
     parsed = store.parsed_resumes(rows.select(doc.alias("value")))
     count = lambda c: F.coalesce(F.aggregate(c, F.lit(0), lambda s, g: s + F.size(g)), F.lit(0))
     return parsed.select(F.col("resumeId").alias("resume_id"), F.col("resumeTitle").alias("resume_title"), count(F.transform("skills", lambda g: g["items"])).alias("n_skills"), F.size("experience").alias("n_jobs"), F.size("achievements").alias("n_achievements"), count(F.transform("experience", lambda e: e["bullets"])).alias("n_bullets"))
@@ -90,9 +90,9 @@ def keyword_cues(v):
 
 @query("contained_keywords", """SELECT resume_id, keyword, other, how FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, keyword ORDER BY how, p) AS n FROM (
 SELECT a.resume_id, a.token AS keyword, k.keyword AS other, k.rnk AS p, CASE WHEN a.token = k.keyword THEN 1 WHEN contains(a.token, k.keyword) THEN 2 WHEN contains(k.keyword, a.token) THEN 3 END AS how
-FROM (SELECT DISTINCT resume_id, token FROM fx_tokens WHERE pos <= 30 AND length(token) > 3) a JOIN (SELECT resume_id, jd_id FROM fx_resumes WHERE jd_id IS NOT NULL) r USING (resume_id) JOIN fx_jd_keywords k USING (jd_id)) WHERE how IS NOT NULL) WHERE n = 1""", "fx_tokens fx_resumes fx_jd_keywords")
+FROM (SELECT DISTINCT resume_id, token FROM fx_tokens WHERE length(token) > 3) a JOIN (SELECT resume_id, jd_id FROM fx_resumes WHERE jd_id IS NOT NULL) r USING (resume_id) JOIN fx_jd_keywords k USING (jd_id)) WHERE how IS NOT NULL) WHERE n = 1""", "fx_tokens fx_resumes fx_jd_keywords")
 def contained_keywords(v):
-    own = _tokens(v).where("pos <= 30 AND length(token) > 3").groupBy("resume_id", F.col("token").alias("keyword")).agg(F.min("pos").alias("ord"))
+    own = _tokens(v).where("length(token) > 3").groupBy("resume_id", F.col("token").alias("keyword")).agg(F.min("pos").alias("ord"))
     wanted = _pairs(v).join(_keywords(v), "jd_id").select("resume_id", "keyword", F.col("rnk").alias("ord"))
     return x.contained_keywords(own, wanted, "resume_id")
 
@@ -100,7 +100,7 @@ def contained_keywords(v):
 @query("all_tokens_matches", """SELECT p.resume_id, k.jd_id, count(*) AS n_words, count(t.token) AS n_found, count(*) = count(t.token) AS all_found FROM (SELECT resume_id, jd_id FROM fx_resumes WHERE jd_id IS NOT NULL) p
 JOIN (SELECT jd_id, keyword FROM fx_jd_keywords WHERE rnk <= 3) k USING (jd_id) LEFT JOIN (SELECT DISTINCT resume_id, token FROM fx_tokens) t ON t.resume_id = p.resume_id AND t.token = k.keyword GROUP BY 1, 2""", "fx_resumes fx_jd_keywords fx_tokens")
 def all_tokens_matches(v):
-    rows = m.matched_keywords(_tokens(v), _pairs(v), _keywords(v).where("rnk <= 3"))
+    rows = _matches(v).where("rnk <= 3")
     return rows.groupBy("resume_id", "jd_id").agg(F.count(F.lit(1)).alias("n_words"), F.count_if("matched").alias("n_found"), F.bool_and("matched").alias("all_found"))
 
 
@@ -114,14 +114,16 @@ def skill_merge(v):
     return rows.groupBy("jd_id", "category").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("skills"))
 
 
-@query("summary_enrichment", """SELECT resume_id, left(summary, 20) AS opening, coalesce(string_agg(keyword, ', ' ORDER BY rnk), '') AS added FROM (SELECT resume_id, jd_id, coalesce(lines[1], '') AS summary FROM fx_lines WHERE jd_id IS NOT NULL) s
+@query("summary_enrichment", """SELECT resume_id, coalesce(string_agg(keyword, ', ' ORDER BY rnk), '') AS added, md5(summary || coalesce(' Skilled in ' || string_agg(keyword, ', ' ORDER BY rnk) || '.', '')) AS digest FROM (SELECT resume_id, jd_id, coalesce(lines[1], '') AS summary FROM fx_lines WHERE jd_id IS NOT NULL) s
 LEFT JOIN (SELECT jd_id, keyword, rnk FROM fx_jd_keywords WHERE rnk <= 5) k ON k.jd_id = s.jd_id AND NOT contains(lower(summary), keyword) GROUP BY resume_id, summary""", "fx_lines fx_jd_keywords")
 def summary_enrichment(v):
     rows = v.lines.where("jd_id IS NOT NULL").select("resume_id", "jd_id", F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("")).alias("summary"))
     words = _keywords(v).where("rnk <= 5").groupBy(F.col("jd_id").alias("__j")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "keyword"))), lambda k: k["keyword"]).alias("ks"))
     met = rows.join(words, F.col("jd_id") == F.col("__j"), "left")
     missing = F.filter(F.coalesce("ks", F.array().cast("array<string>")), lambda k: ~F.contains(F.lower("summary"), k))
-    return met.select("resume_id", F.substring("summary", 1, 20).alias("opening"), F.array_join(missing, ", ").alias("added"))
+    added = F.array_join(missing, ", ")
+    enriched = F.when(added == "", F.col("summary")).otherwise(F.concat("summary", F.lit(" Skilled in "), added, F.lit(".")))
+    return met.select("resume_id", added.alias("added"), F.md5(enriched.cast("binary")).alias("digest"))
 
 
 @query("title_matches", "SELECT resume_id, title, len(list_filter(string_split(lower(title), ' '), lambda w: contains(lower(text), w))) > 0 AS title_in_text FROM fx_resumes", "fx_resumes")

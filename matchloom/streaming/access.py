@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,9 +48,17 @@ def suppress_repeats(events: DataFrame, gap_seconds: float) -> DataFrame:
 
 
 def accepted_in_batch(events: DataFrame, gap_seconds: float) -> DataFrame:
-    """The batch twin of ``suppress_repeats``, by a fold over each key's times."""
+    """The batch twin of ``suppress_repeats``, by a fold over runs of a key's times.
+
+    A time that is ``gap_seconds`` or more behind the one before it is accepted whatever was
+    accepted before, so it begins a run of its own, and only runs are gathered.
+    """
     gap = int(gap_seconds * 1_000_000)
-    times = events.groupBy(F.col("key").cast("string").alias("key")).agg(F.array_sort(F.collect_list(F.unix_micros("ts"))).alias("t"))
+    by_time = Window.partitionBy("key").orderBy("u")
+    rows = events.select(F.col("key").cast("string").alias("key"), F.unix_micros("ts").alias("u"))
+    rows = rows.withColumn("first", F.coalesce((F.col("u") - F.lag("u").over(by_time) >= gap).cast("int"), F.lit(1)))
+    rows = rows.withColumn("run", F.sum("first").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    times = rows.groupBy("key", "run").agg(F.array_sort(F.collect_list("u")).alias("t"))
     kept = F.aggregate("t", F.array().cast("array<bigint>"), lambda s, x: F.when((F.size(s) == 0) | (x - F.try_element_at(s, F.lit(-1)) >= gap), F.concat(s, F.array(x))).otherwise(s))
     return times.select("key", F.explode(kept).alias("u")).select("key", F.timestamp_micros("u").alias("ts"))
 
