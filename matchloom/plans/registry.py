@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import dashboards, flows, keywords, profiles, scores, streams, suggestions, texts, variants, wording  # noqa: F401
+from . import dashboards, flows, keywords, profiles, records, scores, streams, suggestions, texts, variants, wording  # noqa: F401
 from ._register import ORACLES, QUERIES  # noqa: F401

@@ -121,6 +121,26 @@ def bullets_of(resumes: DataFrame) -> DataFrame:
     return part("experience").unionByName(part("projects"))
 
 
+REQUIREMENT = T.StructType(_text("roleDetected", "jobTitle", "title", "companyName", "company", "jdText", "description", "content", "extractedKeywords"))
+
+
+def parsed_requirements(rows: DataFrame, column: str = "value") -> DataFrame:
+    """Requirements from JSON texts: title, company and description under the first filled name, keywords as plain texts."""
+    rows = rows.withColumn("__d", F.from_json(F.col(column), REQUIREMENT))
+    first = lambda *names: F.coalesce(*[F.nullif(F.col(f"__d.{n}"), F.lit("")) for n in names], F.lit(""))
+    raw = F.col("__d.extractedKeywords")
+    objects = F.transform(F.from_json(raw, "array<struct<keyword:string>>"), lambda k: k["keyword"])
+    names = F.when(raw.rlike("^\\s*\\[\\s*\\{"), objects).otherwise(F.from_json(raw, "array<string>"))
+    kept = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda k: F.coalesce(k != "", F.lit(False)))
+    return rows.select(*[c for c in rows.columns if c not in (column, "__d")], first("roleDetected", "jobTitle", "title").alias("title"), first("companyName", "company").alias("company"), first("jdText", "description", "content").alias("description"), kept.alias("keywords"))
+
+
+def seeded(rows: DataFrame, path: str) -> DataFrame:
+    """A dimension written over whatever stands at ``path``, and read back."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def resume_lines(resumes: DataFrame) -> DataFrame:
     """What ``features.resume_features`` takes, from parsed résumés: summary and bullets as lines, and what the sections hold."""
     bullets = F.flatten(F.transform(F.concat(F.transform("experience", lambda e: e["bullets"]), F.transform("projects", lambda p: p["bullets"])), lambda b: F.coalesce(b, F.array().cast("array<string>"))))
