@@ -4,20 +4,21 @@
 2. Every source's rows are dealt by hash into at most ``MAX_BLOCKS`` blocks, and the
    blocks stand in a permuted order. A source is drawn in whole passes plus one
    partial pass, which takes blocks in that order and, in the block where the quota
-   ends, rows in hash order until the quota is reached.
-3. Each pass is cut into output shards: a binary tree halves the shards, and at each
-   node multivariate-hypergeometric draws split the exact block quotas of the sources
-   between the halves. A shard then draws the next blocks of the permuted order, so
-   shards are disjoint within a pass; in a shard, rows stand by a hash key. A row is
-   taken once for every shard that has drawn its block.
-
-Only DataFrame functions touch rows. The tree runs on one count per source and pass
-(sources beyond ``STRATA`` share strata by hash), so its input has a fixed bound.
+   ends, rows in hash order until the quota is reached. So each source has an exact
+   quota of blocks in each pass.
+3. A binary tree halves the output shards, pass by pass. At each node an urn holds one
+   ball for every block of the sources' quotas there; the balls drawn for the left half
+   are those with the smallest hashes, so the sources' counts on either side are a
+   multivariate hypergeometric draw, and add up to the exact quotas.
+4. The leaves are the shards' quotas of each source. A shard draws that many next blocks
+   of the source's permuted order, so shards are disjoint within a pass; in a shard,
+   rows stand by a hash key. A row is taken once for every shard that has drawn its block.
+
+Only DataFrame functions are used, and the driver gets nothing but counts.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +28,10 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 ROWS_PER_BLOCK = 64
 MAX_BLOCKS = 4096
-STRATA = 4096
 BROADCAST_ROWS = 200_000
-ROWS_PER_SHARD, MAX_SHARDS = 20_000, 4096
+ROWS_PER_SHARD, LEAST_SHARDS, MAX_SHARDS = 20_000, 8, 4096
+#: Ranges of hashes in which the balls of an urn are ranked apart.
+RANGES = 256
 
 
 def word_count(text: Column) -> Column:
@@ -65,43 +67,42 @@ def source_targets(sizes: DataFrame, source_col: str = "source", weights: tuple[
     return per.select(source_col, "n_rows", "source_size", "weight", target.alias("target"))
 
 
-def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """counts[stratum] -> quota[shard, stratum]: hypergeometric halving down to the shards.
+def split_tree(balls: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``balls`` (__e, __s, __r: pass, source, number of the ball) with __shard, the leaf that drew the ball.
 
-    Columns of the result add up to ``counts``; rows differ in total by at most one block.
+    At each node the left half gets its part, in whole balls, of all that the node has,
+    for its part of the node's shards. Balls are ranked within ranges of their hashes, so
+    that no task takes a whole urn. One written table a level.
     """
-    rng = np.random.Generator(np.random.PCG64(seed))
-    quota = np.zeros((shards, len(counts)), np.int64)
-    nodes = [(0, shards, counts.astype(np.int64))]
-    while nodes:
-        low, high, own = nodes.pop()
-        if high - low == 1:
-            quota[low] = own
-            continue
-        middle = (low + high) // 2
-        left = np.zeros_like(own)
-        want, rest = int(own.sum()) * (middle - low) // (high - low), int(own.sum())
-        for k, n in enumerate(own.tolist()):  # the marginals of a multivariate hypergeometric draw
-            if want and n:
-                # numpy's sampler takes counts below 1e9; these are block counts
-                left[k] = rng.hypergeometric(n, rest - n, want) if rest > n else want
-            rest, want = rest - n, want - int(left[k])
-        nodes += [(low, middle, left), (middle, high, own - left)]
-    return quota
+    tree = balls.withColumns({"__low": F.lit(0), "__high": F.lit(shards)})
+    keys = ["__e", "__low", "__high"]
+    for _ in range((shards - 1).bit_length()):
+        ball = _hash(F.lit(seed), F.lit("t"), F.col("__e"), F.col("__low"), F.col("__high"), F.col("__s"), F.col("__r"))
+        tree = materialise(tree.withColumn("__h", ball).withColumn("__range", F.floor(F.col("__h") / (2**52 // RANGES))), "mix-urns")
+        node = Window.partitionBy(*keys)
+        ranges = tree.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+        ranges = ranges.select(*[F.col(k).alias(f"{k}_of") for k in [*keys, "__range"]], F.sum("__n").over(node).alias("__all"), F.coalesce(F.sum("__n").over(node.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+        met = tree.join(ranges, [F.col(k) == F.col(f"{k}_of") for k in [*keys, "__range"]])
+        rank = F.col("__before") + F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("__h"))
+        middle = F.floor((F.col("__low") + F.col("__high")) / 2).cast("int")
+        left = rank <= F.floor(F.col("__all") * (middle - F.col("__low")) / (F.col("__high") - F.col("__low")))
+        inner = F.col("__high") - F.col("__low") > 1
+        tree = met.withColumn("__left", left).select("__e", "__s", "__r", F.when(inner & ~F.col("__left"), middle).otherwise(F.col("__low")).alias("__low"), F.when(inner & F.col("__left"), middle).otherwise(F.col("__high")).alias("__high"))
+    return tree.select("__e", "__s", "__r", F.col("__low").alias("__shard"))
 
 
 def _blocks_of(n_rows: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(n_rows / ROWS_PER_BLOCK))).cast("long")
 
 
-def _plans(sized: DataFrame, source_col: str, id_col: str, weights: tuple[int, ...], max_epochs: int, seed: int, shards: int | None) -> tuple[DataFrame, DataFrame]:
+def _plans(sized: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int, shards: int | None) -> tuple[DataFrame, DataFrame]:
     """(per source, per source and block): what each row needs to decide for itself."""
-    per = source_targets(sized, source_col, weights, max_epochs)
+    per = source_targets(sized.select(F.col("__source").alias("source"), F.col("__size").alias("size")), "source", weights, max_epochs)
     passes = F.coalesce(F.least(F.lit(max_epochs), F.floor(F.try_divide(F.col("target"), F.col("source_size")))), F.lit(0)).cast("int")
-    per = per.select(F.col(source_col).alias("__s"), "n_rows", "source_size", "target", _blocks_of(F.col("n_rows")).alias("__n"), passes.alias("__passes"))
-    per = materialise(per.withColumn("__quota", F.col("target") - F.col("__passes") * F.col("source_size")), "mix-sources")
-    rows = sized.join(_small(per), F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__b", _block(id_col, seed))
-    blocks = rows.groupBy("__s", "__b", "__quota", "__passes").agg(F.sum("size").alias("__words"))
+    per = per.select(F.col("source").alias("__s"), "n_rows", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), _blocks_of(F.col("n_rows")).alias("__n"), passes.alias("__passes"))
+    per = materialise(per.withColumn("__quota", F.col("__target") - F.col("__passes") * F.col("__source_size")), "mix-sources")
+    rows = sized.join(_small(per), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__b", _block(seed))
+    blocks = rows.groupBy("__s", "__b", "__quota", "__passes").agg(F.sum("__size").alias("__words"))
     order = Window.partitionBy("__s").orderBy(_hash(F.lit(seed), F.lit("b"), F.col("__s"), F.col("__b")), "__b")
     before = F.coalesce(F.sum("__words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.withColumn("__before", before)
@@ -109,14 +110,14 @@ def _plans(sized: DataFrame, source_col: str, id_col: str, weights: tuple[int, .
     cut = ~whole & (F.col("__before") < F.col("__quota"))
     blocks = materialise(blocks.withColumns({"__whole": whole, "__cut": cut}), "mix-blocks")
     # one block a source holds the end of the quota; its rows stand in hash order
-    edge = rows.select("__s", "__b", id_col, "size").join(_small(blocks.where("__cut").select(F.col("__s").alias("__es"), F.col("__b").alias("__eb"), "__before", "__quota")), F.col("__s").eqNullSafe(F.col("__es")) & (F.col("__b") == F.col("__eb")))
-    edge = edge.withColumn("__key", _row_key(id_col, seed))
-    run = F.sum("size").over(Window.partitionBy("__s").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("__run", run).where(F.col("__before") + F.col("__run") - F.col("size") / 2 <= F.col("__quota"))
+    edge = rows.select("__s", "__b", "__id", "__size").join(_small(blocks.where("__cut").select(F.col("__s").alias("__es"), F.col("__b").alias("__eb"), "__before", "__quota")), F.col("__s").eqNullSafe(F.col("__es")) & (F.col("__b") == F.col("__eb")))
+    edge = edge.withColumn("__key", _row_key(seed))
+    run = F.sum("__size").over(Window.partitionBy("__s").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("__run", run).where(F.col("__before") + F.col("__run") - F.col("__size") / 2 <= F.col("__quota"))
     ends = edge.groupBy(F.col("__s").alias("__es")).agg(F.max("__key").alias("__end"))
     blocks = blocks.join(ends, F.col("__s").eqNullSafe(F.col("__es")), "left").select(F.col("__s").alias("__bs"), F.col("__b").alias("__bb"), "__passes", "__whole", F.when(F.col("__cut"), F.col("__end")).alias("__end"))
     if shards is None:
-        shards = max(1, min(MAX_SHARDS, -(-(per.agg(F.sum("n_rows")).first()[0] or 0) // ROWS_PER_SHARD)))
+        shards = max(LEAST_SHARDS, min(MAX_SHARDS, -(-(per.agg(F.sum("n_rows")).first()[0] or 0) // ROWS_PER_SHARD)))
     return per.drop("n_rows"), materialise(_drawn_by_shards(blocks, shards, seed), "mix-plan")
 
 
@@ -124,33 +125,29 @@ def _drawn_by_shards(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     """``blocks`` with __shards: the shard that draws the block in each pass, in order of the passes.
 
     A pass of a source is a draw of all its blocks; the last, partial pass draws the whole
-    blocks and the one where the quota ends. The driver gets one count per pass and stratum.
+    blocks and the one where the quota ends. The tree tells each shard's quota of the
+    source, and the shards take that many blocks each in the permuted order.
     """
     partial = (F.col("__whole") | F.col("__end").isNotNull()).cast("int")
     last = F.col("__passes") + partial - 1
-    draws = blocks.withColumn("__e", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))).withColumn("__stratum", F.pmod(_hash(F.lit(seed), F.lit("s"), F.col("__bs")), F.lit(STRATA)))
-    rank = F.row_number().over(Window.partitionBy("__e", "__stratum").orderBy(_hash(F.lit(seed), F.lit("p"), F.col("__e"), F.col("__bs"), F.col("__bb")), "__bs", "__bb")) - 1
-    draws = materialise(draws.select(F.col("__bs").alias("__ds"), F.col("__bb").alias("__db"), "__e", "__stratum", rank.alias("__rank")), "mix-draws")
-    plan = []
-    counts = draws.groupBy("__e", "__stratum").count().collect()  # at most STRATA rows a pass
-    for epoch in sorted({r["__e"] for r in counts}):
-        own = sorted((r["__stratum"], r["count"]) for r in counts if r["__e"] == epoch)
-        ends = np.cumsum(split_tree(np.array([n for _, n in own]), shards, seed * 31 + epoch), axis=0)
-        starts = np.vstack([np.zeros_like(ends[:1]), ends[:-1]])
-        plan += [(epoch, own[k][0], j, int(starts[j, k]), int(ends[j, k])) for j, k in zip(*np.nonzero(ends > starts), strict=True)]
-    plan = [(e, s, int(j), a, b) for e, s, j, a, b in plan]
-    quotas = blocks.sparkSession.createDataFrame(plan, "__qe int, __qs long, shard int, __from long, __to long")
-    placed = draws.join(quotas, (F.col("__e") == F.col("__qe")) & (F.col("__stratum") == F.col("__qs")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
-    of_block = placed.groupBy("__ds", "__db").agg(F.transform(F.array_sort(F.collect_list(F.struct("__e", "shard"))), lambda x: x["shard"]).alias("__shards"))
+    draws = blocks.withColumn("__e", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    order = Window.partitionBy("__bs", "__e").orderBy(_hash(F.lit(seed), F.lit("p"), F.col("__e"), F.col("__bs"), F.col("__bb")), "__bb")
+    draws = materialise(draws.select(F.col("__bs").alias("__ds"), F.col("__bb").alias("__db"), F.col("__e").alias("__de"), (F.row_number().over(order) - 1).alias("__rank")), "mix-draws")
+    leaves = split_tree(draws.select(F.col("__de").alias("__e"), F.col("__ds").alias("__s"), F.col("__rank").alias("__r")), shards, seed)
+    # the quotas as runs of places: shard after shard, as many places as it has balls
+    places = leaves.select("__e", "__s", "__shard", (F.row_number().over(Window.partitionBy("__s", "__e").orderBy("__shard", "__r")) - 1).alias("__place"))
+    placed = draws.join(places, F.col("__ds").eqNullSafe(F.col("__s")) & (F.col("__de") == F.col("__e")) & (F.col("__rank") == F.col("__place")))
+    of_block = placed.groupBy("__ds", "__db").agg(F.transform(F.array_sort(F.collect_list(F.struct("__e", "__shard"))), lambda x: x["__shard"]).alias("__shards"))
     return blocks.join(of_block, F.col("__bs").eqNullSafe(F.col("__ds")) & (F.col("__bb") == F.col("__db")), "left").select("__bs", "__bb", "__whole", "__end", F.coalesce("__shards", F.array().cast("array<int>")).alias("__shards"))
 
 
-def _block(id_col: str, seed: int) -> Column:
-    return F.pmod(_hash(F.lit(seed), F.col(id_col)), F.col("__n"))
+def _block(seed: int) -> Column:
+    return F.pmod(_hash(F.lit(seed), F.col("__id")), F.col("__n"))
 
 
-def _row_key(id_col: str, seed: int) -> Column:
-    return F.concat(F.md5(F.concat_ws(":", F.lit(seed), F.lit("r"), F.coalesce(F.col(id_col).cast("string"), F.lit("\\N"))).cast("binary")), F.lit(":"), F.coalesce(F.col(id_col).cast("string"), F.lit("\\N")))
+def _row_key(seed: int) -> Column:
+    own = F.coalesce(F.col("__id").cast("string"), F.lit("\\N"))
+    return F.concat(F.md5(F.concat_ws(":", F.lit(seed), F.lit("r"), own).cast("binary")), F.lit(":"), own)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -158,46 +155,48 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, shards: int | None = None) -> DataFrame:
-    """``docs`` with a struct column ``__mix``: size, source_size, target, copies, block, shards.
-
-    Texts are not shuffled: rows meet small tables of sources and blocks.
-    """
-    columns = docs.columns
-    sized = materialise(docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    return _decided(docs.select("*", word_count(F.col(text_col)).alias("__size")), sized, columns, id_col, source_col, weights, max_epochs, seed, shards)
+def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size")]
 
 
-def _decided(rows: DataFrame, sized: DataFrame, columns: list[str], id_col: str, source_col: str, weights: tuple[int, ...], max_epochs: int, seed: int, shards: int | None) -> DataFrame:
-    per, blocks = _plans(sized, source_col, id_col, weights, max_epochs, seed, shards)
-    rows = rows.join(_small(per), F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__b", _block(id_col, seed))
-    rows = rows.join(_small(blocks), F.col(source_col).eqNullSafe(F.col("__bs")) & (F.col("__b") == F.col("__bb")))
-    more = F.coalesce((F.col("__whole") | (_row_key(id_col, seed) <= F.col("__end"))).cast("int"), F.lit(0))
+def _decided(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int, shards: int | None) -> DataFrame:
+    """``rows`` (__id, __source, __size and others) with size, source_size, target, copies, block, shards in ``__mix``."""
+    per, blocks = _plans(sized, weights, max_epochs, seed, shards)
+    columns = rows.columns
+    rows = rows.join(_small(per), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__b", _block(seed))
+    rows = rows.join(_small(blocks), F.col("__source").eqNullSafe(F.col("__bs")) & (F.col("__b") == F.col("__bb")))
+    more = F.coalesce((F.col("__whole") | (_row_key(seed) <= F.col("__end"))).cast("int"), F.lit(0))
     taken = F.slice("__shards", F.lit(1), F.least(F.lit(max_epochs), F.col("__passes") + more).cast("int"))
-    return rows.select(*columns, F.struct(F.col("__size").alias("size"), "source_size", "target", F.size(taken).alias("copies"), F.col("__b").alias("block"), taken.alias("shards")).alias("__mix"))
+    return rows.select(*columns, F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.size(taken).alias("copies"), F.col("__b").alias("block"), taken.alias("shards")).alias("__mix"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, shards: int | None = None) -> DataFrame:
     """Per row: id, source, size, source_size, target, copies, block, shards, taken (= copies * size).
 
-    ``shards`` holds the output shard of each copy, one for each pass.
+    ``shards`` holds the output shard of each copy, one for each pass, as the splitting
+    tree has dealt them; there are as many copies as shards.
 
     Null text has size 0. A null source is a source of its own. Rows without words are
     dealt like any others and add nothing. Draws depend on ids and ``seed`` alone, so
     reruns agree; rows that repeat an id are drawn alike. Other input columns are
     ignored, whatever their names. An empty table gives no rows.
     """
-    sized = materialise(docs.select(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    rows = sized.withColumnRenamed("size", "__size")
-    out = _decided(rows, sized, [id_col, source_col], id_col, source_col, weights, max_epochs, seed, shards)
-    return out.select(id_col, source_col, "__mix.*").withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+    sized = materialise(docs.select(*_named(docs, id_col, text_col, source_col)), "mix-sizes")
+    out = _decided(sized, sized, weights, max_epochs, seed, shards)
+    return out.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), "__mix.*").withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", seed: int = 0, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, shard by shard in local hash order."""
-    columns = docs.columns
-    drawn = decide(docs, id_col=id_col, seed=seed, **options).select("*", F.posexplode("__mix.shards").alias("__epoch", "__shard"))
-    drawn = drawn.withColumn("__key", _hash(F.lit(seed), F.lit("l"), F.col("__epoch"), F.col(id_col)))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, shards: int | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, shard by shard in local hash order.
+
+    Columns stay as they are, whatever their names. Nulls, repeats and rows without words
+    are treated as in ``mix_sources``. An empty table gives no rows.
+    """
+    named = _named(docs, id_col, text_col, source_col)
+    sized = materialise(docs.select(*named), "mix-sizes")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), *named)
+    drawn = _decided(rows, sized, weights, max_epochs, seed, shards).select("__row", "__id", F.posexplode("__mix.shards").alias("__epoch", "__shard"))
+    drawn = drawn.withColumn("__key", _hash(F.lit(seed), F.lit("l"), F.col("__epoch"), F.col("__id")))
     # a shard is cut into parts by key, so that no task takes a whole large shard
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return drawn.repartition(n, "__shard", F.pmod("__key", F.lit(16))).sortWithinPartitions("__shard", "__key").select(columns)
+    return drawn.repartition(n, "__shard", F.pmod("__key", F.lit(16))).sortWithinPartitions("__shard", "__key").select("__row.*")

@@ -1,6 +1,6 @@
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from matchloom.llm import mixing
@@ -66,17 +66,43 @@ def test_empty_and_wordless(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
-def test_splitting_tree():
-    counts = np.array([1000, 10, 0, 333])
-    quota = mixing.split_tree(counts, 7, seed=4)
-    assert (quota.sum(axis=0) == counts).all() and np.ptp(quota.sum(axis=1)) <= 3
-    assert (quota >= 0).all() and (mixing.split_tree(counts, 7, seed=4) == quota).all()
+def balls(spark, counts, passes=1):
+    rows = [(e, s, r) for e in range(passes) for s, n in counts.items() for r in range(n)]
+    return spark.createDataFrame(rows, "__e int, __s string, __r long")
 
 
-def test_split_is_hypergeometric():
-    draws = np.array([mixing.split_tree(np.array([30, 10]), 2, seed=s)[0] for s in range(2000)])
-    assert (draws.sum(axis=1) == 20).all() and abs(draws[:, 0].mean() - 15) < 0.2
-    assert abs(draws[:, 0].var() - 20 * 0.75 * 0.25 * 20 / 39) < 0.3
+def test_splitting_tree(spark):
+    counts = {"a": 1000, "b": 10, None: 333}
+    leaves = mixing.split_tree(balls(spark, counts), 7, 4).collect()
+    assert sorted((str(r["__s"]), r["__r"]) for r in leaves) == sorted((str(s), r) for s, n in counts.items() for r in range(n))
+    shards = Counter(r["__shard"] for r in leaves)
+    assert set(shards) == set(range(7)) and max(shards.values()) - min(shards.values()) <= 3
+    again = mixing.split_tree(balls(spark, counts).repartition(3), 7, 4).collect()
+    assert sorted(map(str, again)) == sorted(map(str, leaves))
+
+
+def test_split_is_hypergeometric(spark):
+    """2,000 passes as independent draws: means, variances and the exact distribution of a child's count."""
+    leaves = mixing.split_tree(balls(spark, {"a": 12, "b": 4}, 2000), 2, 1).where("__shard = 0 and __s = 'b'")
+    of = Counter(r["count"] for r in leaves.groupBy("__e").count().collect())
+    of[0] = 2000 - sum(of.values())
+    for k in range(5):
+        want = 2000 * math.comb(4, k) * math.comb(12, 8 - k) / math.comb(16, 8)
+        assert abs(of[k] - want) < 5 * math.sqrt(want)
+
+
+def test_deep_tree_keeps_marginals(spark):
+    """Every ball is as likely in any of 8 leaves."""
+    leaves = mixing.split_tree(balls(spark, {"a": 9, "b": 23}, 400), 8, 2)
+    rows = leaves.where("__s = 'a'").groupBy("__shard").count().collect()
+    assert len(rows) == 8 and all(abs(r["count"] - 450) < 5 * math.sqrt(450) for r in rows)
+    assert {r["count"] for r in leaves.groupBy("__e", "__shard").count().collect()} == {4}
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"a b c {k}", "s", 1, 2, 3, 4) for k in range(90)], "doc_id long, text string, source string, target int, source_size int, __s int, __mix int")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == 90 and mixing.mix_sources(docs).count() == 90
 
 
 def test_shards_are_disjoint(spark):
