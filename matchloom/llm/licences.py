@@ -136,8 +136,9 @@ def canonical_lines(text: Column) -> Column:
     form = F.when(about, F.regexp_replace(form, COPYRIGHT_LINE, "")).otherwise(form)
     form = F.regexp_replace(form, "[^\\p{L}\\p{N}\\n]+", " ")
     form = F.concat(F.lit(" "), F.replace(form, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    form = F.replace(form, F.lit(" "), F.lit("  "))  # each word has signs of its own around it, so that neighbours are both replaced
     for variant, canonical in SPELLINGS:
-        form = F.replace(form, F.lit(f" {variant} "), F.lit(f" {canonical} "))
+        form = F.replace(form, F.lit(f" {variant.replace(' ', '  ')} "), F.lit(f" {canonical.replace(' ', '  ')} "))
     return form
 
 
@@ -151,6 +152,10 @@ def digests(licences: DataFrame) -> DataFrame:
     return licences.where(canonical(F.col("licence_text")) != "").select("licence", F.sha2(canonical(F.col("licence_text")), 256).alias("__known")).groupBy("__known").agg(F.min("licence").alias("__licence"))
 
 
+#: Leading hexadecimal digits of digests by which lines that may be known are told in their row.
+PREFIX = 4
+
+
 def scan_licences(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, text_digest, licence (of the entire text, or null), notice_lines, notices.
 
@@ -158,15 +163,22 @@ def scan_licences(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id",
     commas, empty if none; ``notice_lines`` counts those lines with repeats. Null and
     empty texts, and texts of signs alone, have the digest of the empty form and match
     nothing. Rows that repeat an id stay separate rows. Other columns are ignored.
-    The join broadcasts the digests only if the planner finds them small enough.
+
+    A line reaches the join only if its digest begins like a known one: the driver gets
+    those beginnings, at most 16 ** PREFIX of 4 signs. The join broadcasts the digests only
+    if the planner finds them small enough. Rows are told apart by id and form, and equal
+    ones are counted and given back as often.
     """
     known = digests(licences)
-    rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("__row"), canonical_lines(F.col(text_col)).alias("__form"))
-    whole = F.trim(F.regexp_replace("__form", "[ \\n]+", " "))
+    starts = [r[0] for r in known.select(F.substring("__known", 1, PREFIX)).distinct().collect()]
+    likely = lambda digest: F.substring(digest, 1, PREFIX).isin(starts) if starts else F.lit(False)
+    rows = docs.select(F.col(id_col).alias("__id"), canonical_lines(F.col(text_col)).alias("__form"))
+    whole = F.sha2(F.trim(F.regexp_replace("__form", "[ \\n]+", " ")), 256)
     lines = F.transform(F.filter(F.split("__form", "\n"), lambda x: F.trim(x) != ""), lambda x: F.sha2(F.trim(F.regexp_replace(x, " +", " ")), 256))
-    rows = rows.select(id_col, "__row", F.sha2(whole, 256).alias("text_digest"), lines.alias("__lines"))
-    entries = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text_digest").alias("digest"))), F.transform("__lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("digest"))))
-    found = rows.select(id_col, "__row", "text_digest", F.explode(entries).alias("__e")).join(known, F.col("__e.digest") == F.col("__known"), "left")
-    line = ~F.col("__e.whole") & F.col("__licence").isNotNull()
-    out = found.groupBy(id_col, "__row", "text_digest").agg(F.max(F.when(F.col("__e.whole"), F.col("__licence"))).alias("licence"), F.sum(line.cast("long")).alias("notice_lines"), F.array_join(F.sort_array(F.collect_set(F.when(line, F.col("__licence")))), ",").alias("notices"))
-    return out.drop("__row")
+    rows = rows.select("__id", whole.alias("__whole"), F.xxhash64("__form").alias("__lines_of"), F.filter(lines, likely).alias("__lines"))
+    entries = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("__whole").alias("digest"))), F.transform("__lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("digest"))))
+    found = rows.select("__id", "__whole", "__lines_of", F.explode(entries).alias("__e")).join(known, F.col("__e.digest") == F.col("__known"), "left")
+    line, entire = ~F.col("__e.whole") & F.col("__licence").isNotNull(), F.col("__e.whole")
+    out = found.groupBy("__id", "__whole", "__lines_of").agg(F.max(F.when(entire, F.col("__licence"))).alias("licence"), F.sum(line.cast("long")).alias("__n"), F.array_join(F.sort_array(F.collect_set(F.when(line, F.col("__licence")))), ",").alias("notices"), F.sum(entire.cast("long")).alias("__rows"))
+    out = out.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows"))))
+    return out.select(F.col("__id").alias(id_col), F.col("__whole").alias("text_digest"), "licence", (F.col("__n") / F.col("__rows")).cast("long").alias("notice_lines"), "notices")

@@ -46,3 +46,13 @@ def test_entire_texts_of_common_licences(spark):
     assert [got[k] for k in range(len(texts))] == [name for name, _ in texts]
     own = spark.createDataFrame([("Own-1.0", "My own terms.")], "licence string, licence_text string")
     assert licences.scan_licences(spark.createDataFrame([(1, "my own TERMS")], "doc_id long, text string"), own).first().licence == "Own-1.0"
+
+
+def test_neighbours_and_repeated_rows(spark):
+    """Variants side by side are all brought to one spelling; equal rows stay as many rows."""
+    own = spark.createDataFrame([("X", "license license copyright owner copyright owner centre")], "licence string, licence_text string")
+    docs = spark.createDataFrame([(1, "licence licence copyright holder copyright holder center"), (2, "LICENCE license copyright holder, copyright-owner centre\nother")] * 2, "doc_id long, text string")
+    rows = sorted(map(tuple, licences.scan_licences(docs, own).drop("text_digest").collect()))
+    assert rows == [(1, "X", 1, "X"), (1, "X", 1, "X"), (2, None, 1, "X"), (2, None, 1, "X")]
+    none = own.limit(0)
+    assert [r.licence for r in licences.scan_licences(docs, none).collect()] == [None] * 4
