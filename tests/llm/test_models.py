@@ -44,6 +44,26 @@ def test_edit_touches_a_region_only(encoder):
     assert encoded <= 4 * token_counts.LEAF
 
 
+def test_edits_touch_paths_only(encoder, monkeypatch):
+    """An edit that fits its leaves does not build the tree anew, and all sums are those of a new tree."""
+    text = " ".join(f"word{k} and more" for k in range(3000))
+    tree = token_counts.CountTree(*encoder.leaves(text)[:2])
+    monkeypatch.setattr(token_counts.CountTree, "_sum", lambda self: pytest.fail("the whole tree was summed"))
+    rng = random.Random(8)
+    for _ in range(60):
+        a = rng.randint(0, len(text))
+        text, _n = tree.edit(text, a, a + rng.choice([0, 3, 40]), rng.choice(["", "x", " some new words here"]), encoder)
+    assert tree.token_sums == token_counts.subtree_sums(tree.tokens) and tree.char_sums == token_counts.subtree_sums(tree.chars)
+    assert tree.total == len(encoder.encoding.encode_ordinary(text))
+
+
+def test_null_edits(spark, encoder):
+    edits = [(None, 3, "x"), (2, None, "y"), None]
+    docs = spark.createDataFrame([(1, "some words", edits)], "doc_id long, text string, edits array<struct<start:long,end:long,new:string>>")
+    row = token_counts.recount(docs, RANKS, public_tokenizers.PATTERN).first()
+    assert row.edited_text == "some words" and row.n_tokens_edited == row.n_tokens and row.n_reencoded == 0
+
+
 def test_recount_rows(spark, encoder):
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
     edits = docs.selectExpr("*", "array(struct(2L as start, 5L as end, 'new text' as new), struct(0L as start, 0L as end, null as new)) as edits")
@@ -77,6 +97,25 @@ def test_forward_and_baum_welch_against_plain_sums():
     assert better.forward(symbols, starts, lengths).sum() > got.sum()
 
 
+def test_long_sequences_teach_whole():
+    """Stretches give the counts of the whole sequence, transitions between stretches included."""
+    rng = np.random.default_rng(6)
+    model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(hmm.CLASSES), 3))
+    symbols = rng.integers(0, 50, 41)
+    whole = model.expected(symbols, np.array([0]), np.array([41]))
+    for stretch in (1, 7, 40, 41, 100):
+        parts = model.expected_long(symbols, stretch)
+        assert all(np.allclose(a, b) for a, b in zip(whole, parts, strict=True))
+
+
+def test_long_documents_in_a_pass(spark, monkeypatch):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    want = {r.doc_id: r.score for r in hmm.score_documents(docs).collect()}
+    monkeypatch.setattr(hmm, "STRETCH", 100)
+    got = {r.doc_id: r.score for r in hmm.score_documents(docs).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def brute_base(rows):
     train = Counter()
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in rows}
