@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .licences import COPYRIGHT_LINE, KNOWN, SPELLINGS
-from .mixing import MAX_BLOCKS, ROWS_PER_BLOCK
+from .licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, full_texts
+from .mixing import LEAST_SHARDS, MAX_BLOCKS, MAX_SHARDS, ROWS_PER_BLOCK, ROWS_PER_SHARD
 
 OP1 = r"""
 WITH t AS (
@@ -24,12 +24,13 @@ def _canonical_lines(column: str) -> str:
     about = " OR ".join(f"contains({low}, {_quoted(x)})" for x in ("copyright", "(c)", "©", "all rights reserved"))
     form = f"CASE WHEN {about} THEN regexp_replace({low}, {_quoted(COPYRIGHT_LINE)}, '', 'g') ELSE {low} END"
     form = f"' ' || replace(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
+    form = f"replace({form}, ' ', '  ')"
     for variant, canonical in SPELLINGS:
-        form = f"replace({form}, ' {variant} ', ' {canonical} ')"
+        form = f"replace({form}, ' {variant.replace(' ', '  ')} ', ' {canonical.replace(' ', '  ')} ')"
     return form
 
 
-_VALUES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+_VALUES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in [*KNOWN, *full_texts()])
 OP5 = rf"""
 WITH known AS (
   SELECT digest, min(licence) AS licence
@@ -49,6 +50,14 @@ SELECT doc_id, text_digest, licence, coalesce(notice_lines, 0) AS notice_lines,
 FROM whole LEFT JOIN known ON digest = text_digest LEFT JOIN notices USING (doc_id)
 """
 
+_LEVELS = (MAX_SHARDS - 1).bit_length()
+_TREE = ", ".join(
+    rf"""t{k + 1} AS (
+  SELECT source, e, r, CASE WHEN high - low > 1 AND ball > half THEN middle ELSE low END AS low, CASE WHEN high - low > 1 AND ball <= half THEN middle ELSE high END AS high
+  FROM (SELECT *, (low + high) // 2 AS middle, count(*) OVER (PARTITION BY e, low, high) * ((low + high) // 2 - low) // (high - low) AS half,
+               row_number() OVER (PARTITION BY e, low, high ORDER BY ('0x' || substr(md5('0:t:' || e || ':' || low || ':' || high || ':' || coalesce(source, '\N') || ':' || r), 1, 13))::BIGINT) AS ball FROM t{k}))"""
+    for k in range(_LEVELS)
+)
 OP6 = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
@@ -76,10 +85,22 @@ WITH d AS (
   FROM r JOIN o ON r.source IS NOT DISTINCT FROM o.source AND r.block = o.block
 ), c AS (
   SELECT *, sum(size) OVER (PARTITION BY source, cut ORDER BY md5('0:r:' || doc_id) || ':' || doc_id ROWS UNBOUNDED PRECEDING) AS run FROM e
+), taking AS (
+  SELECT *, whole OR (cut AND before + run - size / 2.0 <= quota) AS more FROM c
+), drawn AS (
+  SELECT source, block, unnest(range(0, max(passes) + max(more::INT))) AS e FROM taking GROUP BY source, block
+), draws AS (
+  SELECT source, block, e, row_number() OVER (PARTITION BY source, e ORDER BY ('0x' || substr(md5('0:p:' || e || ':' || coalesce(source, '\N') || ':' || block), 1, 13))::BIGINT, block) - 1 AS r FROM drawn
+), t0 AS (
+  SELECT source, e, r, 0 AS low, (SELECT greatest({LEAST_SHARDS}, least({MAX_SHARDS}, ceil(count(*) / {ROWS_PER_SHARD}.0)))::BIGINT FROM documents) AS high FROM draws
+), {_TREE}, places AS (
+  SELECT source, e, low AS shard, row_number() OVER (PARTITION BY source, e ORDER BY low, r) - 1 AS place FROM t{_LEVELS}
+), of_block AS (
+  SELECT draws.source, block, list(shard ORDER BY draws.e) AS shards FROM draws JOIN places ON draws.source IS NOT DISTINCT FROM places.source AND draws.e = places.e AND r = place GROUP BY draws.source, block
+), out AS (
+  SELECT taking.*, coalesce(shards, [])[1:least(3, passes + more::INT)] AS own FROM taking LEFT JOIN of_block ON taking.source IS NOT DISTINCT FROM of_block.source AND taking.block = of_block.block
 )
-SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       (size * least(3, passes + CASE WHEN whole OR (cut AND before + run - size / 2.0 <= quota) THEN 1 ELSE 0 END))::BIGINT AS taken, source
-FROM c
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * len(own))::BIGINT AS taken, source, block, array_to_string(own, ',') AS shards FROM out
 """
 
 ORACLES = {"op1_exact_dedup": OP1, "op5_licence_scan": OP5, "op6_mixing": OP6}

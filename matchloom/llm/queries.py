@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, hmm, kneser_ney, language_id, licences, mixing, near_dedup, packing, quality_rules, token_counts
-from ._common import documents
+from ._common import documents, materialise
 
 
 def vocabulary(name: str) -> str:
@@ -36,7 +36,8 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+    out = mixing.mix_sources(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "block", F.array_join("shards", ",").alias("shards"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edits_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with ``edits``: a benchmark passage replaces 40 characters, and a word is put at the end."""
     items = max(1, benchmark.count())
-    passage = benchmark.select((F.row_number().over(_by_item()) - 1).alias("__k"), F.col("text").alias("__new"))
+    passage = benchmark.groupBy(F.pmod("item_id", F.lit(items)).alias("__k")).agg(F.min_by("text", "item_id").alias("__new"))
     rows = docs.join(passage, F.pmod(F.col("doc_id"), F.lit(items)) == F.col("__k"), "left")
     at = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.char_length(F.coalesce("text", F.lit(""))) + 1)
     first = F.struct(at.cast("long").alias("start"), (at + 40).cast("long").alias("end"), F.col("__new").alias("new"))
@@ -55,17 +56,14 @@ def edits_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("edits", F.array(first, last)).drop("__k", "__new")
 
 
-def _by_item():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("item_id")
-
-
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees are made and stored with their texts once; the edits then start from the stored trees."""
     import public_tokenizers
 
-    rows = edits_of(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
-    out = token_counts.recount(rows, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
+    ranks, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    stored = materialise(token_counts.count_tokens(documents(spark, sf_dir), ranks, pattern, keep_text=True), "token-trees")
+    rows = edits_of(stored, documents(spark, sf_dir, "benchmark"))
+    out = token_counts.recount(rows, ranks, pattern, stored=True, keep_text=False)
     return out.select("doc_id", "n_tokens", "n_pretokens", "n_tokens_edited", "n_reencoded", "n_leaves")
 
 

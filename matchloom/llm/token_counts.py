@@ -4,8 +4,10 @@ A pre-token never looks back, so text before an edit keeps its pre-tokens but fo
 last one that the edit can reach, and text behind an edit keeps them from the first
 place where the new pre-tokens meet an old boundary. Leaves of the tree hold up to
 ``LEAF`` pre-tokens (characters, tokens); an edit re-encodes from the leaf boundary
-before it to the leaf boundary at which the two line up again, and the sums of the
-subtrees above the touched leaves are made anew.
+before it to the leaf boundary at which the two line up again. The touched leaves share
+the new pre-tokens, and only the sums on the paths above them are made anew, unless they
+would hold more than ``2 * LEAF`` each: then the document's tree is built anew from its
+leaves, without encoding more.
 """
 
 from __future__ import annotations
@@ -86,6 +88,17 @@ class CountTree:
     def _sum(self) -> None:
         self.char_sums, self.token_sums = subtree_sums(self.chars), subtree_sums(self.tokens)
 
+    def _raise(self, first: int, last: int) -> None:
+        """Makes the sums above the leaves first..last anew."""
+        width = (len(self.char_sums) + 1) // 2
+        for sums, leaves in ((self.char_sums, self.chars), (self.token_sums, self.tokens)):
+            a, b = first + width - 1, last + width - 1
+            sums[a : b + 1] = leaves[first : last + 1]
+            while a > 0:
+                a, b = (a - 1) // 2, (b - 1) // 2
+                for node in range(a, b + 1):
+                    sums[node] = sums[2 * node + 1] + sums[2 * node + 2]
+
     @property
     def total(self) -> int:
         return self.token_sums[0]
@@ -109,7 +122,7 @@ class CountTree:
         start = min(max(start, 0), len(text))
         end = min(max(end, start), len(text))
         after = text[:start] + new + text[end:]
-        first, before = self.leaf_at(max(start - 1, 0)) if self.chars else (0, 0)
+        first, before = self.leaf_at(max(start - 1, 0)) if self.char_sums[0] else (0, 0)
         shift = len(after) - len(text)
         # old leaf boundaries behind the edit, as places in the new text
         last, upto = first, before
@@ -139,33 +152,40 @@ class CountTree:
                 break
             step *= 2
         counts = encoder.counts(pieces)
-        groups = range(0, len(pieces), LEAF)
-        self.chars[first:resume] = [sum(map(len, pieces[g : g + LEAF])) for g in groups]
-        self.tokens[first:resume] = [sum(counts[g : g + LEAF]) for g in groups]
-        self._sum()
+        leaves = resume - first
+        fits = leaves and len(pieces) <= 2 * LEAF * leaves
+        size = max(1, -(-len(pieces) // leaves)) if fits else LEAF
+        groups = range(0, len(pieces), size)
+        padding = [0] * (leaves - len(groups)) if fits else []
+        self.chars[first:resume] = [sum(map(len, pieces[g : g + size])) for g in groups] + padding
+        self.tokens[first:resume] = [sum(counts[g : g + size]) for g in groups] + padding
+        if fits:
+            self._raise(first, resume - 1)
+        else:
+            self._sum()
         return after, len(pieces)
 
 
 STATE = "n_tokens long, n_pretokens long, leaf_chars array<int>, leaf_tokens array<int>, token_sums array<long>"
 
 
-def _built(ranks_path: str, pattern: str):
+def _built(ranks_path: str, pattern: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path, pattern)
         for batch in slices(batches):
             rows = [encoder.leaves(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([sum(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([subtree_sums(r[1]) for r in rows], pa.list_(pa.int64()))], names=[batch.schema.names[0], *(x.split()[0] for x in STATE.split(", "))])
+            yield pa.record_batch([batch.column(0), pa.array([sum(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([subtree_sums(r[1]) for r in rows], pa.list_(pa.int64())), *([batch.column(1)] if keep_text else [])], names=[batch.schema.names[0], *(x.split()[0] for x in STATE.split(", ")), *(["text"] if keep_text else [])])
 
     return run
 
 
-def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id and the STATE of the whole text, to be stored for ``recount``.
+def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Per row: the id and the STATE of the whole text, to be stored for ``recount``; with ``keep_text`` its text, too.
 
     Null counts as empty: no leaves, 0 tokens. Repeated rows stay. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(releasing(_built(ranks_path, pattern)), f"`{id_col}` {kind}, {STATE}")
+    return docs.select(id_col, text_col).mapInArrow(releasing(_built(ranks_path, pattern, keep_text)), f"`{id_col}` {kind}, {STATE}" + ", text string" * keep_text)
 
 
 EDITED = "n_tokens long, n_pretokens long, n_tokens_edited long, n_reencoded long, n_leaves long, edited_text string, leaf_chars array<int>, leaf_tokens array<int>"
@@ -181,6 +201,8 @@ def _edited(ranks_path: str, pattern: str, stored: bool, keep_text: bool):
                 text, tree, again = text or "", CountTree(chars, tokens), 0
                 before = tree.total
                 for e in own or ():
+                    if e is None or e["start"] is None or e["end"] is None:
+                        continue
                     text, encoded = tree.edit(text, e["start"], e["end"], e["new"] or "", encoder)
                     again += encoded
                 rows.append((before, n, tree.total, again, len(tree.chars), text if keep_text else None, tree.chars if keep_text else None, tree.tokens if keep_text else None))
@@ -195,7 +217,8 @@ def recount(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     """Per row: the id and EDITED after the row's edits, in their order.
 
     ``edits_col``: array of struct(start, end, new), characters of the text as the edits
-    before have left it; null or empty: no edit. With ``stored`` the rows carry
+    before have left it; null or empty: no edit. A null edit, and one with a null start or
+    end, changes nothing; a null ``new`` is empty. With ``stored`` the rows carry
     leaf_chars, leaf_tokens and n_pretokens of ``count_tokens``, and nothing but the
     edited regions is encoded; without, trees are built first, in the same pass.
     ``keep_text=False`` leaves edited_text and the leaves null.
