@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from matchloom.llm import kneser_ney, quality_rules
 from matchloom.llm._common import documents
 
-from ._fixtures import SCHEMA, odd_rows
+from ._fixtures import SCHEMA, odd_rows, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -75,7 +75,9 @@ def test_learned_list_matches_its_mask(spark):
 
 def brute_kneser_ney(texts, order):
     """Probability function of the plain recursive definition."""
-    pad = bytes([kneser_ney.EDGE]) * (order - 1)
+    pad = (kneser_ney.EDGE,) * (order - 1)
+    signs = lambda t: tuple(b + 1 for b in t)
+    texts = [signs(t) for t in texts]
     counts = {order: Counter((pad + t)[i : i + order] for t in texts for i in range(len(t)))}
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
@@ -99,16 +101,16 @@ def brute_kneser_ney(texts, order):
         c = own.get(gram, 0)
         return (c - take(c) if c else 0) / total + sum(map(take, own.values())) / total * prob(gram[1:])
 
-    return lambda t: sum(math.log10(prob((pad + t)[i : i + order])) for i in range(len(t)))
+    return lambda t: sum(math.log10(prob((pad + signs(t))[i : i + order])) for i in range(len(t)))
 
 
 def test_kneser_ney_against_brute_force(spark):
-    texts = ["the cat sat on the mat", "the dog ate the cat", "été à la mer", "a a a a b"]
+    texts = ["the cat sat on the mat", "the dog ate the cat", "été à la mer", "a a a a b", "\x00the\x00\x00 end"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = kneser_ney.fit(docs, order=3)
     table = kneser_ney.Table(pa.ipc.open_stream(model[0]).read_all(), model[1])
     want = brute_kneser_ney([t.encode() for t in texts], 3)
-    for t in [*texts, "the mat", "zzz qq", "é"]:
+    for t in [*texts, "the mat", "zzz qq", "é", "\x00\x00the", "a\x00"]:
         assert math.isclose(table.log10(t.encode()), want(t.encode()), rel_tol=1e-4)
 
 
@@ -128,6 +130,17 @@ def test_classifier_keeps_trusted_and_finds_junk(spark):
     assert sum(rows[r.doc_id].kept for r in good) >= 0.98 * len(good)
 
 
+def test_thresholds_come_from_outside_the_sample(spark, monkeypatch):
+    """Trusted documents that train the model do not move the thresholds."""
+    docs = spark.createDataFrame([(k, prose(k, 80), "en") for k in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    rows = kneser_ney.classify(docs, labels, max_trusted=25).collect()
+    limit = kneser_ney.hash_limit(0.5)
+    inside = {r.doc_id for r in docs.where(kneser_ney.drawn("kn", F.col("doc_id"), F.lit(limit))).collect()}
+    held = sorted(r.entropy for r in rows if r.trusted and r.doc_id not in inside)
+    assert 5 < len(held) < 45 and math.isclose(rows[0].threshold, kneser_ney.MARGIN * held[-1])
+
+
 def test_classifier_odd_rows(spark):
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
