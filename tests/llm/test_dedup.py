@@ -99,3 +99,24 @@ def test_near_empty_and_pipeline_stage(spark, sf_dir):
     root, _ = brute_components([(r.doc_id, r.text) for r in docs.collect()])
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 7}", 1, 2, 3, 4) for k in range(50)], "doc_id long, text string, group_size int, __sha int, __may int, __g int")
+    for kept in (exact_dedup.distinct_documents(docs), near_dedup.one_of_each(docs)):
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(7))
+
+
+def test_hub_with_many_links(spark):
+    """All ids hang on one: the hub's links meet its minimum without a gathered group."""
+    links = spark.createDataFrame([(7, 100 + k) for k in range(5000)] + [(3, 4999)], "a long, b long")
+    got = {r.id: r.root for r in near_dedup.components(links).collect()}
+    assert len(got) == 5002 and set(got.values()) == {3}
+
+
+def test_stage_with_odd_rows(spark):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    root, _ = brute_components([(r.doc_id, r.text) for r in docs.where("doc_id is not null").collect()])
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [*set(root.values()), None]))
+    assert near_dedup.one_of_each(docs.limit(0)).count() == 0
