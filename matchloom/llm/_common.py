@@ -8,9 +8,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +70,25 @@ def give_back() -> None:
         pass
 
 
+_kept: dict[tuple[str, int], object] = {}
+
+
+def of_stage(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a worker for all tasks of a stage; what other stages have left there goes."""
+    key = (name, TaskContext.get().stageId())
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, after which a worker holds none of its memory: tasks of other stages use the same workers."""
 
     def whole(batches: Iterator) -> Iterator:
+        now = TaskContext.get().stageId()
+        for key in [k for k in _kept if k[1] != now]:
+            del _kept[key]
         give_back()
         try:
             yield from run(batches)
@@ -82,7 +99,10 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
 
 
 class BoundedWords(dict):
-    """What is known of words, in bounded bytes: all goes when full, and long words stay out."""
+    """What is known of words, in bounded bytes; long words stay out.
+
+    When it is full, the half that came first stays: words that come early are the frequent ones.
+    """
 
     #: Bytes of an entry besides its word, about; words over ``LONG`` are not kept.
     ENTRY, LONG = 220, 64
@@ -93,8 +113,15 @@ class BoundedWords(dict):
 
     def make_room(self) -> None:
         if self.used > self.room:
+            early = dict(islice(self.items(), len(self) // 2))
             self.clear()
-            self.used = 0
+            self.update(early)
+            self.used = sum(map(len, early)) + self.ENTRY * len(early)
+
+    def keep_all(self, found: dict) -> None:
+        """Keeps the values of words none of which is too long."""
+        self.update(found)
+        self.used += sum(map(len, found)) + self.ENTRY * len(found)
 
     def keep(self, word, value) -> None:
         """Keeps the value of a word that is not too long."""
@@ -150,10 +177,10 @@ class WordHashes:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             known.make_room()
-        out = np.empty(len(words), np.uint64)
-        for k, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                known.keep(w, h := hash64(w))
-            out[k] = h
-        return out
+        longest = 0
+        for w in {w for w in words if w not in known}:
+            longest = max(longest, len(w))
+            known.keep(w, hash64(w))
+        if longest > known.LONG:
+            return np.fromiter((known[w] if w in known else hash64(w) for w in words), np.uint64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -308,8 +308,7 @@ class Scorer:
 
     def _learn(self, words: set[str]) -> None:
         self.place.make_room()
-        if not self.place:
-            self.scores = self.scores[:0]
+        self.scores = self.scores[: len(self.place)]  # the words that stay came first
         new = sorted(w for w in words if len(w) <= BoundedWords.LONG and w not in self.place)
         if new:
             for row, w in enumerate(new, len(self.scores)):

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BoundedWords, materialise, releasing, slices
+from ._common import BoundedWords, materialise, of_stage, releasing, slices
 
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_BUCKET = 50_000
-#: Bytes of words, and of words without the signs behind them, whose ids a task keeps, about.
-WORDS_ROOM, CORES_ROOM, TAILS_ROOM = 40_000_000, 40_000_000, 2_000_000
+#: Bytes of words, and of words without the signs behind them, whose ids a worker keeps for a stage, about.
+WORDS_ROOM, CORES_ROOM, TAILS_ROOM = 75_000_000, 60_000_000, 2_000_000
 
 
 def _tokenizer(path: str):
@@ -72,19 +72,21 @@ class WordIds:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        cores, signs, rest = self.cores, self.SIGNS, []
-        for w in words:
-            core = w.rstrip(signs)
+        cores, tails, signs = self.cores, self.tails, self.SIGNS
+        parts = [(w, w.rstrip(signs)) for w in words]
+        # letters below U+0130 keep their number in lower case and are in normal form
+        self._encode([c for c in {c for _, c in parts if c not in cores} if c.isalpha() and max(c) < "\u0130"])
+        found = {}
+        for w, core in parts:
             ids = cores.get(core)
             if ids is None:
-                rest.append((w, core))
+                found[w] = self._ids(w)
+            elif len(core) == len(w):
+                found[w] = ids
             else:
-                self.known.keep(w, ids + self._tail(w[len(core) :]))
-        # letters below U+0130 keep their number in lower case and are in normal form
-        self._encode([c for c in {c for _, c in rest} if c.isalpha() and max(c) < "\u0130"])
-        for w, core in rest:
-            ids = cores.get(core)
-            self.known.keep(w, self._ids(w) if ids is None else ids + self._tail(w[len(core) :]))
+                end = w[len(core) :]
+                found[w] = ids + (tails[end] if end in tails else self._tail(end))
+        self.known.keep_all(found)
 
     def _encode(self, new: list[str]) -> None:
         """Ids of many words of letters at once; each is one pre-token of the joined text."""
@@ -92,18 +94,15 @@ class WordIds:
             part = new[at : at + 1000]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ends = np.searchsorted(np.array(found.word_ids), np.arange(len(part)), side="right") * 4
-            ids, start = np.array(found.ids, "<u4").tobytes(), 0
+            ids, start, own = np.array(found.ids, "<u4").tobytes(), 0, {}
             for c, end in zip(part, ends.tolist(), strict=True):
-                self.cores.keep(c, ids[start:end])
+                own[c] = ids[start:end]
                 start = end
+            self.cores.keep_all(own)
 
     def _tail(self, signs: str) -> bytes:
-        if not signs:
-            return b""
-        ids = self.tails.get(signs)
-        if ids is None:
-            ids = self._ids(signs)
-            self.tails.keep(signs, ids)
+        ids = self._ids(signs)
+        self.tails.keep(signs, ids)
         return ids
 
     def _ids(self, text: str) -> bytes:
@@ -112,7 +111,7 @@ class WordIds:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = of_stage(path, lambda: WordIds(path))
         last = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
             keys, rows = batch.column(0), []

@@ -46,13 +46,13 @@ class Encoder:
             return [known[p] for p in pieces]
         except KeyError:
             known.make_room()
-        out = []
-        for p in pieces:
-            n = known.get(p)
-            if n is None:
-                known.keep(p, n := len(self.encoding.encode_ordinary(p)))
-            out.append(n)
-        return out
+        beside = {}
+        for p in {p for p in pieces if p not in known}:
+            n = len(self.encoding.encode_ordinary(p))
+            known.keep(p, n)
+            if len(p) > known.LONG:
+                beside[p] = n
+        return [beside[p] if p in beside else known[p] for p in pieces] if beside else [known[p] for p in pieces]
 
     def leaves(self, text: str) -> tuple[list[int], list[int], int]:
         """(characters, tokens) of each leaf of ``text``, and its number of pre-tokens."""
