@@ -100,12 +100,19 @@ _THING, _WORK = r"(?i)^([^.]+?)\s+(system|service|platform|feature|app|applicati
 _ACTIVE = rf"""CASE WHEN about = 'development' AND regexp_matches(main, '{_THING}') THEN regexp_extract(main, '{_THING}', 1) || ' ' || kw || '-powered ' || regexp_extract(main, '{_THING}', 2) || substr(main, length(regexp_extract(main, '{_THING}')) + 1)
   WHEN about IN ('data-analysis', 'optimization') AND regexp_matches(main, '{_WORK}') THEN regexp_extract(main, '{_WORK}') || ' using ' || kw || substr(main, length(regexp_extract(main, '{_WORK}')) + 1) ELSE main || ' with ' || kw END"""
 _METHOD = rf"""CASE WHEN lower(regexp_extract(main, '^(\w+)', 1)) IN ({', '.join(map(_quoted, STRONG))}) THEN regexp_extract(main, '^(\w+)', 1) || ' using ' || kw || ' methodology' || substr(main, length(regexp_extract(main, '^(\w+)', 1)) + 1) ELSE main || ' using ' || kw || ' principles' END"""
-_PLACED = f"""SELECT resume_id, pos, kw, bare, main, contains(lower(bare), lower(kw)) AS there,
+
+
+def _placed(source: str, keys: str) -> str:
+    """``source`` (keys, bare, main, kw) with ``x`` (the keyword placed, how surely) and whether it is there."""
+    return f"""SELECT {keys}, kw, bare, main, contains(lower(bare), lower(kw)) AS there,
 CASE WHEN (contains(lower(bare), 'analyz') OR contains(lower(bare), 'data')) AND regexp_matches(kw, {_quoted(w.CHART_TOOLS)}) THEN {{'t': {_CHART}, 'c': 'high'}}
   WHEN contains(lower(bare), 'using ') OR contains(lower(bare), ' with ') THEN {{'t': {_LISTED}, 'c': 'high'}} WHEN about IS NOT NULL AND tool THEN {{'t': {_ACTIVE}, 'c': 'medium'}}
   WHEN regexp_matches(kw, {_quoted(w.METHODS)}) THEN {{'t': {_METHOD}, 'c': 'medium'}} WHEN tool OR about IS NOT NULL THEN {{'t': main || CASE WHEN tool THEN ' leveraging ' ELSE ' with ' END || kw, 'c': 'low'}} END AS x
-FROM (SELECT *, {_first_rule('lower(main)', CONTEXTS, None)} AS about, regexp_matches(kw, {_quoted(w.TOOLS)}) AS tool FROM (SELECT b.resume_id, b.pos, trim(b.text) AS bare, trim(string_split_regex(trim(b.text), '[.•]')[1]) AS main, k.kw
-FROM fx_bullets b JOIN (SELECT resume_id, jd_id FROM fx_resumes WHERE jd_id IS NOT NULL) p USING (resume_id) JOIN (SELECT jd_id, CASE WHEN rnk = 1 THEN upper(substr(keyword, 1, 1)) || substr(keyword, 2) ELSE 'rest ' || keyword END AS kw FROM fx_jd_keywords WHERE rnk <= 2) k USING (jd_id)))"""
+FROM (SELECT *, {_first_rule('lower(main)', CONTEXTS, None)} AS about, regexp_matches(kw, {_quoted(w.TOOLS)}) AS tool FROM ({source}))"""
+
+
+_PLACED = _placed("""SELECT b.resume_id, b.pos, trim(b.text) AS bare, trim(string_split_regex(trim(b.text), '[.•]')[1]) AS main, k.kw
+FROM fx_bullets b JOIN (SELECT resume_id, jd_id FROM fx_resumes WHERE jd_id IS NOT NULL) p USING (resume_id) JOIN (SELECT jd_id, CASE WHEN rnk = 1 THEN upper(substr(keyword, 1, 1)) || substr(keyword, 2) ELSE 'rest ' || keyword END AS kw FROM fx_jd_keywords WHERE rnk <= 2) k USING (jd_id)""", "resume_id, pos")
 
 
 @query("keywords_integrated", f"""SELECT resume_id, pos, kw AS keyword, md5(CASE WHEN done THEN trim(x.t) ELSE bare END) AS digest, CASE WHEN there THEN 'high' WHEN done THEN x.c ELSE 'low' END AS confidence, done AS integrated
