@@ -32,7 +32,8 @@ def applied_and_scored(v):
     summary = v.lines.select("resume_id", F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("")).alias("summary")).where(F.col("resume_id").isNotNull())
     new = s.applied(v.bullets.select("resume_id", "pos", "text"), _suggested(v))
     score = lambda lines: f.resume_features(lines, ["led", "built", "drove", "made", "ran"], VERBS["weak"]).select("resume_id", "strong_first", "sum_len", "nb")
-    out = x.score_difference(score(v.lines).where("nb > 0"), score(x.lines_of(new, summary)), ["strong_first", "sum_len"])
+    after = x.lines_of(new, summary).join(v.lines.select("resume_id", *f.SECTIONS), "resume_id")
+    out = x.score_difference(score(v.lines).where("nb > 0"), score(after), ["strong_first", "sum_len"])
     return out.select("resume_id", "old_strong_first", "old_sum_len", "new_strong_first", "new_sum_len", "delta_strong_first", "delta_sum_len")
 
 
