@@ -1,7 +1,7 @@
 import corpus_pipeline
 from matchloom.llm._common import documents
 
-from ._fixtures import brute_components
+from ._fixtures import SCHEMA, brute_components, odd_rows
 from .test_dedup import brute_exact
 from .test_mixing import brute_targets
 
@@ -37,3 +37,16 @@ def test_run_equals_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     again = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_run_on_odd_rows_and_on_none(spark, tmp_path):
+    """Nulls, blanks, a very long text, repeats, a row without an id and clashing columns; and an empty table."""
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    docs.union(docs.limit(5)).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {r.doc_id for r in out}
+    # letters there, a language told, one of each group: 3 and 5 are copies of 4, 6 is near it, 10 near 9
+    assert ids and ids <= {r.doc_id for r in docs.collect()} - {0, 1, 2, 11} and len(ids & {3, 4, 5, 6, 7}) <= 1
+    assert all(0 < r.length <= 4096 for r in out)
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
