@@ -87,9 +87,11 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
 
     def whole(batches: Iterator) -> Iterator:
         now = TaskContext.get().stageId()
-        for key in [k for k in _kept if k[1] != now]:
+        old = [k for k in _kept if k[1] != now]
+        for key in old:
             del _kept[key]
-        give_back()
+        if old:
+            give_back()
         try:
             yield from run(batches)
         finally:
