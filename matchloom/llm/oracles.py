@@ -103,4 +103,41 @@ WITH d AS (
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * len(own))::BIGINT AS taken, source, block, array_to_string(own, ',') AS shards FROM out
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op5_licence_scan": OP5, "op6_mixing": OP6}
+#: crc32 of ASCII text: a byte, then eight shifts.
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split({0}, '')])), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"
+#: Words that are equal and a possible period apart are met; neighbouring pairs of one period are a run.
+OP11 = rf"""
+WITH h AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_CRC32.format("doc_id::VARCHAR")} AS h FROM documents
+), g AS (
+  SELECT *, len(ws) AS n, h // 10 AS g FROM h
+), a AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g
+), p AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a
+), w AS MATERIALIZED (
+  SELECT doc_id, n, i, CASE WHEN a IS NULL OR i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS period FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT doc_id, min(i) AS start, count(*) + period AS length, period FROM islands GROUP BY doc_id, period, island HAVING count(*) + period >= greatest(6, 4 * period)
+), runs AS MATERIALIZED (
+  SELECT doc_id, start, length, min(period) AS period FROM stretches GROUP BY doc_id, start, length
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY doc_id
+), ranked AS (
+  SELECT r.*, NOT EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.period > r.length * o.period OR (o.length * r.period = r.length * o.period AND (o.start, o.period) < (r.start, r.period)))) AS best FROM runs r
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS collapsed_sha256 FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT h.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM h LEFT JOIN told USING (doc_id) LEFT JOIN (SELECT * FROM ranked WHERE best) USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op5_licence_scan": OP5, "op6_mixing": OP6, "op11_periodic_runs": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hmm, kneser_ney, language_id, licences, mixing, near_dedup, packing, quality_rules, token_counts
+from . import exact_dedup, hmm, kneser_ney, language_id, licences, mixing, near_dedup, packing, periodic_runs, quality_rules, simhash_links, token_counts
 from ._common import documents, materialise
 
 
@@ -75,4 +75,28 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_best_fit_packing, op4_near_dedup, op5_licence_scan, op6_mixing, op7_quality_rules, op8_token_counts, op9_quality_classifier, op10_hmm_scores)}
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the words of one document in ten, told by crc32 of its id, repeat from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.withColumn("n", F.when(F.col("words").isNotNull(), F.size("words"))).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.expr("array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))"))
+    planted = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("n") - F.col("a")))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(planted_periods(documents(spark, sf_dir)))
+    best = F.expr("aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (best, r) -> if(best is null or r.length * best.period > best.length * r.period, r, best))")
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    rows = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_links.simhash_components(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_best_fit_packing, op4_near_dedup, op5_licence_scan, op6_mixing, op7_quality_rules, op8_token_counts, op9_quality_classifier, op10_hmm_scores, op11_periodic_runs, op13_simhash_dedup)}
