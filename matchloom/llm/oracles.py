@@ -140,4 +140,33 @@ SELECT h.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * le
 FROM h LEFT JOIN told USING (doc_id) LEFT JOIN (SELECT * FROM ranked WHERE best) USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op5_licence_scan": OP5, "op6_mixing": OP6, "op11_periodic_runs": OP11}
+#: Every stretch of 1 to 4 words of every piece is counted; longer candidates are met by their own parts.
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), ws AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), n AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM ws GROUP BY lang
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM ws
+), f AS MATERIALIZED (
+  SELECT lang, phrase, count(*) AS f FROM (SELECT lang, w[i:i + k - 1] AS phrase FROM places, range(1, 5) t(k) WHERE i + k - 1 <= len(w)) GROUP BY lang, phrase HAVING count(*) >= 30
+), c AS (
+  SELECT lang, phrase, f AS a FROM f WHERE len(phrase) > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, (2000000 * a::HUGEINT // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(phrase))) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = c.phrase[1:k] JOIN f y ON y.lang = c.lang AND y.phrase = c.phrase[k + 1:]
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, phrase[i:j] AS phrase, max(a) AS most FROM c, range(1, 4) s(i), range(2, 5) e(j) WHERE i < j AND j <= len(phrase) AND j - i + 1 < len(phrase) GROUP BY lang, phrase[i:j]
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside m ON m.lang = b.lang AND m.phrase = b.phrase WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op5_licence_scan": OP5, "op6_mixing": OP6, "op11_periodic_runs": OP11, "op12_phrase_collocations": OP12}

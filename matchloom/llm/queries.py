@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hmm, kneser_ney, language_id, licences, mixing, near_dedup, packing, periodic_runs, quality_rules, simhash_links, token_counts
+from . import exact_dedup, hmm, kneser_ney, language_id, licences, mixing, near_dedup, packing, periodic_runs, phrases, quality_rules, simhash_links, token_counts
 from ._common import documents, materialise
 
 
@@ -95,8 +95,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_links.simhash_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_best_fit_packing, op4_near_dedup, op5_licence_scan, op6_mixing, op7_quality_rules, op8_token_counts, op9_quality_classifier, op10_hmm_scores, op11_periodic_runs, op13_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_best_fit_packing, op4_near_dedup, op5_licence_scan, op6_mixing, op7_quality_rules, op8_token_counts, op9_quality_classifier, op10_hmm_scores, op11_periodic_runs, op12_phrase_collocations, op13_simhash_dedup)}
