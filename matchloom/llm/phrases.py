@@ -33,7 +33,9 @@ from .id_filter import _bits
 
 DEPTH, LEAST, LONGER_PERCENT, TOP = 4, 30, 80, 2000
 #: Words of a shard, bytes of a text that are cut into words at once (at a piece's end), and rows of a batch of counts.
-SHARD_WORDS, TEXT_BYTES, OUT_ROWS = 1 << 20, 1 << 22, 1 << 16
+SHARD_WORDS, TEXT_BYTES, OUT_ROWS = 1 << 20, 1 << 22, 1 << 15
+#: Rows of an index that are grown together, but for an interval with more.
+ROWS = 1 << 18
 FILTER_MB = 64
 
 #: Byte translation: A-Z to lower case, what ends a piece to a line feed, a tab to a space.
@@ -59,18 +61,24 @@ class Index:
         self.mapped = np.empty(len(beside), np.int32)
         self.mapped[order] = np.arange(len(beside), dtype=np.int32)
 
-    def grown(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all intervals and the symbols in them: (interval, symbol, count, count of smaller symbols, first row mapped)."""
+    def grown(self, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+        """Of all intervals and the symbols in them: interval, symbol, count, count of smaller symbols, first row mapped."""
+        ends = np.cumsum(high - low)
+        cuts = np.unique(np.searchsorted(ends, np.arange(ROWS, (ends[-1] if len(ends) else 0) + ROWS, ROWS), "right"))
+        parts = [self._grown(low[a:b], high[a:b], a) for a, b in zip([0, *cuts], [*cuts, len(low)], strict=True) if a < b]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+
+    def _grown(self, low: np.ndarray, high: np.ndarray, before: int) -> tuple[np.ndarray, ...]:
         size = high - low
         owner = np.repeat(np.arange(len(low)), size)
         row = np.arange(len(owner)) + np.repeat(low - np.cumsum(size) + size, size)
         key = owner * np.int64(len(self.starts)) + self.beside[row]
         order = np.argsort(key, kind="stable")
         key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(np.r_[first, len(key)])
         interval, symbol = np.divmod(key[first], len(self.starts))
-        return interval, symbol, count, first - (np.cumsum(size) - size)[interval], self.mapped[row[order[first]]].astype(np.int64)
+        return interval + before, symbol, count, first - (np.cumsum(size) - size)[interval], self.mapped[row[order[first]]].astype(np.int64)
 
 
 def _sorted_rows(ids: np.ndarray) -> np.ndarray:
@@ -87,6 +95,14 @@ def transforms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(x[_sorted_rows(x) - 1].astype(np.int32) for x in (ids, backward))
 
 
+def _packed(symbols: np.ndarray) -> pa.Array:
+    return pa.array([pa.compress(symbols.tobytes(), codec="zstd", asbytes=True)], pa.binary())
+
+
+def _unpacked(cell: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(cell.as_buffer(), decompressed_size=4 * n, codec="zstd"), np.int32)
+
+
 def _sharded(shard_words: int):
     """(lang, text) -> shards: words, their counts, both transforms. Symbol 0 ends a piece."""
 
@@ -102,7 +118,7 @@ def _sharded(shard_words: int):
             before, behind = transforms(ids)
             words = pa.array(list(own), pa.binary()).cast(pa.string())
             lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.record_batch([pa.array([lang]), pa.array([len(ids) - int(counts[0])], pa.int64()), lists(words), lists(pa.array(counts, pa.int64())), pa.array([before.tobytes()], pa.binary()), pa.array([behind.tobytes()], pa.binary())], names=["lang", "n", "words", "counts", "before", "behind"])
+            return pa.record_batch([pa.array([lang]), pa.array([len(ids) - int(counts[0])], pa.int64()), lists(words), lists(pa.array(counts, pa.int64())), _packed(before), _packed(behind)], names=["lang", "n", "words", "counts", "before", "behind"])
 
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -130,14 +146,16 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int = SHA
     return materialise(source.mapInArrow(releasing(_sharded(shard_words)), SHARD), "phrase-shards")
 
 
-def _passing(phrases: list[bytes], lang: str, sent, bits: int) -> np.ndarray:
+def _passing(phrases: pa.Array, lang: str, sent: np.ndarray, bits: int) -> np.ndarray:
     """Which phrases the filter has; their key is Spark's xxhash64 of language and phrase."""
     from xxhash import xxh64_intdigest
 
-    seed = xxh64_intdigest(lang.encode(), 42)
-    key = np.fromiter((xxh64_intdigest(p, seed) for p in phrases), np.uint64, len(phrases))
-    hit = [(sent[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in _positions(key, bits)]
-    return (hit[0] & hit[1]).astype(bool)
+    seed, found = xxh64_intdigest(lang.encode(), 42), [np.zeros(0, bool)]
+    for at in range(0, len(phrases), OUT_ROWS):
+        key = np.fromiter((xxh64_intdigest(p, seed) for p in as_bytes(phrases.slice(at, OUT_ROWS))), np.uint64)
+        hit = [(sent[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in _positions(key, bits)]
+        found.append((hit[0] & hit[1]).astype(bool))
+    return np.concatenate(found)
 
 
 def _joined(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
@@ -172,16 +190,16 @@ def _counted(word_filter: tuple, pair_filter: tuple | None):
             lang, words = batch["lang"][0].as_py(), batch["words"][0].values
             counts = batch["counts"][0].values.to_numpy()
             starts = np.cumsum(counts) - counts
-            backward = Index(np.frombuffer(batch["behind"][0].as_buffer(), np.int32), starts)
-            known = _passing(as_bytes(words), lang, word_filter[0].value, word_filter[1])
+            backward = Index(_unpacked(batch["behind"][0], counts.sum()), starts)
+            known = _passing(words, lang, word_filter[0].value, word_filter[1])
             known[0] = False
             own = np.flatnonzero(known)
             pairs = Grown([own], starts[own], starts[own], counts[own]).rightwards(backward)
             found = pairs = pairs.where(known[pairs.words[1]])
             told = [(found, _joined(words, found.words))]
             if pair_filter:
-                pairs = pairs.where(_passing(as_bytes(told.pop()[1]), lang, pair_filter[0].value, pair_filter[1]))
-                forward, found = Index(np.frombuffer(batch["before"][0].as_buffer(), np.int32), starts), pairs
+                pairs = pairs.where(_passing(told.pop()[1], lang, pair_filter[0].value, pair_filter[1]))
+                forward, found = Index(_unpacked(batch["before"][0], counts.sum()), starts), pairs
                 for _ in range(3, DEPTH + 1):
                     longer = found.rightwards(backward)
                     found = longer.where(np.isin(longer.low, found.leftwards(forward)))
