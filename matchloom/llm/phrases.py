@@ -33,7 +33,7 @@ from .id_filter import _bits
 
 DEPTH, LEAST, LONGER_PERCENT, TOP = 4, 30, 80, 2000
 #: Words of a shard, bytes of a text that are cut into words at once (at a piece's end), and rows of a batch of counts.
-SHARD_WORDS, TEXT_BYTES, OUT_ROWS = 1 << 20, 1 << 22, 1 << 15
+SHARD_WORDS, TEXT_BYTES, OUT_ROWS = 1 << 20, 1 << 19, 1 << 15
 #: Rows of an index that are grown together, but for an interval with more.
 ROWS = 1 << 18
 FILTER_MB = 64
@@ -61,24 +61,18 @@ class Index:
         self.mapped = np.empty(len(beside), np.int32)
         self.mapped[order] = np.arange(len(beside), dtype=np.int32)
 
-    def grown(self, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    def grown(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of all intervals and the symbols in them: interval, symbol, count, count of smaller symbols, first row mapped."""
-        ends = np.cumsum(high - low)
-        cuts = np.unique(np.searchsorted(ends, np.arange(ROWS, (ends[-1] if len(ends) else 0) + ROWS, ROWS), "right"))
-        parts = [self._grown(low[a:b], high[a:b], a) for a, b in zip([0, *cuts], [*cuts, len(low)], strict=True) if a < b]
-        return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-
-    def _grown(self, low: np.ndarray, high: np.ndarray, before: int) -> tuple[np.ndarray, ...]:
         size = high - low
         owner = np.repeat(np.arange(len(low)), size)
         row = np.arange(len(owner)) + np.repeat(low - np.cumsum(size) + size, size)
         key = owner * np.int64(len(self.starts)) + self.beside[row]
         order = np.argsort(key, kind="stable")
         key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.r_[first, len(key)])
         interval, symbol = np.divmod(key[first], len(self.starts))
-        return interval + before, symbol, count, first - (np.cumsum(size) - size)[interval], self.mapped[row[order[first]]].astype(np.int64)
+        return interval, symbol, count, first - (np.cumsum(size) - size)[interval], self.mapped[row[order[first]]].astype(np.int64)
 
 
 def _sorted_rows(ids: np.ndarray) -> np.ndarray:
@@ -171,6 +165,19 @@ class Grown:
     def where(self, keep: np.ndarray) -> Grown:
         return Grown([w[keep] for w in self.words], self.low[keep], self.back_low[keep], self.count[keep])
 
+    def parts(self) -> Iterator[Grown]:
+        """Some phrases at a time, with about ROWS rows of an index."""
+        ends = np.cumsum(self.count)
+        cuts = np.unique(np.searchsorted(ends, np.arange(ROWS, (ends[-1] if len(ends) else 0) + ROWS, ROWS), "right"))
+        for a, b in zip([0, *cuts], [*cuts, len(ends)], strict=True):
+            if a < b:
+                yield self.where(np.s_[a:b])
+
+    @classmethod
+    def together(cls, parts: list[Grown], size: int) -> Grown:
+        one = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
+        return cls([one(p.words[k] for p in parts) for k in range(size)], *(one(getattr(p, name) for p in parts) for name in ("low", "back_low", "count")))
+
     def rightwards(self, backward: Index) -> Grown:
         """Phrases with each word that follows them; pieces end them."""
         of, symbol, count, smaller, mapped = backward.grown(self.back_low, self.back_low + self.count)
@@ -182,6 +189,13 @@ class Grown:
         return mapped[symbol > 0]
 
 
+def _rows(found: Grown, words: pa.Array, lang: str) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(found.count), OUT_ROWS):
+        some = found.where(np.s_[at : at + OUT_ROWS])
+        n = len(some.count)
+        yield pa.record_batch({"lang": pa.array([lang] * n, pa.string()), "phrase": _joined(words, some.words), "a": pa.array(some.count, pa.int64()), "size": pa.array(np.full(n, len(some.words)), pa.int32())})
+
+
 def _counted(word_filter: tuple, pair_filter: tuple | None):
     """Phrases of two words, or with a filter of these those of three and four, with their counts in each shard."""
 
@@ -194,20 +208,22 @@ def _counted(word_filter: tuple, pair_filter: tuple | None):
             known = _passing(words, lang, word_filter[0].value, word_filter[1])
             known[0] = False
             own = np.flatnonzero(known)
-            pairs = Grown([own], starts[own], starts[own], counts[own]).rightwards(backward)
-            found = pairs = pairs.where(known[pairs.words[1]])
-            told = [(found, _joined(words, found.words))]
-            if pair_filter:
-                pairs = pairs.where(_passing(told.pop()[1], lang, pair_filter[0].value, pair_filter[1]))
-                forward, found = Index(_unpacked(batch["before"][0], counts.sum()), starts), pairs
-                for _ in range(3, DEPTH + 1):
-                    longer = found.rightwards(backward)
-                    found = longer.where(np.isin(longer.low, found.leftwards(forward)))
-                    told.append((found, _joined(words, found.words)))
-            for found, phrases in told:
-                for at in range(0, len(phrases), OUT_ROWS):
-                    own, count = phrases.slice(at, OUT_ROWS), found.count[at : at + OUT_ROWS]
-                    yield pa.record_batch({"lang": pa.array([lang] * len(own)), "phrase": own, "a": pa.array(count, pa.int64()), "size": pa.array(np.full(len(own), len(found.words)), pa.int32())})
+            frequent = []
+            for part in Grown([own], starts[own], starts[own], counts[own]).parts():
+                pairs = part.rightwards(backward)
+                pairs = pairs.where(known[pairs.words[1]])
+                if pair_filter:
+                    frequent.append(pairs.where(_passing(_joined(words, pairs.words), lang, pair_filter[0].value, pair_filter[1])))
+                else:
+                    yield from _rows(pairs, words, lang)
+            if not pair_filter:
+                continue
+            forward, found = Index(_unpacked(batch["before"][0], counts.sum()), starts), Grown.together(frequent, 2)
+            for size in range(3, DEPTH + 1):
+                ended = np.concatenate([np.zeros(0, np.int64), *(part.leftwards(forward) for part in found.parts())])
+                longer = Grown.together([part.rightwards(backward) for part in found.parts()], size)
+                found = longer.where(np.isin(longer.low, ended))
+                yield from _rows(found, words, lang)
 
     return run
 
