@@ -176,8 +176,9 @@ def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_l
     labels = labels.where(F.col("quality").isin(0, 1)).select(F.col(id_col).alias("__id"), F.col("quality").alias("__quality"))
     labels = labels.where(drawn("rules", F.col("__id"), F.lit(hash_limit(max_labelled / max(1, labels.count())))))
     rows = stats.join(labels, F.col(id_col) == F.col("__id")).where(~base_failed())
-    rows = rows.select("__id", "__quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()]).toPandas()
-    rows = rows.assign(h=mix64(rows["__id"].to_numpy().astype(np.uint64))).sort_values(["h", "__id"])
+    # ids of any type are put in order, and rows that repeat one are told apart by what is learnt from them
+    rows = rows.select(F.xxhash64(F.lit("folds"), F.col("__id").cast("string")).alias("h"), "__quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()]).toPandas()
+    rows = rows.sort_values(["h", "__quality", *FEATURES])
     return learn({k: rows[k].to_numpy(np.float64) for k in FEATURES}, rows["__quality"].to_numpy() == 0)
 
 
@@ -198,8 +199,9 @@ def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Per row: id, statistics, base_failed, rule, kept.
 
-    Null, empty and blank texts have 0 words and fail the base. Rows that repeat stay.
-    Other columns are ignored. An empty table gives no rows; without labels only the
+    Null, empty and blank texts have 0 words and fail the base. Long texts are taken whole.
+    Ids may be of any type. Rows that repeat stay; labelled ones teach as often as they
+    stand. Other columns are ignored. An empty table gives no rows; without labels only the
     base rules decide.
     """
     labelled = docs.join(labels.where(F.col("quality").isin(0, 1)).select(F.col(id_col).alias("__lid")).distinct(), F.col(id_col) == F.col("__lid"), "left_semi")

@@ -21,25 +21,57 @@ def encoder():
     return token_counts.Encoder(RANKS, public_tokenizers.PATTERN)
 
 
-def test_edits_against_counting_again(encoder):
-    rng = random.Random(2)
-    bits = ["word", " a", "  ", "\n", "\n\n ", "é", "123", "'s", "!?", " x", "tion", "\t", "don't", "", " " * 9]
-    for _ in range(150):
-        text = "".join(rng.choice(bits) for _ in range(rng.choice([0, 3, 60, 900])))
-        chars, tokens, _ = encoder.leaves(text)
-        tree = token_counts.CountTree(chars, tokens)
+BITS = ["word", " a", "  ", "\n", "\n\n ", "é", "123", "'s", "!?", " x", "tion", "\t", "don't", "", " " * 9]
+SPACED = [" ", "  ", "\n", "\n\n", " \n", "\t", "x", "'", "re", "r", "e", "'l", "l", "a b", "\u00a0"]
+
+
+@pytest.mark.parametrize("leaf,bits,n", [(64, BITS, 150), (64, SPACED, 400), (1, SPACED, 1500), (2, SPACED, 1500), (3, BITS, 800)])
+def test_edits_against_counting_again(encoder, leaf, bits, n):
+    """Trees with small leaves put boundaries everywhere; white space and apostrophes look ahead."""
+    rng = random.Random(leaf)
+    for _ in range(n):
+        text = "".join(rng.choice(bits) for _ in range(rng.choice([0, 3, 60, 900 if leaf > 3 else 120])))
+        tree = token_counts.CountTree(*encoder.leaves(text, leaf), leaf)
         for _ in range(4):
             a = rng.randint(-2, len(text) + 3)
             b = a + rng.choice([0, 0, 1, 5, 200])
             new = "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 8, 100])))
             text, _n = tree.edit(text, a, b, new, encoder)
-            assert tree.total == len(encoder.encoding.encode_ordinary(text))
+            assert tree.total == sum(encoder.counts(encoder.find(text)))
             assert sum(tree.chars) == len(text) == tree.char_sums[0]
+            assert sum(tree.pretokens) == len(encoder.find(text))
+        assert tree.total == len(encoder.encoding.encode_ordinary(text))
+
+
+def test_edit_behind_white_space(encoder):
+    text = "a" + " b" * 62 + "\n\nx y and more words here"
+    tree = token_counts.CountTree(*encoder.leaves(text))
+    at = text.index("x")
+    after, _ = tree.edit(text, at, at + 1, "", encoder)
+    assert tree.total == len(encoder.encoding.encode_ordinary(after))
+    long = "a b" + " " * 9000 + "c" + " d" * 300
+    tree = token_counts.CountTree(*encoder.leaves(long))
+    after, _ = tree.edit(long, 1, 2, "", encoder)
+    assert tree.total == len(encoder.encoding.encode_ordinary(after))
+
+
+def test_edits_on_edited_rows(spark, encoder):
+    """A row that was edited once is edited again from its stored tree."""
+    rows = [(k, "a" + " b" * 62 + "\n\nx y and more words here" + " more" * k, [(127 + k, 128 + k, "")]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:long,end:long,new:string>>")
+    state = token_counts.count_tokens(docs, RANKS, public_tokenizers.PATTERN, keep_text=True)
+    now = state.join(docs.select("doc_id", "edits"), "doc_id")
+    for new in ("", " two words", "\n \n", "'re"):
+        out = token_counts.recount(now, RANKS, public_tokenizers.PATTERN, stored=True)
+        for r in out.collect():
+            assert r.n_tokens_edited == len(encoder.encoding.encode_ordinary(r.edited_text)) == r.token_sums[0]
+            assert r.n_pretokens_edited == len(encoder.find(r.edited_text)) == sum(r.leaf_pretokens)
+        now = out.selectExpr("doc_id", "edited_text as text", "leaf_chars", "leaf_pretokens", "token_sums", f"array(struct(100L + doc_id as start, 103L + doc_id as end, \"{new}\" as new)) as edits")
 
 
 def test_edit_touches_a_region_only(encoder):
     text = " ".join(f"word{k} and more" for k in range(5000))
-    tree = token_counts.CountTree(*encoder.leaves(text)[:2])
+    tree = token_counts.CountTree(*encoder.leaves(text))
     _, encoded = tree.edit(text, 30_000, 30_004, "new", encoder)
     assert encoded <= 4 * token_counts.LEAF
 
@@ -47,7 +79,7 @@ def test_edit_touches_a_region_only(encoder):
 def test_edits_touch_paths_only(encoder, monkeypatch):
     """An edit that fits its leaves does not build the tree anew, and all sums are those of a new tree."""
     text = " ".join(f"word{k} and more" for k in range(3000))
-    tree = token_counts.CountTree(*encoder.leaves(text)[:2])
+    tree = token_counts.CountTree(*encoder.leaves(text))
     monkeypatch.setattr(token_counts.CountTree, "_sum", lambda self: pytest.fail("the whole tree was summed"))
     rng = random.Random(8)
     for _ in range(60):

@@ -164,3 +164,16 @@ def test_large_model_keeps_its_order(spark, monkeypatch):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.n_bytes == len(texts[r.doc_id]) and math.isclose(r.log10_prob, table.log10(texts[r.doc_id]), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_rules_with_text_ids_and_repeats(spark):
+    """Ids of any type; the rules are the same whatever the order of the rows."""
+    rows = [(f"doc-{k % 300}", prose(k, 25 + k % 90) + (" ###" * 5 if k % 3 == 0 else "")) for k in range(600)]
+    labels = spark.createDataFrame([(f"doc-{k}", int(k % 3 != 0)) for k in range(300)], "doc_id string, quality int")
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id string, text string")
+        stats = quality_rules.text_statistics(docs).repartition(3)
+        found.append(quality_rules.fit_rules(stats, labels))
+        assert quality_rules.quality_rules(docs, labels).count() == 600
+    assert found[0] == found[1] and found[0]
