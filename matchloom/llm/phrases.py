@@ -33,9 +33,9 @@ from .id_filter import _bits
 
 DEPTH, LEAST, LONGER_PERCENT, TOP = 4, 30, 80, 2000
 #: Words of a shard, bytes of a text that are cut into words at once (at a piece's end), and rows of a batch of counts.
-SHARD_WORDS, TEXT_BYTES, OUT_ROWS = 1 << 20, 1 << 19, 1 << 15
+SHARD_WORDS, TEXT_BYTES, OUT_ROWS = 1 << 19, 1 << 19, 1 << 15
 #: Rows of an index that are grown together, but for an interval with more.
-ROWS = 1 << 18
+ROWS = 1 << 17
 FILTER_MB = 64
 
 #: Byte translation: A-Z to lower case, what ends a piece to a line feed, a tab to a space.

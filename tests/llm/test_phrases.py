@@ -52,7 +52,7 @@ def some_texts(seed, n):
         yield rng.choice(["en", "fr", None]), rng.choice([" ", "  ", "\t"]).join(words).replace("york", rng.choice(["York", "york"]))
 
 
-@pytest.mark.parametrize("shard_words", [1 << 20, 200])
+@pytest.mark.parametrize("shard_words", [1 << 19, 200])
 def test_against_brute_force(spark, shard_words):
     """In one shard for a language of a task, and in many."""
     rows = list(some_texts(1, 500))
