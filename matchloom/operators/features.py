@@ -86,13 +86,14 @@ def more_often(words: Column, n: int, test=None) -> Column:
 
 
 def resume_features(lines: DataFrame, strong: list[str], weak: list[str]) -> DataFrame:
-    """One row per row of ``lines`` (resume_id, lines and SECTIONS): see the columns below.
+    """One row per row of ``lines`` (resume_id, lines and SECTIONS, absent ones count as empty): see the columns below.
 
     Line 1 is the summary, the others are bullets, three to an experience entry.
     ``store.resume_lines`` makes such rows from parsed résumés.
     """
     bullets = F.slice("lines", 2, 2**31 - 2)
-    rows = lines.select("resume_id", *SECTIONS, F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("")).alias("summary"), bullets.alias("bullets"), F.array_join("lines", " ").alias("whole"), F.size(F.filter("lines", lambda x: x.rlike("^[-•*]"))).alias("marked_lines"))
+    given = [F.col(c) if c in lines.columns else F.lit(False if c.startswith("has_") else 0).alias(c) for c in SECTIONS]
+    rows = lines.select("resume_id", *given, F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("")).alias("summary"), bullets.alias("bullets"), F.array_join("lines", " ").alias("whole"), F.size(F.filter("lines", lambda x: x.rlike("^[-•*]"))).alias("marked_lines"))
     # what the features ask of a bullet is found once, before they count
     split = F.transform("bullets", lambda x: F.struct(x.alias("text"), F.length(x).alias("n"), _words(x).alias("ws"), x.rlike(METRIC).alias("metric"), F.lower(x).alias("low")))
     rows = rows.withColumns({"norm": t.strip_markup(F.col("whole")), "split": split})
@@ -192,7 +193,8 @@ def resume_features(lines: DataFrame, strong: list[str], weak: list[str]) -> Dat
         "norm_words": F.size(t.tokens(F.col("norm"))),
         "norm_sentences": F.size(t.sentences(F.col("norm"))),
     }
-    return rows.select("resume_id", *[v.alias(k) for k, v in features.items()])
+    out = rows.select("resume_id", *[v.alias(k) for k, v in features.items()])
+    return out.withColumn("chars_a_sentence", F.expr("CASE WHEN norm_sentences = 0 OR norm_words = 0 THEN 0 ELSE floor(norm_chars / (1.0 * norm_sentences) + 0.5) END").cast("long"))
 
 
 _SEVEN = "(CAST(summary_len > {0} AS INT) + CAST(has_skills AS INT) + CAST(nb > 0 AS INT) + CAST(has_projects AS INT) + CAST(has_education AS INT) + CAST(has_certifications AS INT) + CAST(has_achievements AS INT))"
@@ -264,7 +266,6 @@ PROFILES: dict[str, dict[str, str]] = {
         "simple": "CASE WHEN nb = 0 THEN 0 ELSE 100 - least(30, words_over_35 * 7) END",
         "capped": "greatest(0, 100 - (least(25, words_over_35 * 5) + least(20, repeated_plain * 3) + least(15, dup_sentences * 5) + " + _points(("any_wide_gap", 10), ("summary_words > 0 AND summary_words < 10", 5)) + "))",
         "ratios_tenths": "CASE WHEN norm_sentences = 0 OR norm_words = 0 THEN 0 WHEN norm_words >= 10 * norm_sentences AND norm_words <= 20 * norm_sentences THEN 100 WHEN norm_words < 10 * norm_sentences THEN greatest(50, floor(100 - (10 - norm_words / (1.0 * norm_sentences)) * 5 + 0.5)) ELSE greatest(20, floor(100 - (norm_words / (1.0 * norm_sentences) - 20) + 0.5)) END",
-        "chars_a_sentence": "CASE WHEN norm_sentences = 0 OR norm_words = 0 THEN 0 ELSE floor(norm_chars / (1.0 * norm_sentences) + 0.5) END",
         "additive": "CASE WHEN whole_letters = 0 THEN 0 ELSE least(100, CASE WHEN whole_letters > 3 * whole_words AND whole_letters < 7 * whole_words THEN 40 ELSE 30 END + CASE WHEN whole_stops = 0 THEN 0 WHEN whole_words < 25 * whole_stops THEN 30 WHEN whole_words < 40 * whole_stops THEN 20 ELSE 0 END + CASE WHEN inner_signs THEN 30 ELSE 0 END) END",
         "length_bands": "CASE WHEN nb = 0 THEN 50 WHEN sum_len >= 80 * nb AND sum_len <= 150 * nb THEN 90 WHEN sum_len > 150 * nb THEN 60 WHEN sum_len >= 40 * nb THEN 75 ELSE 50 END",
     },

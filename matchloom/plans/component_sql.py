@@ -103,7 +103,6 @@ COMPONENTS: dict[str, dict[str, str]] = {
         "simple": "CASE WHEN nb > 0 THEN 100 - CASE WHEN words_over_35 > 4 THEN 30 ELSE 7 * words_over_35 END ELSE 0 END",
         "capped": "greatest(0, 100 - least(25, 5 * words_over_35) - least(20, 3 * repeated_plain) - least(15, 5 * dup_sentences) - 10 * any_wide_gap::INT - 5 * (summary_words BETWEEN 1 AND 9)::INT)",
         "ratios_tenths": "CASE WHEN norm_sentences = 0 OR norm_words = 0 THEN 0 WHEN m BETWEEN 10 AND 20 THEN 100 WHEN m < 10 THEN greatest(50, floor(50.5 + 5 * m)) ELSE greatest(20, floor(120.5 - m)) END".replace(" m ", " (norm_words / norm_sentences::DOUBLE) ").replace(" m)", " (norm_words / norm_sentences::DOUBLE))"),
-        "chars_a_sentence": "CASE WHEN norm_sentences > 0 AND norm_words > 0 THEN floor(0.5 + 1.0 * norm_chars / norm_sentences) ELSE 0 END",
         "additive": "CASE WHEN whole_letters > 0 THEN least(100, CASE WHEN abs(5 - 1.0 * whole_letters / whole_words) < 2 THEN 40 ELSE 30 END + CASE WHEN whole_stops = 0 THEN 0 WHEN 1.0 * whole_words / whole_stops < 25 THEN 30 WHEN 1.0 * whole_words / whole_stops < 40 THEN 20 ELSE 0 END + 30 * inner_signs::INT) ELSE 0 END",
         "length_bands": "CASE WHEN nb = 0 THEN 50 WHEN 1.0 * sum_len / nb > 150 THEN 60 WHEN 1.0 * sum_len / nb >= 80 THEN 90 WHEN 1.0 * sum_len / nb >= 40 THEN 75 ELSE 50 END",
     },

@@ -52,13 +52,13 @@ def resumes_with_latest_score(v):
 
 
 @query("resume_effective_jd", """
-SELECT r.resume_id, coalesce(r.jd_id, n.jd_id) AS jd_id, coalesce(length(jd_text), 0) AS jd_chars
+SELECT r.resume_id, coalesce(r.own_jd_id, n.jd_id) AS jd_id, coalesce(length(jd_text), 0) AS jd_chars
 FROM fx_resumes r LEFT JOIN (SELECT resume_id, jd_id FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY created_at DESC, report_id) AS rn FROM fx_reports) WHERE rn = 1) n USING (resume_id)
-LEFT JOIN fx_jds j ON j.jd_id = coalesce(r.jd_id, n.jd_id)""", "fx_resumes fx_reports fx_jds")
+LEFT JOIN fx_jds j ON j.jd_id = coalesce(r.own_jd_id, n.jd_id)""", "fx_resumes fx_reports fx_jds")
 def resume_effective_jd(v):
     reports = v.reports.withColumnRenamed("jd_id", "report_jd")
-    rows = d.with_latest(v.resumes.select("resume_id", "jd_id"), reports, "resume_id", "created_at", "report_id", ["report_jd"])
-    rows = rows.select("resume_id", F.coalesce("jd_id", "report_jd").alias("jd"))
+    rows = d.with_latest(v.resumes.select("resume_id", "own_jd_id"), reports, "resume_id", "created_at", "report_id", ["report_jd"])
+    rows = rows.select("resume_id", F.coalesce("own_jd_id", "report_jd").alias("jd"))
     return rows.join(v.jds, F.col("jd") == F.col("jd_id"), "left").select("resume_id", F.col("jd").alias("jd_id"), F.coalesce(F.length("jd_text"), F.lit(0)).alias("jd_chars"))
 
 

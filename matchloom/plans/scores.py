@@ -33,7 +33,7 @@ def _norm(column: str) -> str:
 
 NEEDS["fx_features"] = ["fx_lines"]
 SQL["fx_features"] = f"""
-SELECT a.*, coalesce(r.repeated, 0) AS repeated, coalesce(r.repeated_long, 0) AS repeated_long, coalesce(q.repeated_plain, 0) AS repeated_plain FROM (
+SELECT a.*, CAST(CASE WHEN norm_sentences > 0 AND norm_words > 0 THEN floor(0.5 + 1.0 * norm_chars / norm_sentences) ELSE 0 END AS BIGINT) AS chars_a_sentence, coalesce(r.repeated, 0) AS repeated, coalesce(r.repeated_long, 0) AS repeated_long, coalesce(q.repeated_plain, 0) AS repeated_plain FROM (
 SELECT resume_id, length(trim(summary)) AS summary_len, len(list_filter(string_split_regex(summary, '\\s+'), lambda w: w <> '')) AS summary_words,
   len(regexp_extract_all(summary, '[!@#$%^&*()_+=\\[\\]{{}};:''",.<>?/\\\\]')) AS summary_signs,
   {c.MORE_FEATURES.format(strong=_IS_STRONG, metric=_METRIC, verbs='|'.join(VERBS['strong']))},

@@ -15,7 +15,7 @@ SELECT c_custkey AS user_id, c_name AS name, lower(c_name) || '@x.test' AS email
        CASE WHEN c_custkey % 50 = 0 THEN 'ADMIN' ELSE 'USER' END AS role, c_acctbal >= 0 AS is_active,
        TIMESTAMP '2023-01-01' + to_hours(c_custkey) AS created_at, 'h' || c_custkey AS password_hash FROM customer""",
     "fx_resumes": """
-SELECT doc_id AS resume_id, doc_id % 150 AS user_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % (SELECT greatest(1, count(*)) FROM benchmark) END AS jd_id, source AS title,
+SELECT doc_id AS resume_id, doc_id % 150 AS user_id, doc_id % (SELECT greatest(1, count(*)) FROM benchmark) AS jd_id, CASE WHEN doc_id % 9 <> 0 THEN doc_id % (SELECT greatest(1, count(*)) FROM benchmark) END AS own_jd_id, source AS title,
        CASE doc_id % 4 WHEN 0 THEN 'classic' WHEN 1 THEN 'fresher' WHEN 2 THEN 'tech' ELSE 'other' END AS template,
        TIMESTAMP '2023-01-01' + to_hours(doc_id * 7) AS created_at, n_chars % 7 AS downloads, coalesce(text, '') AS text FROM documents""",
     "fx_lines": r"""
@@ -106,9 +106,10 @@ class Views:
 
     @cached_property
     def resumes(self) -> DataFrame:
+        """``jd_id`` gives every résumé a requirement; ``own_jd_id`` is absent from one in nine."""
         key = F.col("doc_id")
         template = F.element_at(F.array(*map(F.lit, ("classic", "fresher", "tech", "other"))), (key % 4 + 1).cast("int"))
-        return spread(self.table("documents")).select(key.alias("resume_id"), (key % 150).alias("user_id"), F.when(key % 9 != 0, F.pmod(key, F.lit(self.n_jds))).alias("jd_id"), F.col("source").alias("title"), template.alias("template"), _hours(key * 7).alias("created_at"), (F.col("n_chars") % 7).alias("downloads"), F.coalesce("text", F.lit("")).alias("text"))
+        return spread(self.table("documents")).select(key.alias("resume_id"), (key % 150).alias("user_id"), F.pmod(key, F.lit(self.n_jds)).alias("jd_id"), F.when(key % 9 != 0, F.pmod(key, F.lit(self.n_jds))).alias("own_jd_id"), F.col("source").alias("title"), template.alias("template"), _hours(key * 7).alias("created_at"), (F.col("n_chars") % 7).alias("downloads"), F.coalesce("text", F.lit("")).alias("text"))
 
     @cached_property
     def lines(self) -> DataFrame:
