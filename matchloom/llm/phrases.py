@@ -9,9 +9,9 @@ the last-to-first mapping in that index, and in the other from the counts of the
 symbols. Shards are written once; counts of their phrases are summed in Spark.
 
 A phrase is as frequent as its parts at most. So words that are frequent in all shards
-together are told to the shards before they count pairs, and pairs before they count
-longer phrases: by a Bloom filter of at most ``FILTER_MB``, whose wrong passes cost rows
-but change no count. A longer phrase must grow from a pair (or triple) on its left as well
+together are told to the shards before they count pairs, and so on from length to
+length: by a Bloom filter of at most ``FILTER_MB``, whose wrong passes cost rows but
+change no count. A longer phrase must grow from a pair (or triple) on its left as well
 as on its right, which is the same interval reached from both sides.
 """
 
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, materialise, releasing, slices
+from ._common import as_bytes, materialise, mix64, releasing, slices
 from .exact_dedup import _positions
 from .id_filter import _bits
 
@@ -140,16 +140,34 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int = SHA
     return materialise(source.mapInArrow(releasing(_sharded(shard_words)), SHARD), "phrase-shards")
 
 
-def _passing(phrases: pa.Array, lang: str, sent: np.ndarray, bits: int) -> np.ndarray:
-    """Which phrases the filter has; their key is Spark's xxhash64 of language and phrase."""
+def _word_hashes(words: list[bytes], langs: list[str]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    seed, found = xxh64_intdigest(lang.encode(), 42), [np.zeros(0, bool)]
-    for at in range(0, len(phrases), OUT_ROWS):
-        key = np.fromiter((xxh64_intdigest(p, seed) for p in as_bytes(phrases.slice(at, OUT_ROWS))), np.uint64)
-        hit = [(sent[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in _positions(key, bits)]
-        found.append((hit[0] & hit[1]).astype(bool))
-    return np.concatenate(found)
+    seeds = {lang: xxh64_intdigest(lang.encode()) for lang in set(langs)}
+    return np.fromiter((xxh64_intdigest(w, seeds[x]) for w, x in zip(words, langs, strict=True)), np.uint64, len(words))
+
+
+def _folded_keys(hashes: list[np.ndarray]) -> np.ndarray:
+    """A phrase's key in a filter, from those of its words in order."""
+    key = hashes[0]
+    for h in hashes[1:]:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + h)
+    return key
+
+
+def _phrase_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase) of one number of words -> key."""
+    for batch in slices(batches, OUT_ROWS):
+        langs, words = batch.column(0).to_pylist(), [p.split(b" ") for p in as_bytes(batch.column(1))]
+        columns = [_word_hashes(list(w), langs) for w in zip(*words, strict=True)]
+        yield pa.record_batch({"key": pa.array(_folded_keys(columns).view(np.int64) if columns else [], pa.int64())})
+
+
+def _passing(hashes: list[np.ndarray], sent: tuple) -> np.ndarray:
+    """Which phrases the filter has, from the hashes of their words."""
+    bits, has = sent[1], sent[0].value
+    hit = [(has[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in _positions(_folded_keys(hashes), bits)]
+    return (hit[0] & hit[1]).astype(bool)
 
 
 def _joined(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
@@ -193,60 +211,69 @@ def _rows(found: Grown, words: pa.Array, lang: str) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(found.count), OUT_ROWS):
         some = found.where(np.s_[at : at + OUT_ROWS])
         n = len(some.count)
-        yield pa.record_batch({"lang": pa.array([lang] * n, pa.string()), "phrase": _joined(words, some.words), "a": pa.array(some.count, pa.int64()), "size": pa.array(np.full(n, len(some.words)), pa.int32())})
+        yield pa.record_batch({"lang": pa.array([lang] * n, pa.string()), "phrase": _joined(words, some.words), "a": pa.array(some.count, pa.int64())})
 
 
-def _counted(word_filter: tuple, pair_filter: tuple | None):
-    """Phrases of two words, or with a filter of these those of three and four, with their counts in each shard."""
+def _counted(filters: list[tuple]):
+    """Phrases of one word more than the filters tell of (words; words and pairs; ...), with their counts in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             lang, words = batch["lang"][0].as_py(), batch["words"][0].values
             counts = batch["counts"][0].values.to_numpy()
-            starts = np.cumsum(counts) - counts
-            backward = Index(_unpacked(batch["behind"][0], counts.sum()), starts)
-            known = _passing(words, lang, word_filter[0].value, word_filter[1])
+            starts, n = np.cumsum(counts) - counts, int(counts.sum())
+            backward = Index(_unpacked(batch["behind"][0], n), starts)
+            hashes = np.concatenate([np.zeros(0, np.uint64), *(_word_hashes(some := as_bytes(words.slice(at, OUT_ROWS)), [lang] * len(some)) for at in range(0, len(words), OUT_ROWS))])
+            known = _passing([hashes], filters[0])
             known[0] = False
             own = np.flatnonzero(known)
             frequent = []
             for part in Grown([own], starts[own], starts[own], counts[own]).parts():
                 pairs = part.rightwards(backward)
                 pairs = pairs.where(known[pairs.words[1]])
-                if pair_filter:
-                    frequent.append(pairs.where(_passing(_joined(words, pairs.words), lang, pair_filter[0].value, pair_filter[1])))
+                if len(filters) > 1:
+                    frequent.append(pairs.where(_passing([hashes[w] for w in pairs.words], filters[1])))
                 else:
                     yield from _rows(pairs, words, lang)
-            if not pair_filter:
+            if len(filters) == 1:
                 continue
-            forward, found = Index(_unpacked(batch["before"][0], counts.sum()), starts), Grown.together(frequent, 2)
-            for size in range(3, DEPTH + 1):
+            forward, found = Index(_unpacked(batch["before"][0], n), starts), Grown.together(frequent, 2)
+            for size in range(3, len(filters) + 2):
                 ended = np.concatenate([np.zeros(0, np.int64), *(part.leftwards(forward) for part in found.parts())])
                 longer = Grown.together([part.rightwards(backward) for part in found.parts()], size)
                 found = longer.where(np.isin(longer.low, ended))
-                yield from _rows(found, words, lang)
+                if size <= len(filters):
+                    found = found.where(_passing([hashes[w] for w in found.words], filters[size - 1]))
+            yield from _rows(found, words, lang)
 
     return run
 
 
 def _sent(frequent: DataFrame, filter_mb: int) -> tuple:
-    """A broadcast filter of (lang, phrase), bounded in bytes, and its number of bits."""
-    whole, bits = _bits(frequent.select(F.xxhash64("lang", "phrase").alias("key")), frequent.count(), filter_mb)
+    """A broadcast filter of phrases of one number of words, bounded in bytes, and its number of bits."""
+    keys = frequent.select("lang", "phrase").mapInArrow(releasing(_phrase_keys), "key bigint")
+    whole, bits = _bits(keys, frequent.count(), filter_mb)
     return frequent.sparkSession.sparkContext.broadcast(whole), bits
 
 
 def frequent_phrases(shards: DataFrame, least: int = LEAST, filter_mb: int = FILTER_MB) -> DataFrame:
     """(lang, phrase, a, size) of all phrases of 1 to ``DEPTH`` words that come ``least`` times or more."""
 
-    def enough(rows: DataFrame, name: str) -> DataFrame:
-        return materialise(rows.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select("lang", "phrase", "a", "size"), name)
+    def enough(rows: DataFrame, size: int) -> DataFrame:
+        total = rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+        return materialise(total.select("lang", "phrase", "a", F.lit(size).alias("size")), f"phrases-of-{size}")
 
     each = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).where(F.col("w.words") != "\n")
-    words = enough(each.select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("a"), F.lit(1).alias("size")), "words")
-    schema = "lang string, phrase string, a bigint, size int"
-    word_filter = _sent(words, filter_mb)
-    pairs = enough(shards.drop("before").mapInArrow(releasing(_counted(word_filter, None)), schema), "pairs")
-    longer = enough(shards.mapInArrow(releasing(_counted(word_filter, _sent(pairs, filter_mb))), schema), "longer-phrases")
-    return words.unionByName(pairs).unionByName(longer)
+    found = [enough(each.select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("a")), 1)]
+    filters = []
+    for size in range(2, DEPTH + 1):
+        filters.append(_sent(found[-1], filter_mb))
+        read = shards.drop("before") if size == 2 else shards
+        found.append(enough(read.mapInArrow(releasing(_counted(list(filters))), "lang string, phrase string, a bigint"), size))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longer_percent: int = LONGER_PERCENT, top: int = TOP, filter_mb: int = FILTER_MB, shard_words: int = SHARD_WORDS) -> DataFrame:
