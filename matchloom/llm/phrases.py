@@ -90,11 +90,14 @@ def transforms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(symbols: np.ndarray) -> pa.Array:
-    return pa.array([pa.compress(symbols.tobytes(), codec="zstd", asbytes=True)], pa.binary())
+    """Bytes of one significance stand together, which packs them better."""
+    planes = symbols.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary())
 
 
 def _unpacked(cell: pa.Scalar, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(cell.as_buffer(), decompressed_size=4 * n, codec="zstd"), np.int32)
+    planes = np.frombuffer(pa.decompress(cell.as_buffer(), decompressed_size=4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
 
 def _sharded(shard_words: int):
@@ -170,8 +173,10 @@ def _passing(hashes: list[np.ndarray], sent: tuple) -> np.ndarray:
     return (hit[0] & hit[1]).astype(bool)
 
 
-def _joined(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
-    return pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in columns), " ")
+def _joined(words: pa.Array, lang: str, columns: list[np.ndarray]) -> pa.Array:
+    """Language and phrase as one text, with a tab between them: no word holds one."""
+    first = pc.binary_join_element_wise(pa.scalar(lang), words.take(pa.array(columns[0])), "\t")
+    return pc.binary_join_element_wise(first, *(words.take(pa.array(c)) for c in columns[1:]), " ")
 
 
 class Grown:
@@ -210,8 +215,7 @@ class Grown:
 def _rows(found: Grown, words: pa.Array, lang: str) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(found.count), OUT_ROWS):
         some = found.where(np.s_[at : at + OUT_ROWS])
-        n = len(some.count)
-        yield pa.record_batch({"lang": pa.array([lang] * n, pa.string()), "phrase": _joined(words, some.words), "a": pa.array(some.count, pa.int64())})
+        yield pa.record_batch({"key": _joined(words, lang, some.words), "a": pa.array(some.count, pa.int64())})
 
 
 def _counted(filters: list[tuple]):
@@ -260,16 +264,17 @@ def frequent_phrases(shards: DataFrame, least: int = LEAST, filter_mb: int = FIL
     """(lang, phrase, a, size) of all phrases of 1 to ``DEPTH`` words that come ``least`` times or more."""
 
     def enough(rows: DataFrame, size: int) -> DataFrame:
-        total = rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-        return materialise(total.select("lang", "phrase", "a", F.lit(size).alias("size")), f"phrases-of-{size}")
+        total = rows.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= least).withColumn("phrase", F.substring_index("key", "\t", -1))
+        lang = F.expr("substring(key, 1, char_length(key) - char_length(phrase) - 1)")
+        return materialise(total.select(lang.alias("lang"), "phrase", "a", F.lit(size).alias("size")), f"phrases-of-{size}")
 
     each = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).where(F.col("w.words") != "\n")
-    found = [enough(each.select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("a")), 1)]
+    found = [enough(each.select(F.concat("lang", F.lit("\t"), "w.words").alias("key"), F.col("w.counts").alias("a")), 1)]
     filters = []
     for size in range(2, DEPTH + 1):
         filters.append(_sent(found[-1], filter_mb))
         read = shards.drop("before") if size == 2 else shards
-        found.append(enough(read.mapInArrow(releasing(_counted(list(filters))), "lang string, phrase string, a bigint"), size))
+        found.append(enough(read.mapInArrow(releasing(_counted(list(filters))), "key string, a bigint"), size))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
