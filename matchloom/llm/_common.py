@@ -39,14 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder (with Parquet ``options``) and read it back, which cuts its lineage.
 
     The files go when the application ends (``deleteOnExit`` of Hadoop's file system).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/matchloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

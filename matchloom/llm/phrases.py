@@ -92,7 +92,7 @@ def transforms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _packed(symbols: np.ndarray) -> pa.Array:
     """Bytes of one significance stand together, which packs them better."""
     planes = symbols.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary())
+    return pa.array([pa.Codec("zstd", compression_level=9).compress(planes, asbytes=True)], pa.binary())
 
 
 def _unpacked(cell: pa.Scalar, n: int) -> np.ndarray:
@@ -140,7 +140,7 @@ SHARD = "lang string, n bigint, words array<string>, counts array<bigint>, befor
 
 def shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int = SHARD_WORDS) -> DataFrame:
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.coalesce(text_col, F.lit("")))
-    return materialise(source.mapInArrow(releasing(_sharded(shard_words)), SHARD), "phrase-shards")
+    return materialise(source.mapInArrow(releasing(_sharded(shard_words)), SHARD), "phrase-shards", compression="zstd")
 
 
 def _word_hashes(words: list[bytes], langs: list[str]) -> np.ndarray:
