@@ -75,6 +75,15 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path if not path.endswith(".parquet") else path[:-1] + "[t]")
 
 
+def batch_writer(out: str) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch over its own partition of ``out``: a batch that is run again stands there once."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return put
+
+
 def drained(rows: DataFrame, mode: str, name: str, final: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run the stream over all that is there and return what it emitted.
 
@@ -83,10 +92,7 @@ def drained(rows: DataFrame, mode: str, name: str, final: Callable[[DataFrame],
     spark = rows.sparkSession
     out, mark = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
-    query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    query = rows.writeStream.outputMode(mode).foreachBatch(batch_writer(out)).option("checkpointLocation", mark).trigger(availableNow=True).start()
     query.awaitTermination()
     schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
     told = spark.read.schema(schema).parquet(out)

@@ -45,3 +45,10 @@ def test_latest_scores_follow_the_stream(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
     told = a.drained(a.latest_scores(stream), "update", "t")
     assert told.orderBy(F.desc("created_at")).first().total_score == 20
+
+
+def test_a_replayed_batch_stands_once(spark, tmp_path):
+    put, out = a.batch_writer(str(tmp_path / "out")), str(tmp_path / "out")
+    for number, n in ((0, 3), (1, 2), (1, 2), (0, 3)):
+        put(spark.range(n), number)
+    assert {r.batch: r["count"] for r in spark.read.parquet(out).groupBy("batch").count().collect()} == {0: 3, 1: 2}
