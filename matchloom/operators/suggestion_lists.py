@@ -35,7 +35,7 @@ def entry(kind: str, section: str, pos, current, improved, impact) -> Column:
     return F.struct(F.lit(kind).alias("type"), F.lit(section).alias("section"), text(pos).cast("int").alias("pos"), text(current).cast("string").alias("current"), text(improved).cast("string").alias("improved"), text(impact).alias("impact"))
 
 
-def judged(bullets: Column, openings, strong: list[str], metric: str, tails, other_tail: str, patterns, hints=w.RESULT_HINTS, expansions=w.EXPANSIONS) -> Column:
+def judged(bullets: Column, openings, strong: list[str], metric: str, tails, other_tail: str, patterns, hints=w.RESULT_HINTS, expansions=w.EXPANSIONS, gerund_after: tuple[str, ...] = ()) -> Column:
     """What the lists ask of a bullet, found once: array of structs in order, ``pos`` from 1.
 
     In steps, so that a step refers to what the one before has found and does not repeat it.
@@ -44,7 +44,7 @@ def judged(bullets: Column, openings, strong: list[str], metric: str, tails, oth
     first = lambda x: F.regexp_replace(F.lower(F.get(F.split(F.trim(x), "\\s+"), F.lit(0))), "[^a-z]", "")
     has = lambda x, words: sum((F.contains(x, F.lit(y)).cast("int") for y in words), F.lit(0))
     rows = F.transform(bullets, lambda x, i: F.struct((i + 1).alias("pos"), x.alias("text"), F.trim(x).alias("bare"), F.lower(x).alias("low")))
-    rows = step(rows, new=lambda b: F.coalesce(replace_pattern(b["bare"], patterns), b["bare"]), verb=lambda b: replace_opening(b["text"], openings), done=lambda b: has(b["low"], IMPROVED), effects=lambda b: has(b["low"], EFFECTS))
+    rows = step(rows, new=lambda b: F.coalesce(replace_pattern(b["bare"], patterns), b["bare"]), verb=lambda b: replace_opening(b["text"], openings, gerund_after), done=lambda b: has(b["low"], IMPROVED), effects=lambda b: has(b["low"], EFFECTS))
     rows = step(rows, expanded=lambda r: w.expanded(r["new"], expansions))
     return F.transform(
         rows,
@@ -174,6 +174,37 @@ def by_severity(rows: DataFrame) -> DataFrame:
     return out.made(F.slice(F.transform(F.array_sort(keyed), lambda x: x["e"]), 1, 12))
 
 
+def live(rows: DataFrame, tails, other_tail: str, also_weak: tuple[str, ...] = ()) -> DataFrame:
+    """The live list: two keywords below 70, then a branch for each path; six, and each bullet once.
+
+    With experience: three weak verbs below 80, one result, a summary under 100 characters, what
+    is missing of summary and education below 70, and what a list of one or none falls back on.
+    Freshers (``fresher``), whose bullets are those of projects: the first bullet that may be
+    improved, a summary under 80 characters, and the structure; nothing to fall back on. A
+    bullet of a project is improved if it has no result yet and opens strong or weak;
+    ``also_weak`` are openings that count as weak and have no other verb. A branch whose
+    column is null adds nothing; a null ``fresher`` is a résumé with experience.
+    """
+    out = List(rows)
+    fresher, summary = F.coalesce("fresher", F.lit(False)), F.col("summary")
+    said = F.when(summary == "", "(No summary)").otherwise(summary)
+    out.add(out.keywords(F.col("missing"), 2, _word), F.col("k") < 70)
+
+    weak = lambda b: b["verb"].isNotNull() | F.lower(b["text"]).rlike("^(" + "|".join(also_weak or ("(?!)",)) + ")")
+    better = lambda b: with_metric_tail(F.when(b["strong"], b["text"]).otherwise(F.coalesce(b["verb"], b["text"])), tails, other_tail)
+    out.add(out.bullets(lambda b: ~b["metric"] & (b["n"] >= 10) & (b["strong"] | weak(b)), lambda b: entry("projects", "projects", b["pos"], b["text"], better(b), "high"), 1), fresher & (F.col("n_projects") > 0), room=6)
+    out.add(out.bullets(lambda b: _WEAK(b) & ~b["strong"], _verb("action_verb", "medium"), 3), ~fresher & (F.col("a") < 80), room=6)
+    out.add(out.bullets(lambda b: ~b["metric"], lambda b: entry("experience", "experience", b["pos"], b["text"], b["tail"], "high"), 1, free=True), ~fresher, room=6)
+    advice = F.when(fresher, "Say what you study and what you want to build.").otherwise("Say in two sentences what you do best.")
+    out.one(entry("summary", "summary", None, said, advice, "medium"), F.length(summary) < F.when(fresher, 80).otherwise(100), 6)
+    out.one(
+        F.when(F.length(F.trim(summary)) < 20, entry("formatting", "summary", None, said, "Write a summary of 50 words.", "medium")).otherwise(entry("formatting", "education", None, "(No education)", "Name your degree.", "medium")),
+        (F.col("f") < 70) & ((F.length(F.trim(summary)) < 20) | (F.col("n_education") == 0)), 6,
+    )
+    lacking = F.filter(F.array(F.when(F.col("n_projects") == 0, entry("projects", "projects", None, "(No projects)", "Add a project.", "medium")), F.when(F.col("n_certifications") == 0, entry("certifications", "certifications", None, "(No certifications)", "Add a certificate.", "low"))), lambda e: e.isNotNull())
+    return out.add(lacking, ~fresher & (out.size < 2)).df
+
+
 def six_rules(rows: DataFrame) -> DataFrame:
     """One keyword row below 70, a result and a verb in each job, a summary, projects; six."""
     out = List(rows)

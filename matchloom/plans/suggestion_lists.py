@@ -114,6 +114,25 @@ def suggestions_by_severity(v):
     return _out(s.by_severity(_rows(v)))
 
 
+#: The given documents have no experience to lack: résumés of the fresher's template have their bullets under projects.
+_FRESHER = "resume_id % 4 = 1"
+_SAID = "CASE WHEN summary = '' THEN '(No summary)' ELSE summary END"
+_BETTER_TAIL = _tail_sql("(CASE WHEN x.strong THEN x.text ELSE coalesce(x.verb, x.text) END)")
+
+
+@query("suggestions_by_path", _listed(_chain([
+    f"CASE WHEN k < 70 THEN {_words(2)} ELSE [] END",
+    f"CASE WHEN fresher AND n_projects > 0 THEN {_of('NOT x.metric AND x.n >= 10 AND (x.strong OR x.verb IS NOT NULL OR regexp_matches(lower(x.text), $$^(con|per)$$))', _e('projects', 'projects', 'x.text', _BETTER_TAIL, _Q('high'), 'x.pos'), '1')} ELSE [] END",
+    f"CASE WHEN NOT fresher AND a < 80 THEN {_of(f'{_WEAK} AND NOT x.strong', _e('action_verb', 'experience', 'x.text', 'x.verb', _Q('medium'), 'x.pos'), '3')} ELSE [] END",
+    f"CASE WHEN NOT fresher THEN {_room(_of(f'NOT x.metric AND {_FREE}', _e('experience', 'experience', 'x.text', 'x.tail', _Q('high'), 'x.pos'), '1'), 6)} ELSE [] END",
+    f"CASE WHEN len(l) >= 6 THEN [] WHEN fresher AND length(summary) < 80 THEN [{_e('summary', 'summary', _SAID, _Q('Say what you study and what you want to build.'), _Q('medium'))}] WHEN NOT fresher AND length(summary) < 100 THEN [{_e('summary', 'summary', _SAID, _Q('Say in two sentences what you do best.'), _Q('medium'))}] ELSE [] END",
+    f"CASE WHEN len(l) >= 6 OR f >= 70 THEN [] WHEN length(trim(summary)) < 20 THEN [{_e('formatting', 'summary', _SAID, _Q('Write a summary of 50 words.'), _Q('medium'))}] WHEN n_education = 0 THEN [{_e('formatting', 'education', _Q('(No education)'), _Q('Name your degree.'), _Q('medium'))}] ELSE [] END",
+    f"CASE WHEN fresher OR len(l) >= 2 THEN [] ELSE list_concat({_if('n_projects = 0', _PROJECTS)}, {_if('n_certifications = 0', _e('certifications', 'certifications', _Q('(No certifications)'), _Q('Add a certificate.'), _Q('low')))}) END",
+], f"SELECT *, {_FRESHER} AS fresher FROM ({_STATE})")), _VIEWS)
+def suggestions_by_path(v):
+    return _out(s.live(_rows(v).withColumn("fresher", F.expr(_FRESHER)), TAILS, OTHER, ("con", "per")))
+
+
 @query("suggestions_six_rules", _listed(_chain([
     f"CASE WHEN k < 70 THEN {_words(1)} ELSE [] END",
     _room(_in_jobs(_BARE, _TAIL), 6),
