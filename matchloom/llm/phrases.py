@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, materialise, mix64, releasing, slices
+from ._common import as_bytes, materialise, mix64, release, releasing, slices
 from .exact_dedup import _positions
 from .id_filter import _bits
 
@@ -273,6 +273,7 @@ def frequent_phrases(shards: DataFrame, least: int = LEAST, filter_mb: int = FIL
     filters = []
     for size in range(2, DEPTH + 1):
         filters.append(_sent(found[-1], filter_mb))
+        release(shards.sparkSession)
         read = shards.drop("before") if size == 2 else shards
         found.append(enough(read.mapInArrow(releasing(_counted(list(filters))), "key string, a bigint"), size))
     out = found[0]
