@@ -76,3 +76,35 @@ DISPLAY_NAMES = {
     "microservices": "Microservices", "html": "HTML", "css": "CSS", "ml": "Machine Learning", "nlp": "Natural Language Processing", "pandas": "Pandas",
     "numpy": "NumPy", "spark": "Apache Spark", "pyspark": "Apache Spark", "tableau": "Tableau",
 }
+
+# Technical terms with their weight, by the role that they speak for.
+WEIGHTED_TERMS = {
+    "backend": """java 3, python 3, javascript 3, typescript 3, go 3, golang 3, rust 3, c++ 3, c# 3, php 2, ruby 2, scala 3, kotlin 3, swift 2,
+spring boot 4, django 4, flask 3, express.js 4, express 4, node.js 4, nodejs 4, node 3, nestjs 4, fastapi 4, rails 3, ruby on rails 4, laravel 3, spring 3, .net 3, asp.net 3""",
+    "database": "mysql 3, postgresql 3, postgres 3, mongodb 3, mongo 3, redis 3, elasticsearch 3, dynamodb 3, cassandra 3, sqlite 2, oracle 2, firestore 3, sql 3, nosql 3",
+    "cloud": "aws 3, azure 3, gcp 3, google cloud 3, amazon web services 4, microsoft azure 4, heroku 2, vercel 2, netlify 2",
+    "devops": "docker 3, kubernetes 4, k8s 4, ci/cd 4, cicd 4, jenkins 3, github actions 3, gitlab ci 3, terraform 3, ansible 3, aws lambda 3, serverless 3, cloudformation 3",
+    "backend, architecture": "microservices 4, microservices architecture 5, microservice 4, restful api 4, rest api 4, rest 3, graphql 3, grpc 3, websocket 3, api gateway 3, message queue 3, rabbitmq 3, kafka 3",
+    "frontend": """react 4, reactjs 4, vue 3, vuejs 3, angular 3, angularjs 3, next.js 4, nextjs 4, svelte 3, html 2, css 2, sass 2, scss 2, tailwind 3, tailwindcss 3, bootstrap 2,
+material-ui 3, mui 3, webpack 3, vite 3""",
+    "mobile": "react native 4, flutter 3, ios 2, android 2, xamarin 2",
+    "core": "data structures 3, algorithms 3, oop 2, object oriented programming 3, design patterns 3, system design 4, software architecture 4, clean code 3, refactoring 3",
+    "data": """machine learning 4, ml 3, deep learning 4, artificial intelligence 4, ai 3, tensorflow 4, pytorch 4, scikit-learn 4, sklearn 4, pandas 3, numpy 3, data science 4,
+data analysis 3, nlp 3, natural language processing 4, computer vision 4""",
+    "tool": "git 2, github 2, gitlab 2, bitbucket 2, jira 2, confluence 2, slack 1",
+    "testing": """jest 3, mocha 3, cypress 3, selenium 3, playwright 3, junit 3, pytest 3, unit testing 3, integration testing 3, e2e testing 3, test driven development 4, tdd 3, bdd 3""",
+    "methodology": "agile 3, scrum 3, kanban 2, waterfall 1, lean 2",
+    "soft_skill": "communication 2, leadership 2, teamwork 2, problem solving 3, analytical 3, critical thinking 3",
+}
+# Verbs that tell a responsibility; words that are no keywords; where required and preferred parts begin.
+RESPONSIBILITY_VERBS = "design develop deploy implement optimize build maintain deliver architect integrate create manage lead analyze test debug refactor review collaborate communicate".split()
+NO_KEYWORDS = """role experience employment location year years team company candidate position job work working opportunity responsibility requirement qualification skill skills ability
+knowledge degree bachelor master education must should preferred nice etc including plus new looking seeking hire""".split()
+REQUIRED_CUES = ("required", "must have", "must-have", "mandatory", "essential", "core", "minimum", "necessary", "need to have")
+PREFERRED_CUES = ("preferred", "nice to have", "bonus", "plus", "desired", "advantage", "preferred skills", "would be nice")
+
+
+def weighted_terms() -> list[tuple[str, int, str]]:
+    """(term, weight, role) of ``WEIGHTED_TERMS``, longest first, then as listed."""
+    rows = [(entry.rpartition(" ")[0].strip(), int(entry.rpartition(" ")[2]), role.split(",")[0]) for role, entries in WEIGHTED_TERMS.items() for entry in entries.split(",")]
+    return sorted(rows, key=lambda x: -len(x[0]))
