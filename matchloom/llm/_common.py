@@ -53,16 +53,6 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps.
-
-    It does so once the driver's JVM has collected what made them, which a job of few objects
-    and large shuffles may not come to by itself. Tables that are written are not touched.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Smaller record batches, so that few texts are Python objects at a time."""
     for batch in batches:
