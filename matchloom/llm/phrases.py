@@ -13,6 +13,10 @@ together are told to the shards before they count pairs, and so on from length t
 length: by a Bloom filter of at most ``FILTER_MB``, whose wrong passes cost rows but
 change no count. A longer phrase must grow from a pair (or triple) on its left as well
 as on its right, which is the same interval reached from both sides.
+
+Most pairs of frequent words are rare. So pairs are first counted together in slots, by
+their hash; a slot has its pairs' counts added up, so a pair in a slot below ``least`` is
+rare for certain. Only the others' texts shuffle, and are counted one by one.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import as_bytes, materialise, mix64, releasing, slices
-from .exact_dedup import _positions
+from .exact_dedup import SEGMENT_BITS, _positions
 from .id_filter import _bits
 
 DEPTH, LEAST, LONGER_PERCENT, TOP = 4, 30, 80, 2000
@@ -37,6 +41,8 @@ SHARD_WORDS, TEXT_BYTES, OUT_ROWS = 1 << 19, 1 << 19, 1 << 15
 #: Rows of an index that are grown together, but for an interval with more.
 ROWS = 1 << 17
 FILTER_MB = 64
+#: Slots with counts that a task holds before it sends them.
+HELD_SLOTS = 1 << 21
 
 #: Byte translation: A-Z to lower case, what ends a piece to a line feed, a tab to a space.
 _PLAIN = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -89,10 +95,10 @@ def transforms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(x[_sorted_rows(x) - 1].astype(np.int32) for x in (ids, backward))
 
 
-def _packed(symbols: np.ndarray) -> pa.Array:
+def _packed(symbols: np.ndarray, level: int = 9) -> pa.Array:
     """Bytes of one significance stand together, which packs them better."""
     planes = symbols.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return pa.array([pa.Codec("zstd", compression_level=9).compress(planes, asbytes=True)], pa.binary())
+    return pa.array([pa.Codec("zstd", compression_level=level).compress(planes, asbytes=True)], pa.binary())
 
 
 def _unpacked(cell: pa.Scalar, n: int) -> np.ndarray:
@@ -218,37 +224,129 @@ def _rows(found: Grown, words: pa.Array, lang: str) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": _joined(words, lang, some.words), "a": pa.array(some.count, pa.int64())})
 
 
+class Opened:
+    """A shard with the hashes of its words, and which of them are frequent."""
+
+    def __init__(self, batch: pa.RecordBatch, sent: tuple):
+        self.lang, self.words = batch["lang"][0].as_py(), batch["words"][0].values
+        self.counts = batch["counts"][0].values.to_numpy()
+        self.starts, self.n = np.cumsum(self.counts) - self.counts, int(self.counts.sum())
+        self.backward = Index(_unpacked(batch["behind"][0], self.n), self.starts)
+        some = (as_bytes(self.words.slice(at, OUT_ROWS)) for at in range(0, len(self.words), OUT_ROWS))
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *(_word_hashes(words, [self.lang] * len(words)) for words in some)])
+        self.known = _passing([self.hashes], sent)
+        self.known[0] = False
+
+    def hashes_of(self, found: Grown) -> list[np.ndarray]:
+        return [self.hashes[w] for w in found.words]
+
+    def pairs(self) -> Iterator[Grown]:
+        """Pairs of frequent words, some at a time; no pair comes twice."""
+        own = np.flatnonzero(self.known)
+        for part in Grown([own], self.starts[own], self.starts[own], self.counts[own]).parts():
+            pairs = part.rightwards(self.backward)
+            yield pairs.where(self.known[pairs.words[1]])
+
+
+def _slots_of(hashes: list[np.ndarray], slots: int) -> np.ndarray:
+    return (_folded_keys(hashes) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _tallied(sent: tuple, slots: int, least: int):
+    """Shards -> counts of their pairs, added up in slots to ``least`` at most: segment, slots that count, gaps, counts."""
+
+    def added(at: list[np.ndarray], times: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        slot, times = np.concatenate(at), np.concatenate(times)
+        order = np.argsort(slot)
+        slot, times = slot[order], times[order]
+        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        times, slot = np.minimum(np.add.reduceat(times, first), least), slot[first]
+        segment = slot // SEGMENT_BITS
+        starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        for a, b in zip(starts, [*starts[1:], len(slot)], strict=True):
+            gaps = np.diff(slot[a:b] % SEGMENT_BITS, prepend=0)
+            yield pa.record_batch([pa.array([segment[a]], pa.int64()), pa.array([b - a], pa.int64()), _packed(gaps, 1), _packed(times[a:b], 1)], names=["segment", "n", "gaps", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, times, held = [], [], 0
+        for batch in slices(batches, 1):
+            shard = Opened(batch, sent)
+            for pairs in shard.pairs():
+                if len(pairs.count):
+                    at.append(_slots_of(shard.hashes_of(pairs), slots).astype(np.int32))
+                    times.append(np.minimum(pairs.count, least).astype(np.int64))
+                    held += len(pairs.count)
+            if held >= HELD_SLOTS:
+                yield from added(at, times)
+                at, times, held = [], [], 0
+        if held:
+            yield from added(at, times)
+
+    return run
+
+
+def _reached(least: int):
+    """All of a segment's rows stand in one task: bits of the slots whose counts reach ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                segment, n = batch["segment"][row].as_py(), batch["n"][row].as_py()
+                seen = counters.setdefault(segment, np.zeros(SEGMENT_BITS, np.int32))
+                at = np.cumsum(_unpacked(batch["gaps"][row], n))
+                seen[at] = np.minimum(seen[at] + _unpacked(batch["times"][row], n), least)
+        for segment, seen in counters.items():
+            yield pa.record_batch({"segment": pa.array([segment], pa.int64()), "bits": pa.array([np.packbits(seen >= least).tobytes()], pa.binary())})
+
+    return run
+
+
+def _frequent_slots(shards: DataFrame, sent: tuple, least: int, filter_mb: int) -> tuple:
+    """A broadcast bit for each slot, set where the pairs of the slot come ``least`` times or more, and the number of slots.
+
+    There is about a slot for each word of all shards, up to ``filter_mb``; beyond, more
+    rare pairs share a frequent slot and shuffle, and the counts stay exact.
+    """
+    words = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    slots = max(SEGMENT_BITS, min(1 << int(words).bit_length(), 1 << ((filter_mb << 23).bit_length() - 1)))
+    tallied = shards.drop("before").mapInArrow(releasing(_tallied(sent, slots, least)), "segment bigint, n bigint, gaps binary, times binary")
+    merged = tallied.repartition(slots // SEGMENT_BITS, "segment").mapInArrow(_reached(least), "segment bigint, bits binary")
+    whole = np.zeros(slots // 8, np.uint8)
+    for segment, part in merged.collect():  # the filter's own bytes, filter_mb at most
+        whole[segment * SEGMENT_BITS // 8 :][: SEGMENT_BITS // 8] = np.frombuffer(part, np.uint8)
+    return shards.sparkSession.sparkContext.broadcast(whole), slots
+
+
+def _counted_pairs(sent: tuple, often: tuple):
+    """Pairs of frequent words in frequent slots, with their counts in each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, slots = often[0].value, often[1]
+        for batch in slices(batches, 1):
+            shard = Opened(batch, sent)
+            for pairs in shard.pairs():
+                at = _slots_of(shard.hashes_of(pairs), slots)
+                yield from _rows(pairs.where(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)), shard.words, shard.lang)
+
+    return run
+
+
 def _counted(filters: list[tuple]):
-    """Phrases of one word more than the filters tell of (words; words and pairs; ...), with their counts in each shard."""
+    """Phrases of one word more than the filters tell of (words; pairs; ...), with their counts in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            lang, words = batch["lang"][0].as_py(), batch["words"][0].values
-            counts = batch["counts"][0].values.to_numpy()
-            starts, n = np.cumsum(counts) - counts, int(counts.sum())
-            backward = Index(_unpacked(batch["behind"][0], n), starts)
-            hashes = np.concatenate([np.zeros(0, np.uint64), *(_word_hashes(some := as_bytes(words.slice(at, OUT_ROWS)), [lang] * len(some)) for at in range(0, len(words), OUT_ROWS))])
-            known = _passing([hashes], filters[0])
-            known[0] = False
-            own = np.flatnonzero(known)
-            frequent = []
-            for part in Grown([own], starts[own], starts[own], counts[own]).parts():
-                pairs = part.rightwards(backward)
-                pairs = pairs.where(known[pairs.words[1]])
-                if len(filters) > 1:
-                    frequent.append(pairs.where(_passing([hashes[w] for w in pairs.words], filters[1])))
-                else:
-                    yield from _rows(pairs, words, lang)
-            if len(filters) == 1:
-                continue
-            forward, found = Index(_unpacked(batch["before"][0], n), starts), Grown.together(frequent, 2)
+            shard = Opened(batch, filters[0])
+            found = Grown.together([pairs.where(_passing(shard.hashes_of(pairs), filters[1])) for pairs in shard.pairs()], 2)
+            forward = Index(_unpacked(batch["before"][0], shard.n), shard.starts)
             for size in range(3, len(filters) + 2):
                 ended = np.concatenate([np.zeros(0, np.int64), *(part.leftwards(forward) for part in found.parts())])
-                longer = Grown.together([part.rightwards(backward) for part in found.parts()], size)
+                longer = Grown.together([part.rightwards(shard.backward) for part in found.parts()], size)
                 found = longer.where(np.isin(longer.low, ended))
                 if size <= len(filters):
-                    found = found.where(_passing([hashes[w] for w in found.words], filters[size - 1]))
-            yield from _rows(found, words, lang)
+                    found = found.where(_passing(shard.hashes_of(found), filters[size - 1]))
+            yield from _rows(found, shard.words, shard.lang)
 
     return run
 
@@ -273,8 +371,12 @@ def frequent_phrases(shards: DataFrame, least: int = LEAST, filter_mb: int = FIL
     filters = []
     for size in range(2, DEPTH + 1):
         filters.append(_sent(found[-1], filter_mb))
-        read = shards.drop("before") if size == 2 else shards
-        found.append(enough(read.mapInArrow(releasing(_counted(list(filters))), "key string, a bigint"), size))
+        if size == 2:
+            often = _frequent_slots(shards, filters[0], least, filter_mb)
+            rows = shards.drop("before").mapInArrow(releasing(_counted_pairs(filters[0], often)), "key string, a bigint")
+        else:
+            rows = shards.mapInArrow(releasing(_counted(list(filters))), "key string, a bigint")
+        found.append(enough(rows, size))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

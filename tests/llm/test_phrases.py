@@ -1,9 +1,11 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from matchloom.llm import oracles, phrases, queries
@@ -103,3 +105,34 @@ def test_query_against_sql(spark, sf_dir):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     assert got == sorted(con.sql(f"SELECT {NAMES} FROM ({oracles.OP12})").fetchall())
     assert got == brute([(r.lang, r.text) for r in documents(spark, sf_dir).collect()], 30)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 21])
+def test_no_frequent_pair_is_in_a_rare_slot(monkeypatch, held):
+    """With slots enough for few pairs each, and with so few that many share one."""
+    monkeypatch.setattr(phrases, "SEGMENT_BITS", 16)
+    monkeypatch.setattr(phrases, "HELD_SLOTS", held)
+    texts = pa.record_batch({"lang": ["en"] * 300, "text": [t for _, t in some_texts(7, 300)]})
+    made = list(phrases._sharded(200)(iter([texts])))
+    assert len(made) > 3
+    every_word = SimpleNamespace(value=np.full(1 << 17, 255, np.uint8)), 1 << 20
+    for slots in (32, 1 << 16):
+        tallied = list(phrases._tallied(every_word, slots, 5)(iter(made)))
+        bits = np.zeros(slots, bool)
+        for batch in phrases._reached(5)(iter(tallied)):
+            for segment, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bits[segment * 16 :][:16] = np.unpackbits(np.frombuffer(part, np.uint8))
+        totals, slot_of = Counter(), {}
+        for batch in made:
+            shard = phrases.Opened(batch, every_word)
+            words = shard.words.to_pylist()
+            for pairs in shard.pairs():
+                at = phrases._slots_of(shard.hashes_of(pairs), slots)
+                for first, second, a, slot in zip(*pairs.words, pairs.count, at, strict=True):
+                    totals[words[first], words[second]] += int(a)
+                    slot_of[words[first], words[second]] = slot
+        in_slot = Counter()
+        for pair, a in totals.items():
+            in_slot[slot_of[pair]] += a
+        assert set(np.flatnonzero(bits)) == {slot for slot, a in in_slot.items() if a >= 5}
+        assert sum(a >= 5 for a in totals.values()) > 10
