@@ -41,8 +41,8 @@ SHARD_WORDS, TEXT_BYTES, OUT_ROWS = 1 << 19, 1 << 19, 1 << 15
 #: Rows of an index that are grown together, but for an interval with more.
 ROWS = 1 << 17
 FILTER_MB = 64
-#: Slots with counts that a task holds before it sends them.
-HELD_SLOTS = 1 << 21
+#: Slots with counts, and phrases with counts, that a task holds before it sends them.
+HELD_SLOTS, HELD_ROWS = 1 << 21, 1 << 19
 
 #: Byte translation: A-Z to lower case, what ends a piece to a line feed, a tab to a space.
 _PLAIN = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -224,6 +224,30 @@ def _rows(found: Grown, words: pa.Array, lang: str) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": _joined(words, lang, some.words), "a": pa.array(some.count, pa.int64())})
 
 
+def _summed(run):
+    """Adds up what the shards of a task count for the same phrase, as far as ``HELD_ROWS`` rows hold it."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD_ROWS:
+                one = added(held)
+                held, n = one.to_batches(), one.num_rows
+                if 2 * n > HELD_ROWS:
+                    yield from one.to_batches(max_chunksize=OUT_ROWS)
+                    held, n = [], 0
+        if n:
+            yield from added(held).to_batches(max_chunksize=OUT_ROWS)
+
+    def added(held: list[pa.RecordBatch]) -> pa.Table:
+        one = pa.Table.from_batches(held).group_by("key").aggregate([("a", "sum")])
+        return pa.table({"key": one["key"], "a": one["a_sum"]})
+
+    return sums
+
+
 class Opened:
     """A shard with the hashes of its words, and which of them are frequent."""
 
@@ -373,9 +397,9 @@ def frequent_phrases(shards: DataFrame, least: int = LEAST, filter_mb: int = FIL
         filters.append(_sent(found[-1], filter_mb))
         if size == 2:
             often = _frequent_slots(shards, filters[0], least, filter_mb)
-            rows = shards.drop("before").mapInArrow(releasing(_counted_pairs(filters[0], often)), "key string, a bigint")
+            rows = shards.drop("before").mapInArrow(releasing(_summed(_counted_pairs(filters[0], often))), "key string, a bigint")
         else:
-            rows = shards.mapInArrow(releasing(_counted(list(filters))), "key string, a bigint")
+            rows = shards.mapInArrow(releasing(_summed(_counted(list(filters)))), "key string, a bigint")
         found.append(enough(rows, size))
     out = found[0]
     for more in found[1:]:
