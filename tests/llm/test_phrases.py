@@ -136,18 +136,3 @@ def test_no_frequent_pair_is_in_a_rare_slot(monkeypatch, held):
             in_slot[slot_of[pair]] += a
         assert set(np.flatnonzero(bits)) == {slot for slot, a in in_slot.items() if a >= 5}
         assert sum(a >= 5 for a in totals.values()) > 10
-
-
-@pytest.mark.parametrize("held", [1, 4, 1 << 19])
-def test_counts_of_a_task_are_added_up(monkeypatch, held):
-    monkeypatch.setattr(phrases, "HELD_ROWS", held)
-    rows = [(f"en\t{k % 7} x", k) for k in range(100)]
-    batches = [pa.record_batch({"key": [k for k, _ in rows[at : at + 9]], "a": [a for _, a in rows[at : at + 9]]}) for at in range(0, 100, 9)]
-    got, want = Counter(), Counter()
-    for batch in phrases._summed(iter)(batches):
-        for key, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            got[key] += a
-    for key, a in rows:
-        want[key] += a
-    assert got == want
-    assert list(phrases._summed(iter)([])) == []
