@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import matching as m
 from ..sources.fixtures import STOP
 from ._register import query
 
@@ -59,8 +60,15 @@ def token_counts(v):
 SELECT gram, count(*) AS n, count(DISTINCT resume_id) AS n_resumes FROM (
   SELECT resume_id, token || ' ' || lead(token) OVER (PARTITION BY resume_id ORDER BY pos) AS gram FROM fx_tokens) WHERE gram IS NOT NULL GROUP BY gram""", "fx_tokens")
 def bigram_counts(v):
-    rows = _toks(v).select("resume_id", F.explode(t.ngrams(F.col("toks"), 2)).alias("gram"))
-    return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("resume_id").alias("n_resumes"))
+    """A résumé's pairs are sorted in its row, so that the first of each kind counts it; only rows that share an id are counted by ids."""
+    rows = _toks(v).select("resume_id", F.sort_array(t.ngrams(F.col("toks"), 2)).alias("grams"))
+    once, shared = m.by_repeated_key(rows, v.resumes.select("resume_id"), "resume_id")
+    firsts = F.transform("grams", lambda g, i: F.struct(g.alias("gram"), F.when((i > 0) & (F.get("grams", i - 1) == g), 0).otherwise(1).alias("first")))
+    grams = once.select(F.explode(firsts).alias("g")).groupBy("g.gram").agg(F.count(F.lit(1)).alias("n"), F.sum("g.first").alias("n_resumes"))
+    if shared is None:
+        return grams
+    more = shared.select("resume_id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("resume_id").alias("n_resumes"))
+    return grams.unionByName(more).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_resumes").alias("n_resumes"))
 
 
 @query("gram_candidates", f"SELECT resume_id, len(toks) + greatest(len(toks) - 1, 0) AS n_grams, coalesce(toks[1], '') AS first_gram FROM {_TOKENS}", "fx_resumes")
