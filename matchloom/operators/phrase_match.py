@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources import store
 from .matching import similar_terms
 
 
@@ -50,9 +51,11 @@ def phrase_matches(resumes: DataFrame, keywords: DataFrame, synonyms: DataFrame,
     terms = keywords.select("keyword").distinct()
     parts = terms.select("keyword", F.split("keyword", " ").alias("w")).withColumn("n", F.size("w"))
     asked = parts.select(F.col("keyword").alias("term")).unionByName(parts.where("n > 1").select(F.explode("w").alias("term"))).distinct()
-    postings = resumes.select("resume_id", F.posexplode(t.tokens(t.words_only(F.col("text")))).alias("pos", "token"))
-    postings = postings.groupBy("resume_id", "token").agg(F.min("pos").alias("pos"))
-    like = similar_terms(asked, postings.select(F.col("token").alias("term")), least).select(F.col("left").alias("term"), F.col("right").alias("__t"))
+    # postings stay where the résumé is read: only the distinct words and the finds shuffle
+    words = t.tokens(t.words_only(F.col("text")))
+    postings = resumes.select("resume_id", F.posexplode(words).alias("pos", "token"))
+    like = similar_terms(asked, resumes.select(F.explode(F.array_distinct(words)).alias("term")), least).select(F.col("left").alias("term"), F.col("right").alias("__t"))
+    like = store.written(like, "like-words")
     finds = postings.join(like, F.col("token") == F.col("__t")).groupBy("resume_id", "term").agg(F.min(F.struct("pos", "token")).alias("first"))
     finds = finds.select(F.col("resume_id").alias("__r"), F.col("term").alias("__term"), F.col("first.token").alias("like"))
 
@@ -82,13 +85,11 @@ def stem_phrase_matches(resumes: DataFrame, keywords: DataFrame, synonyms: dict[
     """
     wanted = keywords.groupBy(F.col("jd_id").alias("__j")).agg(F.collect_list("keyword").alias("__ks"))
     rows = resumes.join(wanted, F.col("jd_id") == F.col("__j")).select("resume_id", "jd_id", "__ks", t.words_only(F.col("text")).alias("__norm"))
-    rows = rows.withColumn("__stems", F.array_distinct(F.transform(t.tokens(F.col("__norm")), t.stem_once)))
+    rows = rows.withColumn("__stems", F.array_distinct(F.transform(F.array_distinct(t.tokens(F.col("__norm"))), t.stem_once)))
 
-    def judged(k):
-        here = F.contains(F.col("__norm"), k)
-        words = F.split(k, " ")
+    def judged(known):
+        k, here, words, inside = known["k"], known["here"], known["words"], known["inside"]
         stems = F.forall(words, lambda w: F.array_contains("__stems", t.stem_once(w)))
-        inside = F.forall(words, lambda w: F.contains(F.col("__norm"), w))
         last = F.array_contains("__stems", t.stem_once(F.element_at(words, -1)))
         grouped, form = F.lit(False), F.lit(False)
         for forms in synonyms.values():
@@ -105,4 +106,6 @@ def stem_phrase_matches(resumes: DataFrame, keywords: DataFrame, synonyms: dict[
             step(("synonym", form), ("word", ~grouped & word)).alias("synonym_or_word"),
         )
 
-    return rows.select("resume_id", "jd_id", F.explode(F.transform("__ks", judged)).alias("m")).select("resume_id", "jd_id", "m.*")
+    has = lambda x: F.contains(F.col("__norm"), x)
+    known = F.transform("__ks", lambda k: F.struct(k.alias("k"), has(k).alias("here"), F.split(k, " ").alias("words"), F.forall(F.split(k, " "), has).alias("inside")))
+    return rows.select("resume_id", "jd_id", F.explode(F.transform(known, judged)).alias("m")).select("resume_id", "jd_id", "m.*")
