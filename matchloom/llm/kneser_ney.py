@@ -1,7 +1,7 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 N-grams are of UTF-8 bytes, up to ``ORDER``, packed into one long each. Counts of the
-trusted sample, continuation counts, discounts and context sums are Spark aggregates
+trusted texts, continuation counts, discounts and context sums are Spark aggregates
 and joins, sharded by n-gram and by context. The finished table is counted and goes to
 the tasks, which score whole texts. A table over ``MODEL_ROWS`` goes in parts: each holds
 all that the bytes behind some pairs of bytes need, and a text's score is the sum of its
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from ._common import as_bytes, drawn, hash_limit, materialise, releasing, slices
 
 ORDER = 5
-#: Trusted documents that train the model, about, taken by hash of the id; and their largest share
-#: of the trusted documents, as the others tell the thresholds.
-MAX_TRUSTED, LARGEST_SHARE = 4_000, 0.8
+#: Share of the trusted documents that train the model, by hash of the id; all others tell the thresholds.
+LARGEST_SHARE = 0.8
+#: N-grams of texts that are counted at once, and different ones that a task holds before it sends their counts.
+COUNTED_AT_ONCE, HELD_GRAMS = 2_000_000, 2_000_000
+#: Ids of trusted documents that may be sent to all tasks.
+SENT_IDS = 200_000
 #: Rows of the model that a task holds at once, about, and bytes of texts that wait for its parts.
 MODEL_ROWS = 4_000_000
 HELD_BYTES = 32_000_000
@@ -52,13 +55,35 @@ def packed(text: bytes, order: int) -> list[np.ndarray]:
 
 
 def _grams(order: int):
+    """Texts -> n-grams with their counts, added up in a task as far as they fit."""
+
+    def added(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key, time = np.concatenate(keys), np.concatenate(times)
+        place = np.argsort(key, kind="stable")
+        key = key[place]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return key[first], np.add.reduceat(time[place], first)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            texts = as_bytes(batch.column(0))
-            grams = [packed(t, order)[order - 1] for t in texts if t]
-            if grams:
-                keys, times = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.record_batch({"gram": pa.array(keys), "c": pa.array(times.astype(np.int64))})
+        keys, times, grams, size = [], [], [], 0
+        for batch in slices(batches):
+            for text in as_bytes(batch.column(0)):
+                if text:
+                    grams.append(packed(text, order)[order - 1])
+                    size += len(text)
+                if size >= COUNTED_AT_ONCE:
+                    yield from count(grams, keys, times)
+                    grams, size = [], 0
+        if grams:
+            yield from count(grams, keys, times)
+        if keys:
+            yield pa.record_batch({"gram": pa.array(keys[0]), "c": pa.array(times[0])})
+
+    def count(grams: list[np.ndarray], keys: list[np.ndarray], times: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found, n = np.unique(np.concatenate(grams), return_counts=True)
+        keys[:], times[:] = ([x] for x in added([*keys, found], [*times, n.astype(np.int64)]))
+        if len(keys[0]) >= HELD_GRAMS:
+            yield pa.record_batch({"gram": pa.array(keys.pop()), "c": pa.array(times.pop())})
 
     return run
 
@@ -265,20 +290,23 @@ def log_probabilities(docs: DataFrame, model: tuple[list, int], id_col: str = "d
     return docs.select(id_col, text_col).mapInArrow(releasing(_scored(*model)), f"`{id_col}` {kind}, n_bytes long, log10_prob double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int = MAX_TRUSTED, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_trusted: int | None = None, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Per row: id, lang, trusted, n_bytes, log10_prob, perplexity (a byte), entropy, threshold, kept.
 
-    Trusted: labelled with quality 1 and not toxic. Means and thresholds come from trusted
-    documents outside the sample that trains (from all trusted ones if none is outside).
+    Trusted: labelled with quality 1 and not toxic. Every trusted document is used: four in
+    five, by hash of the id, train the model, and means and thresholds come from all others
+    (from all trusted ones if none is outside). A caller may have about ``max_trusted`` train.
     Null and empty texts have perplexity null and are not kept. A language (null included)
     without such documents takes the threshold over those of all languages; without any,
     every text with a byte is kept. Of equal texts all have the same verdict. Rows
     that repeat an id carry one row each. Other columns are ignored.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("__good")).distinct()
-    limit = hash_limit(min(LARGEST_SHARE, max_trusted / max(1, good.count())))
-    sample = docs.where(drawn("kn", F.col(id_col), F.lit(limit))).select(id_col, text_col).join(good, F.col(id_col) == F.col("__good"), "left_semi")
-    model = fit_parts(sample, text_col)
+    n_good = good.count()
+    limit = hash_limit(LARGEST_SHARE if max_trusted is None else min(LARGEST_SHARE, max_trusted / max(1, n_good)))
+    sent = F.broadcast(good) if n_good <= SENT_IDS else good
+    taught = docs.where(drawn("kn", F.col(id_col), F.lit(limit))).select(id_col, text_col).join(sent, F.col(id_col) == F.col("__good"), "left_semi")
+    model = fit_parts(taught, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     packed_id = rows.select(F.struct("id", "lang").alias("k"), "text")
     scored = log_probabilities(packed_id, model, "k", "text").select("k.id", "k.lang", "n_bytes", "log10_prob")

@@ -141,6 +141,32 @@ def test_thresholds_come_from_outside_the_sample(spark, monkeypatch):
     assert 5 < len(held) < 45 and math.isclose(rows[0].threshold, kneser_ney.MARGIN * held[-1])
 
 
+def test_every_trusted_document_is_used(spark, monkeypatch):
+    """However many there are: four in five teach, all others tell the thresholds."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    taught, fit_parts = [], kneser_ney.fit_parts
+    monkeypatch.setattr(kneser_ney, "fit_parts", lambda rows, *a: taught.append({r.doc_id for r in rows.collect()}) or fit_parts(rows, *a))
+    rows = kneser_ney.classify(docs, labels).collect()
+    held = sorted(r.entropy for r in rows if r.doc_id not in taught[0])
+    assert 15_500 < len(taught[0]) < 16_500 and len(held) == 20_000 - len(taught[0])
+    assert math.isclose(rows[0].threshold, kneser_ney.MARGIN * held[math.ceil(kneser_ney.QUANTILE * len(held)) - 1])
+
+
+def test_counts_of_n_grams_are_added_up(monkeypatch):
+    texts = [None, "", *(prose(k, 20) for k in range(30))]
+    batches = [pa.record_batch({"text": pa.array(texts[at : at + 7])}) for at in range(0, len(texts), 7)]
+    want = Counter(g for t in texts if t for g in kneser_ney.packed(t.encode(), 5)[4].tolist())
+    for at_once, held in ((2_000_000, 2_000_000), (100, 2_000_000), (100, 50)):
+        monkeypatch.setattr(kneser_ney, "COUNTED_AT_ONCE", at_once)
+        monkeypatch.setattr(kneser_ney, "HELD_GRAMS", held)
+        got = Counter()
+        for batch in kneser_ney._grams(5)(iter(batches)):
+            for gram, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                got[gram] += c
+        assert got == want
+
+
 def test_classifier_odd_rows(spark):
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
