@@ -9,9 +9,9 @@ of parameters is fixed while word counts cover the whole training corpus:
 
 (1 for a class of one word). Documents are encoded once, in bundles of about
 ``BUNDLE_TOKENS`` tokens with the bundle's own word list. Word counts are joined back
-to the bundles' lists, not to every token. Baum-Welch starts on up to ``WARM_BUNDLES``
-bundles and then passes over all training documents ``FULL_PASSES`` times; expected
-counts are added up across partitions, a fixed number of values each.
+to the bundles' lists, not to every token. Baum-Welch passes over
+all training documents ``PASSES`` times; expected counts are added up across partitions,
+a fixed number of values each.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SHARED = 2048
 END = TOP + SHARED
 CLASSES = END + 1
 BUNDLE_TOKENS, BUNDLE_DOCS = 2_000_000, 8192
-WARM_BUNDLES, WARM_PASSES, FULL_PASSES = 4, 6, 2
+PASSES = 8
 #: Tokens whose forward values are held for the backward pass.
 HELD_TOKENS = 200_000
 #: Longer sequences keep their forward values at every so many symbols, and make the others again.
@@ -372,11 +372,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = np.argsort(np.array(best, np.int64))
     top = (np.array(best, np.int64)[order], order.astype(np.int32))
     top_counts = np.array([c for _, c in frequent], np.int64)[order]
-    some = [r.bundle for r in bundles.select("bundle").orderBy(F.xxhash64("bundle"), "bundle").limit(WARM_BUNDLES).collect()]
-    few = materialise(bundles.where(F.col("bundle").isin(some)).repartition(WARM_BUNDLES, "bundle"), "hmm-warm")
-    for _ in range(WARM_PASSES):
-        model, _likelihood = _pass(few, model, top)
-    for _ in range(FULL_PASSES):
+    for _ in range(PASSES):
         model, _likelihood = _pass(bundles, model, top)
 
     # counts of the frequent words are sent; a bundle's other words meet theirs

@@ -171,6 +171,16 @@ def check(docs):
     return rows
 
 
+def test_every_pass_takes_all_bundles(spark, monkeypatch):
+    """No step of Baum-Welch is of some bundles only."""
+    monkeypatch.setattr(hmm, "BUNDLE_DOCS", 5)
+    docs = spark.range(200).selectExpr("id as doc_id", "concat('some text of ', id % 7) as text")
+    seen, plain = [], hmm._pass
+    monkeypatch.setattr(hmm, "_pass", lambda bundles, *a: seen.append(sum(len(r.ids) for r in bundles.select("ids").collect())) or plain(bundles, *a))
+    assert hmm.score_documents(docs).count() == 200
+    assert len(seen) == hmm.PASSES and set(seen) == {200}
+
+
 def test_scores(spark):
     rows = check(documents(spark, "/root/testdata/sf0.01"))
     held = [r for r in rows if r.held_out]
