@@ -16,7 +16,11 @@ as on its right, which is the same interval reached from both sides.
 
 Most pairs of frequent words are rare. So pairs are first counted together in slots, by
 their hash; a slot has its pairs' counts added up, so a pair in a slot below ``least`` is
-rare for certain. Only the others' texts shuffle, and are counted one by one.
+rare for certain. Only the others shuffle, and are counted one by one.
+
+Phrases that shuffle go by groups, told by the hash of all their words but the last. A
+task adds up what its shards count and sends a row for each language of a group: the
+words of its phrases once, the phrases as numbers of these words, and their counts.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ ROWS = 1 << 17
 FILTER_MB = 64
 #: Slots with counts that a task holds before it sends them.
 HELD_SLOTS = 1 << 21
+#: Phrases with counts that a task holds before it sends or adds them up; groups of phrases, at least; words of all shards for a group.
+HELD_PHRASES, GROUPS, GROUP_WORDS = 1 << 21, 64, 1 << 25
 
 #: Byte translation: A-Z to lower case, what ends a piece to a line feed, a tab to a space.
 _PLAIN = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -218,10 +224,105 @@ class Grown:
         return mapped[symbol > 0]
 
 
-def _rows(found: Grown, words: pa.Array, lang: str) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(found.count), OUT_ROWS):
-        some = found.where(np.s_[at : at + OUT_ROWS])
-        yield pa.record_batch({"key": _joined(words, lang, some.words), "a": pa.array(some.count, pa.int64())})
+def _added(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of the columns in order, each once, and the sums of their counts."""
+    if not len(count):
+        return columns, count
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+    return [c[first] for c in columns], np.add.reduceat(count[order], first)
+
+
+class Tally:
+    """Phrases of one language with their counts; words have numbers in the order in which they come."""
+
+    def __init__(self, size: int):
+        self.number: defaultdict = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.columns, self.counts, self.held, self.summed = [[] for _ in range(size)], [], 0, 0
+
+    def add(self, words: list[bytes], columns: list[np.ndarray], counts: np.ndarray) -> None:
+        """Counts of phrases whose columns are places in ``words``."""
+        own = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        for held, column in zip(self.columns, columns, strict=True):
+            held.append(own[column])
+        self.counts.append(counts.astype(np.int64))
+        self.held += len(counts)
+
+    def sums(self) -> tuple[list[np.ndarray], np.ndarray]:
+        one = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
+        columns, counts = _added([one(c, np.int32) for c in self.columns], one(self.counts, np.int64))
+        self.columns, self.counts, self.held = [[c] for c in columns], [counts], len(counts)
+        self.summed = len(counts)
+        return columns, counts
+
+
+GROUP = "grp bigint, lang string, n bigint, texts binary, ids array<binary>, times binary"
+
+
+def _sent_groups(tallies: dict[str, Tally], groups: int) -> Iterator[pa.RecordBatch]:
+    """What a task holds as a row for each group and language."""
+    for lang, tally in tallies.items():
+        columns, counts = tally.sums()
+        words = list(tally.number)
+        hashes = _word_hashes(words, [lang] * len(words))
+        group = (_folded_keys([hashes[c] for c in columns[:-1]]) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        for some in np.split(order, cuts) if len(order) else []:
+            used, ids = np.unique(np.stack([c[some] for c in columns]), return_inverse=True)
+            ids = [_packed(x, 1)[0].as_py() for x in ids.reshape(len(columns), -1)]
+            texts = pa.Codec("zstd", compression_level=1).compress(b" ".join(words[k] for k in used), asbytes=True)
+            size = sum(len(words[k]) + 1 for k in used) - 1
+            row = [[int(group[some[0]])], [lang], [len(some)], [size.to_bytes(8, "little") + texts], [ids], [_packed(counts[some], 1)[0].as_py()]]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["grp", "lang", "n", "texts", "ids", "times"])
+
+
+def _grouped(size: int, groups: int, opened, phrases_of):
+    """Shards -> their phrases of ``size`` words with counts, added up, in rows for groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[str, Tally] = {}
+        words = 0
+        for batch in slices(batches, 1):
+            shard = opened(batch)
+            words += shard.n
+            for found in phrases_of(shard, batch):
+                if len(found.count):
+                    used, places = np.unique(np.stack(found.words), return_inverse=True)
+                    tallies.setdefault(shard.lang, Tally(size)).add(as_bytes(shard.words.take(pa.array(used))), list(places.reshape(size, -1)), found.count)
+            # counts are sent in 32 bits
+            if sum(t.held for t in tallies.values()) >= HELD_PHRASES or words >= 1 << 30:
+                yield from _sent_groups(tallies, groups)
+                tallies, words = {}, 0
+        yield from _sent_groups(tallies, groups)
+
+    return run
+
+
+def _totals(size: int, least: int):
+    """All rows of a group stand in one task: phrases that come ``least`` times or more, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[str, Tally] = {}
+        for batch in batches:
+            for row in slices(iter([batch]), 1):
+                lang, n, cell = row["lang"][0].as_py(), row["n"][0].as_py(), row["texts"][0].as_py()
+                words = bytes(pa.decompress(cell[8:], decompressed_size=int.from_bytes(cell[:8], "little"), codec="zstd", asbytes=True)).split(b" ")
+                tally = tallies.setdefault(lang, Tally(size))
+                tally.add(words, [_unpacked(x, n) for x in row["ids"][0].values], _unpacked(row["times"][0], n))
+                if tally.held - tally.summed >= HELD_PHRASES:
+                    tally.sums()
+        for lang, tally in tallies.items():
+            columns, counts = tally.sums()
+            words, often = pa.array(list(tally.number), pa.binary()).cast(pa.string()), np.flatnonzero(counts >= least)
+            for at in range(0, len(often), OUT_ROWS):
+                some = often[at : at + OUT_ROWS]
+                yield pa.record_batch({"key": _joined(words, lang, [c[some] for c in columns]), "a": pa.array(counts[some], pa.int64())})
+
+    return run
 
 
 class Opened:
@@ -318,37 +419,37 @@ def _frequent_slots(shards: DataFrame, sent: tuple, least: int, filter_mb: int)
     return shards.sparkSession.sparkContext.broadcast(whole), slots
 
 
-def _counted_pairs(sent: tuple, often: tuple):
-    """Pairs of frequent words in frequent slots, with their counts in each shard."""
+def _pairs_in(often: tuple):
+    """Pairs of frequent words in frequent slots."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def phrases_of(shard: Opened, batch: pa.RecordBatch) -> Iterator[Grown]:
         bits, slots = often[0].value, often[1]
-        for batch in slices(batches, 1):
-            shard = Opened(batch, sent)
-            for pairs in shard.pairs():
-                at = _slots_of(shard.hashes_of(pairs), slots)
-                yield from _rows(pairs.where(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)), shard.words, shard.lang)
+        for pairs in shard.pairs():
+            at = _slots_of(shard.hashes_of(pairs), slots)
+            yield pairs.where(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))
 
-    return run
+    return phrases_of
 
 
-def _counted(filters: list[tuple]):
-    """Phrases of one word more than the filters tell of (words; pairs; ...), with their counts in each shard."""
+def _longer_in(filters: list[tuple]):
+    """Phrases of one word more than the filters tell of (words; pairs; ...)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            shard = Opened(batch, filters[0])
-            found = Grown.together([pairs.where(_passing(shard.hashes_of(pairs), filters[1])) for pairs in shard.pairs()], 2)
-            forward = Index(_unpacked(batch["before"][0], shard.n), shard.starts)
-            for size in range(3, len(filters) + 2):
-                ended = np.concatenate([np.zeros(0, np.int64), *(part.leftwards(forward) for part in found.parts())])
-                longer = Grown.together([part.rightwards(shard.backward) for part in found.parts()], size)
-                found = longer.where(np.isin(longer.low, ended))
-                if size <= len(filters):
-                    found = found.where(_passing(shard.hashes_of(found), filters[size - 1]))
-            yield from _rows(found, shard.words, shard.lang)
+    def phrases_of(shard: Opened, batch: pa.RecordBatch) -> Iterator[Grown]:
+        found = Grown.together([pairs.where(_passing(shard.hashes_of(pairs), filters[1])) for pairs in shard.pairs()], 2)
+        forward = Index(_unpacked(batch["before"][0], shard.n), shard.starts)
+        for size in range(3, len(filters) + 2):
+            ended = np.concatenate([np.zeros(0, np.int64), *(part.leftwards(forward) for part in found.parts())])
+            longer = Grown.together([part.rightwards(shard.backward) for part in found.parts()], size)
+            found = longer.where(np.isin(longer.low, ended))
+            if size <= len(filters):
+                found = found.where(_passing(shard.hashes_of(found), filters[size - 1]))
+        yield found
 
-    return run
+    return phrases_of
+
+
+def _opener(sent: tuple):
+    return lambda batch: Opened(batch, sent)
 
 
 def _sent(frequent: DataFrame, filter_mb: int) -> tuple:
@@ -361,22 +462,25 @@ def _sent(frequent: DataFrame, filter_mb: int) -> tuple:
 def frequent_phrases(shards: DataFrame, least: int = LEAST, filter_mb: int = FILTER_MB) -> DataFrame:
     """(lang, phrase, a, size) of all phrases of 1 to ``DEPTH`` words that come ``least`` times or more."""
 
-    def enough(rows: DataFrame, size: int) -> DataFrame:
-        total = rows.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= least).withColumn("phrase", F.substring_index("key", "\t", -1))
+    def enough(total: DataFrame, size: int) -> DataFrame:
+        total = total.withColumn("phrase", F.substring_index("key", "\t", -1))
         lang = F.expr("substring(key, 1, char_length(key) - char_length(phrase) - 1)")
         return materialise(total.select(lang.alias("lang"), "phrase", "a", F.lit(size).alias("size")), f"phrases-of-{size}")
 
     each = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).where(F.col("w.words") != "\n")
-    found = [enough(each.select(F.concat("lang", F.lit("\t"), "w.words").alias("key"), F.col("w.counts").alias("a")), 1)]
+    words = each.select(F.concat("lang", F.lit("\t"), "w.words").alias("key"), F.col("w.counts").alias("a"))
+    found = [enough(words.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= least), 1)]
+    groups = max(GROUPS, shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // GROUP_WORDS)
     filters = []
     for size in range(2, DEPTH + 1):
         filters.append(_sent(found[-1], filter_mb))
         if size == 2:
             often = _frequent_slots(shards, filters[0], least, filter_mb)
-            rows = shards.drop("before").mapInArrow(releasing(_counted_pairs(filters[0], often)), "key string, a bigint")
+            source, phrases_of = shards.drop("before"), _pairs_in(often)
         else:
-            rows = shards.mapInArrow(releasing(_counted(list(filters))), "key string, a bigint")
-        found.append(enough(rows, size))
+            source, phrases_of = shards, _longer_in(list(filters))
+        rows = source.mapInArrow(releasing(_grouped(size, groups, _opener(filters[0]), phrases_of)), GROUP)
+        found.append(enough(rows.repartition(groups, "grp").mapInArrow(releasing(_totals(size, least)), "key string, a bigint"), size))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

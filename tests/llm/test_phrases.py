@@ -107,6 +107,33 @@ def test_query_against_sql(spark, sf_dir):
     assert got == brute([(r.lang, r.text) for r in documents(spark, sf_dir).collect()], 30)
 
 
+@pytest.mark.parametrize("held", [1, 50, 1 << 21])
+def test_phrases_travel_in_groups(monkeypatch, held):
+    """A task sends a row for a language of a group, not one for each phrase of a shard, and no count is lost."""
+    monkeypatch.setattr(phrases, "HELD_PHRASES", held)
+    texts = pa.record_batch({"lang": ["en", "fr"] * 150, "text": [t for _, t in some_texts(3, 300)]})
+    made = list(phrases._sharded(200)(iter([texts])))
+    every_word = SimpleNamespace(value=np.full(1 << 17, 255, np.uint8)), 1 << 20
+    want, entries = Counter(), 0
+    for batch in made:
+        shard = phrases.Opened(batch, every_word)
+        words = shard.words.to_pylist()
+        for pairs in shard.pairs():
+            for first, second, a in zip(*pairs.words, pairs.count, strict=True):
+                want[f"{shard.lang}\t{words[first]} {words[second]}"] += int(a)
+                entries += 1
+    rows = list(phrases._grouped(2, 4, phrases._opener(every_word), lambda shard, batch: shard.pairs())(iter(made)))
+    assert held < 1000 or (len(rows) <= 8 and entries > 300)
+    groups = [r["grp"][0].as_py() for r in rows]
+    got = {}
+    for group in set(groups):
+        for out in phrases._totals(2, 5)(iter([r for r, g in zip(rows, groups, strict=True) if g == group])):
+            for key, a in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                assert key not in got
+                got[key] = a
+    assert got == {key: a for key, a in want.items() if a >= 5} and len(got) > 30
+
+
 @pytest.mark.parametrize("held", [1, 1 << 21])
 def test_no_frequent_pair_is_in_a_rare_slot(monkeypatch, held):
     """With slots enough for few pairs each, and with so few that many share one."""
