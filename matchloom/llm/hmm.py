@@ -38,6 +38,8 @@ PASSES = 8
 HELD_TOKENS = 200_000
 #: Longer sequences keep their forward values at every so many symbols, and make the others again.
 STRETCH = 50_000
+#: Forward values are scaled at every so many steps: 8 emissions and transitions stay far above the least double.
+SCALED = 8
 SMOOTH = 0.01
 
 
@@ -123,17 +125,17 @@ class Steps:
 
     def __init__(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
         longest = int(lengths[0]) if len(lengths) else 0
-        alive = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")
-        self.offsets = np.r_[0, np.cumsum(alive)].astype(np.int64)
-        self.alive = alive.tolist()
-        who = np.repeat(np.arange(len(lengths)), lengths)
-        step = np.arange(len(who)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.place = self.offsets[step] + who
-        self.symbols = np.empty(len(who), symbols.dtype)
-        self.symbols[self.place] = symbols[np.repeat(starts, lengths) + step]
-        later = step > 0
-        #: place of each symbol behind the first, and place of the symbol before it
-        self.now, self.before = self.place[later], self.offsets[step[later] - 1] + who[later]
+        self.alive = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")
+        self.offsets = np.r_[0, np.cumsum(self.alive)].astype(np.int64)
+        step = np.repeat(np.arange(longest), self.alive)
+        who = np.arange(len(step)) - self.offsets[step]
+        self.symbols = symbols[starts[who] + step].astype(np.intp)
+        #: place of each sequence's last symbol
+        self.ends = self.offsets[lengths - 1] + np.arange(len(lengths))
+
+    def before(self) -> np.ndarray:
+        """Place of the symbol before each one that is behind the first step."""
+        return np.arange(len(self.ends), len(self.symbols)) - np.repeat(self.alive[:-1], self.alive[1:])
 
 
 class Hmm:
@@ -156,40 +158,40 @@ class Hmm:
 
     def forward(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 likelihood of each sequence; sequences stand longest first. Exact for any length."""
-        return self._alphas(Steps(symbols, starts, lengths), len(starts), False)[0]
-
-    def _alphas(self, steps: Steps, sequences: int, keep: bool) -> tuple:
-        """Forward values, scaled at every step: (log10 likelihoods, values, scales, emissions)."""
-        emit = np.ascontiguousarray(self.emit.T)
-        emitted = emit[steps.symbols] if keep else None
-        values, scales = (np.empty_like(emitted), np.empty(len(emitted))) if keep else (None, None)
-        out, alpha, at = np.zeros(sequences), None, steps.offsets.tolist()
-        for t, n in enumerate(steps.alive):
-            a, b = at[t], at[t + 1]
-            own = emitted[a:b] if keep else emit[steps.symbols[a:b]]
-            alpha = own * (self.start if t == 0 else alpha[:n] @ self.move)
-            total = alpha.sum(axis=1)
-            alpha /= total[:, None]
-            out[:n] += np.log10(total)
-            if keep:
-                values[a:b], scales[a:b] = alpha, total
-        return out, values, scales, emitted
+        return self._alphas(Steps(symbols, starts, lengths))[0]
+
+    def _alphas(self, steps: Steps) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 likelihoods, forward values, their sums at the ends, emissions); scaled values have scaled emissions."""
+        weight = np.ascontiguousarray(self.emit.T)[steps.symbols]
+        values, out, at = np.empty_like(weight), np.zeros(len(steps.ends)), steps.offsets.tolist()
+        moved, ones = np.empty((len(steps.ends), len(self.start))), np.ones(len(self.start))
+        for t, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            own, n = values[a:b], b - a
+            np.multiply(weight[a:b], np.matmul(last[:n], self.move, out=moved[:n]) if t else self.start, out=own)
+            if t % SCALED == SCALED - 1:
+                total = own @ ones
+                own /= total[:, None]
+                weight[a:b] /= total[:, None]
+                out[:n] += np.log10(total)
+            last = own
+        ends = values[steps.ends] @ ones
+        return out + np.log10(ends), values, ends, weight
 
     def expected(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Baum-Welch counts (start, move, emit) and log10 likelihood of the sequences."""
         steps = Steps(symbols, starts, lengths)
-        likelihood, alpha, scales, weight = self._alphas(steps, len(starts), True)
-        weight /= scales[:, None]
-        beta, at, back = np.ones_like(alpha), steps.offsets.tolist(), self.move.T.copy()
-        for t in range(len(steps.alive) - 2, -1, -1):
-            a, b = at[t + 1], at[t + 2]
-            weight[a:b] *= beta[a:b]  # emission times what follows
-            beta[at[t] : at[t] + b - a] = weight[a:b] @ back
-        move = alpha[steps.before].T @ weight[steps.now]
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        out = np.stack([np.bincount(steps.symbols, weights=gamma[:, s], minlength=CLASSES) for s in range(len(self.start))])
-        return gamma[: len(starts)].sum(axis=0), move * self.move, out, float(likelihood.sum())
+        likelihood, alpha, ends, weight = self._alphas(steps)
+        beta, at, back = np.empty_like(alpha), steps.offsets.tolist(), self.move.T.copy()
+        beta[steps.ends] = 1 / ends[:, None]  # so that a symbol's states add up to 1
+        for p, a, b in zip(at[-3::-1], at[-2::-1], at[::-1], strict=False):
+            own = weight[a:b]
+            own *= beta[a:b]  # emission times what follows
+            np.matmul(own, back, out=beta[p : p + b - a])
+        first = len(starts)
+        move = alpha[steps.before()].T @ weight[first:]
+        alpha *= beta
+        out = np.stack([np.bincount(steps.symbols, weights=row, minlength=CLASSES) for row in alpha.T.copy()])
+        return alpha[:first].sum(axis=0), move * self.move, out, float(likelihood.sum())
 
     def expected_long(self, symbols: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """``expected`` of one sequence of any length: forward values are kept at the ends of stretches only."""

@@ -129,6 +129,23 @@ def test_forward_and_baum_welch_against_plain_sums():
     assert better.forward(symbols, starts, lengths).sum() > got.sum()
 
 
+def test_values_scaled_at_every_eighth_step(monkeypatch):
+    """Scaling at every eighth step changes no result, near its bounds and for the least probabilities."""
+    rng = np.random.default_rng(8)
+    emit = rng.dirichlet(np.ones(hmm.CLASSES), 3)
+    emit[:, :50] *= 1e-11
+    model = hmm.Hmm(rng.dirichlet(np.ones(3)), np.array([[1.0, 1e-15, 1e-15], [1e-15, 1.0, 1e-15], [1e-15, 1e-15, 1.0]]), emit)
+    lengths = np.array([40, 17, 16, 15, 9, 9, 8, 7, 1])
+    given = rng.integers(0, 50, lengths.sum()), np.cumsum(lengths) - lengths, lengths
+    assert hmm.SCALED == 8
+    eighth, scores = model.expected(*given), model.forward(*given)
+    alone = [model.expected_long(given[0][a : a + n], 100) for a, n in zip(given[1], lengths, strict=True)]
+    assert all(np.allclose(a, sum(b), rtol=1e-9) for a, b in zip(eighth, zip(*alone, strict=True), strict=True))
+    monkeypatch.setattr(hmm, "SCALED", 1)
+    assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(eighth, model.expected(*given), strict=True))
+    assert np.allclose(scores, model.forward(*given), rtol=1e-9)
+
+
 def test_long_sequences_teach_whole():
     """Stretches give the counts of the whole sequence, transitions between stretches included."""
     rng = np.random.default_rng(6)
